@@ -1,0 +1,8 @@
+"""Streaming: intentionally empty.
+
+The reference analyses are one-shot batch runs with no watermarks, windows, state or
+late-data rules ("late" there means a late *delivery*, a column of the order table).
+Every ordermill operator is a plain DataFrame function, so it can already be applied
+inside ``writeStream.foreachBatch`` if a caller wants micro-batch refreshes; no
+streaming-specific operator exists to build.
+"""
