@@ -12,6 +12,7 @@ from ordermill.functions.exact import WIDE, cents, half_up_div
 from ordermill.functions.time import floor_days, is_late, month_label, weekday_name
 from ordermill.operators.picks import dedup
 from ordermill.operators.ranking import exact_quantiles
+from ordermill.session import ensure_checkpoint_dir
 from ordermill.sources.roles import DATE_COLUMNS, MONEY
 
 
@@ -70,9 +71,17 @@ def winsorise(df: DataFrame, col: str, lo: float = 0.01, hi: float = 0.99, appro
 
 
 def clean_items(items: DataFrame, lo: float = 0.01, hi: float = 0.99, order_by: Sequence[str] = (),
-                approx: bool = False) -> DataFrame:
-    """One row per (order_id, order_item_id), price winsorised to [p_lo, p_hi]."""
-    return winsorise(dedup(items, ["order_id", "order_item_id"], order_by), "price", lo, hi, approx)
+                approx: bool = False, materialize: bool = True) -> DataFrame:
+    """One row per (order_id, order_item_id), price winsorised to [p_lo, p_hi].
+
+    The de-duplication is a full shuffle of the largest table and both the quantile
+    bounds and the clipping read it, so by default it is written once to the reliable
+    checkpoint folder (``materialize=False`` keeps everything lazy)."""
+    d = dedup(items, ["order_id", "order_item_id"], order_by)
+    if materialize:
+        ensure_checkpoint_dir(d.sparkSession)
+        d = d.checkpoint(eager=True)
+    return winsorise(d, "price", lo, hi, approx)
 
 
 def price_bounds(items: DataFrame, lo: float = 0.01, hi: float = 0.99) -> DataFrame:

@@ -59,10 +59,12 @@ def _local_prefix(sum_cols: Sequence[str]):
 
 
 def ranked(df: DataFrame, order: Order, *, rank_col: str = "rn", total_col: str | None = None,
-           sum_cols: Sequence[str] = (), partitions: int | None = None) -> DataFrame:
+           sum_cols: Sequence[str] = (), partitions: int | None = None,
+           total_sum_col: str | None = None) -> DataFrame:
     """Add ``rank_col`` = 1-based position in ``order`` (must be a total order: end it
     with a unique id), optionally ``total_col`` = row count, and for each integral column
-    ``c`` in ``sum_cols`` an inclusive running sum ``cum_<c>``."""
+    ``c`` in ``sum_cols`` an inclusive running sum ``cum_<c>`` (and, with
+    ``total_sum_col``, the grand total of the first of them)."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     n_parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -85,13 +87,16 @@ def ranked(df: DataFrame, order: Order, *, rank_col: str = "rn", total_col: str
         _PID,
         F.coalesce(F.sum("_om_cnt").over(before), F.lit(0)).alias("_om_off"),
         F.sum("_om_cnt").over(everything).alias("_om_n"),
-        *[F.coalesce(F.sum(f"_om_tot_{c}").over(before), F.lit(0)).alias(f"_om_offs_{c}") for c in vcols])
+        *[F.coalesce(F.sum(f"_om_tot_{c}").over(before), F.lit(0)).alias(f"_om_offs_{c}") for c in vcols],
+        *[F.sum(f"_om_tot_{c}").over(everything).alias(f"_om_all_{c}") for c in vcols])
     out = local.join(F.broadcast(offsets), _PID)
     cols = [F.col(c) for c in df.columns] + [(F.col("_om_off") + F.col(_LRN)).alias(rank_col)]
     if total_col:
         cols.append(F.col("_om_n").alias(total_col))
     for c, v in zip(sum_cols, vcols):
         cols.append((F.col(f"_om_offs_{v}") + F.col(f"_om_lcum_{v}")).alias(f"cum_{c}"))
+    if total_sum_col and vcols:
+        cols.append(F.col(f"_om_all_{vcols[0]}").alias(total_sum_col))
     return out.select(*cols)
 
 
@@ -153,14 +158,14 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Seque
     counts = (df.where(F.col(value).isNotNull())
               .groupBy(*by, value).agg(F.count(F.lit(1)).alias("_om_c")))
     order = [(c, True) for c in by] + [(value, True)]
-    r = ranked(counts, order, rank_col="_om_r", sum_cols=["_om_c"], partitions=partitions)
+    r = ranked(counts, order, rank_col="_om_r", sum_cols=["_om_c"], partitions=partitions,
+               total_sum_col="_om_all")
     r = r.withColumn("_om_first", F.col("cum__om_c") - F.col("_om_c"))   # global 0-based start
     if by:
         starts = r.groupBy(*by).agg(F.min("_om_first").alias("_om_g0"), F.sum("_om_c").alias("_om_gn"))
         r = r.join(starts, by)
     else:
-        r = r.withColumn("_om_g0", F.lit(0).cast("bigint")) \
-             .withColumn("_om_gn", r.agg(F.sum("_om_c")).scalar())
+        r = r.withColumn("_om_g0", F.lit(0).cast("bigint")).withColumnRenamed("_om_all", "_om_gn")
     lo_pos = F.col("_om_first") - F.col("_om_g0")            # 0-based first index of this value in group
     hi_pos = lo_pos + F.col("_om_c") - 1
     aggs = []

@@ -313,12 +313,13 @@ def _edge_check(edges: Column, name: str, on_duplicate: str) -> Column:
     if on_duplicate != "error":
         return F.lit(True)
 
-    def num(q):  # edge * den, exactly (all edges share den 4)
+    def num(q):  # edge * den, exactly
         return q["lo"] * q["den"] + (q["hi"] - q["lo"]) * q["rem"]
 
     dup = None
     for a, b in (("q0", "q1"), ("q1", "q2"), ("q2", "q3"), ("q3", "q4")):
-        c = num(edges[a]) == num(edges[b])
+        ea, eb = edges[a], edges[b]
+        c = num(ea) * eb["den"] == num(eb) * ea["den"]
         dup = c if dup is None else (dup | c)
     return F.when(dup, F.raise_error(F.lit(f"qcut: duplicate bin edges for {name}"))).otherwise(F.lit(True))
 
@@ -361,14 +362,19 @@ def rfm_segments(master: DataFrame, customer: str = "customer_id", on_duplicate_
     total = F.col("r_score") + F.col("f_score") + F.col("m_score")
     fm = (F.col("f_score") + F.col("m_score")) / 2
     rfm = rfm.withColumn("rfm_score", total).withColumn("fm_avg", fm)
-    R, S, FM = F.col("r_score"), F.col("rfm_score"), F.col("fm_avg")
-    segment = (F.when(S >= 10, SEGMENTS[0]).when(S >= 8, SEGMENTS[1])
-               .when((R >= 3) & (FM >= 2), SEGMENTS[2]).when((R == 4) & (FM < 2), SEGMENTS[3])
-               .when((R <= 2) & (FM >= 3), SEGMENTS[4]).otherwise(SEGMENTS[5]))
+    segment = rfm_segment_expr(F.col("r_score"), F.col("f_score"), F.col("m_score"))
     return rfm.select(customer, "recency", "frequency", "monetary",
                       "r_score", "f_score", "m_score", "rfm_score", "fm_avg", segment.alias("segment"))
 
 
+def rfm_segment_expr(r: Column, f: Column, m: Column) -> Column:
+    """Segment of an (R, F, M) score triple, rules checked top-down."""
+    total, fm = r + f + m, (f + m) / 2
+    return (F.when(total >= 10, SEGMENTS[0]).when(total >= 8, SEGMENTS[1])
+            .when((r >= 3) & (fm >= 2), SEGMENTS[2]).when((r == 4) & (fm < 2), SEGMENTS[3])
+            .when((r <= 2) & (fm >= 3), SEGMENTS[4]).otherwise(SEGMENTS[5]))
+
+
 def rfm_segment_summary(master: DataFrame, customer: str = "customer_id") -> DataFrame:
     """segment, customers, avg_monetary."""
     r = rfm_segments(master, customer)

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from ordermill.operators import clean, picks, quality
 from ordermill.plans import analyses as A
 from ordermill.plans import sql_suite as Q
-from ordermill.plans.master import build_master
+from ordermill.plans.master import build_master, materialize
 from ordermill.sources.fixture import fixture_tables
 
 # The test tables' dates run 1995-2001, so the fixed RFM snapshot is placed just after.
@@ -29,8 +29,16 @@ def decimals_to_double(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
+# The master table is built once per (application, input folder) and materialised, as the
+# reference writes it once and runs every analysis on the written file.
+_MASTERS: dict[tuple[str, str], DataFrame] = {}
+
+
 def _master(spark: SparkSession, sf: str) -> DataFrame:
-    return build_master(fixture_tables(spark, sf))
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _MASTERS:
+        _MASTERS[key] = materialize(build_master(fixture_tables(spark, sf)))
+    return _MASTERS[key]
 
 
 def _tables(fn):
