@@ -29,16 +29,31 @@ def decimals_to_double(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
-# The master table is built once per (application, input folder) and materialised, as the
-# reference writes it once and runs every analysis on the written file.
-_MASTERS: dict[tuple[str, str], DataFrame] = {}
+# The cleaning products (de-duplicated items, clean items, the master table) are built once
+# per (application, input folder) and materialised to the reliable checkpoint folder, as the
+# reference writes them once and runs every later step on the written files.
+_PRODUCTS: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def _product(spark: SparkSession, sf: str, name: str, build) -> DataFrame:
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _PRODUCTS:
+        _PRODUCTS[key] = materialize(build())
+    return _PRODUCTS[key]
+
+
+def _items_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return _product(spark, sf, "items_dedup",
+                    lambda: picks.dedup(fixture_tables(spark, sf).items, ["order_id", "order_item_id"]))
+
+
+def _items_clean(spark: SparkSession, sf: str) -> DataFrame:
+    return _product(spark, sf, "items_clean", lambda: clean.winsorise(_items_dedup(spark, sf), "price"))
 
 
 def _master(spark: SparkSession, sf: str) -> DataFrame:
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _MASTERS:
-        _MASTERS[key] = materialize(build_master(fixture_tables(spark, sf)))
-    return _MASTERS[key]
+    return _product(spark, sf, "master",
+                    lambda: build_master(fixture_tables(spark, sf), items_clean=_items_clean(spark, sf)))
 
 
 def _tables(fn):
@@ -49,8 +64,6 @@ def _on_master(fn):
     return lambda spark, sf: fn(_master(spark, sf))
 
 
-def _dedup_items(t):
-    return picks.dedup(t.items, ["order_id", "order_item_id"])
 
 
 RAW: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -59,13 +72,15 @@ RAW: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "null_report": _tables(lambda t: quality.null_report(t.orders)),
     "dedup_report": _tables(lambda t: quality.dedup_report(t.orders, t.items)),
     "clean_orders": _tables(lambda t: clean.clean_orders(t.orders)),
-    "clean_items": _tables(lambda t: clean.clean_items(t.items)),
-    "price_bounds": _tables(lambda t: clean.price_bounds(t.items)),
+    "clean_items": _items_clean,
+    "price_bounds": lambda spark, sf: clean.quantile_bounds(_items_dedup(spark, sf), "price")
+                                           .select(F.col("p_lo").alias("p01"), F.col("p_hi").alias("p99")),
     "delivered_orders": _tables(lambda t: clean.delivered_orders(clean.clean_orders(t.orders))),
     "delivery_summary": _tables(lambda t: clean.delivery_summary(clean.delivered_orders(clean.clean_orders(t.orders)))),
-    "order_revenue": _tables(lambda t: picks.order_revenue(clean.clean_items(t.items))),
-    "order_category": _tables(lambda t: picks.order_category(_dedup_items(t), t.products)),
-    "order_seller": _tables(lambda t: picks.order_seller(_dedup_items(t))),
+    "order_revenue": lambda spark, sf: picks.order_revenue(_items_clean(spark, sf)),
+    "order_category": lambda spark, sf: picks.order_category(_items_dedup(spark, sf),
+                                                             fixture_tables(spark, sf).products),
+    "order_seller": lambda spark, sf: picks.order_seller(_items_dedup(spark, sf)),
     "order_payment": _tables(lambda t: picks.order_payment(t.payments)),
     "order_review": _tables(lambda t: picks.order_review(t.reviews, t.review_order)),
     "master": _master,
