@@ -301,48 +301,55 @@ def seller_tiers(master: DataFrame, cuts: Sequence[float] = TIER_CUTS) -> DataFr
 # ---------------------------------------------------------------------------------------
 
 def _qcut_bins(x: Column, edges: Column, labels: Sequence[int]) -> Column:
-    """Right-closed bins over quantile edges q1..q3 (the lowest value is included)."""
-    expr = F.when(le_quantile(x, edges["q1"]), labels[0]) \
-            .when(le_quantile(x, edges["q2"]), labels[1]) \
-            .when(le_quantile(x, edges["q3"]), labels[2]).otherwise(labels[3])
-    return expr.cast("int")
+    """Right-closed bins over the inner quantile edges (the lowest value is included)."""
+    q = len(labels)
+    expr = F.when(le_quantile(x, edges["q1"]), labels[0])
+    for i in range(2, q):
+        expr = expr.when(le_quantile(x, edges[f"q{i}"]), labels[i - 1])
+    return expr.otherwise(labels[q - 1]).cast("int")
 
 
-def _edge_check(edges: Column, name: str, on_duplicate: str) -> Column:
-    """Error when two consecutive quartile edges coincide (pandas ``qcut`` raises)."""
+def _edge_check(edges: Column, name: str, on_duplicate: str, q: int = 4) -> Column:
+    """Error when two consecutive quantile edges coincide (pandas ``qcut`` raises)."""
     if on_duplicate != "error":
         return F.lit(True)
 
-    def num(q):  # edge * den, exactly
-        return q["lo"] * q["den"] + (q["hi"] - q["lo"]) * q["rem"]
+    def num(e):  # edge * den, exactly
+        return e["lo"] * e["den"] + (e["hi"] - e["lo"]) * e["rem"]
 
     dup = None
-    for a, b in (("q0", "q1"), ("q1", "q2"), ("q2", "q3"), ("q3", "q4")):
-        ea, eb = edges[a], edges[b]
+    for i in range(q):
+        ea, eb = edges[f"q{i}"], edges[f"q{i + 1}"]
         c = num(ea) * eb["den"] == num(eb) * ea["den"]
         dup = c if dup is None else (dup | c)
     return F.when(dup, F.raise_error(F.lit(f"qcut: duplicate bin edges for {name}"))).otherwise(F.lit(True))
 
 
 def qcut(df: DataFrame, col: str, name: str, reverse: bool = False,
-         on_duplicate_edges: str = "error") -> DataFrame:
-    """pandas ``qcut(col, 4)`` labels 1..4 (4..1 with ``reverse``), exact edges."""
-    edges = exact_quantiles(df, col, [0.0, 0.25, 0.5, 0.75, 1.0])
+         on_duplicate_edges: str = "error", q: int = 4) -> DataFrame:
+    """pandas ``qcut(col, q)`` with labels 1..q (q..1 with ``reverse``) and exact edges.
+    ``on_duplicate_edges="error"`` fails like pandas when edges repeat; any other value
+    bins anyway (a repeated edge leaves its bin empty)."""
+    edges = exact_quantiles(df, col, [i / q for i in range(q + 1)])
     # one scalar subquery, attached once as a column and then referenced by name
-    scalar = edges.select(F.struct(*[F.col(f"q{i}").alias(f"q{i}") for i in range(5)])).scalar()
-    labels = [4, 3, 2, 1] if reverse else [1, 2, 3, 4]
+    scalar = edges.select(F.struct(*[F.col(f"q{i}").alias(f"q{i}") for i in range(q + 1)])).scalar()
+    labels = list(range(q, 0, -1)) if reverse else list(range(1, q + 1))
     e = F.col("_om_edges")
-    ok = _edge_check(e, col, on_duplicate_edges)
+    ok = _edge_check(e, col, on_duplicate_edges, q)
     return (df.withColumn("_om_edges", scalar)
             .withColumn(name, F.when(ok, _qcut_bins(F.col(col), e, labels))).drop("_om_edges"))
 
 
-def rfm_segments(master: DataFrame, customer: str = "customer_id", on_duplicate_edges: str = "error") -> DataFrame:
-    """Per customer: recency (days since last order, snapshot = last purchase + 1 day),
-    frequency, monetary, quartile scores R (reversed), F (on first-come ranks), M, their
-    sum, the F/M mean and the segment."""
+def rfm_segments(master: DataFrame, customer: str = "customer_id", on_duplicate_edges: str = "error",
+                 snapshot: str | None = None) -> DataFrame:
+    """Per customer: recency (whole days from the last order to ``snapshot``, by default
+    the last purchase + 1 day), frequency, monetary, quartile scores R (reversed),
+    F (on first-come ranks), M, their sum, the F/M mean and the segment."""
     ts = F.col("order_purchase_timestamp")
-    snap = F.timestamp_add("DAY", F.lit(1), master.agg(F.max(ts)).scalar())
+    if snapshot is None:
+        snap = F.timestamp_add("DAY", F.lit(1), master.agg(F.max(ts)).scalar())
+    else:
+        snap = F.to_timestamp_ntz(F.lit(snapshot))
     rfm = (master.where(F.col(customer).isNotNull()).groupBy(customer).agg(
         F.max(ts).alias("_last"),
         F.count("order_id").alias("frequency"),
@@ -375,9 +382,9 @@ def rfm_segment_expr(r: Column, f: Column, m: Column) -> Column:
             .when((r <= 2) & (fm >= 3), SEGMENTS[4]).otherwise(SEGMENTS[5]))
 
 
-def rfm_segment_summary(master: DataFrame, customer: str = "customer_id") -> DataFrame:
+def rfm_segment_summary(master: DataFrame, customer: str = "customer_id", snapshot: str | None = None) -> DataFrame:
     """segment, customers, avg_monetary."""
-    r = rfm_segments(master, customer)
+    r = rfm_segments(master, customer, snapshot=snapshot)
     return (r.groupBy("segment").agg(F.count(customer).alias("customers"),
                                      _mean("monetary").alias("avg_monetary"))
             .orderBy(F.desc("customers"), "segment"))

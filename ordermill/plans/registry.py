@@ -93,6 +93,7 @@ RAW: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "sql_payment_breakdown": _tables(lambda t: Q.payment_breakdown(t.payments, t.orders)),
     "sql_peak_times": _tables(lambda t: Q.peak_times(t.orders)),
     "sql_pareto_sellers": _tables(lambda t: Q.pareto_sellers(t.sellers, t.items, t.orders)),
+    "sql_pareto_sellers_pct": _tables(lambda t: Q.pareto_sellers(t.sellers, t.items, t.orders, top_pct=20)),
     "sql_mom_growth": _tables(lambda t: Q.mom_growth(t.orders, t.items)),
     "sql_rfm_scores": _tables(lambda t: Q.rfm_ntile(t.customers, t.orders, t.items, snapshot=FIXTURE_SNAPSHOT)),
     # analyses over the master table

@@ -18,7 +18,7 @@ from ordermill.functions.exact import WIDE, cents, half_up_div, money_avg, ratio
 from ordermill.functions.labels import LATE_LABEL, ON_TIME_LABEL
 from ordermill.functions.time import month_label, weekday_name
 from ordermill.operators.picks import order_review
-from ordermill.operators.ranking import global_ntile
+from ordermill.operators.ranking import global_ntile, ranked
 from ordermill.operators.reviews import fan_out_weight, latest_review_weights, review_weights
 
 DELIVERED = "delivered"
@@ -187,8 +187,8 @@ def seller_revenue(sellers: DataFrame, items: DataFrame, orders: DataFrame,
     return per_seller.join(sellers, "seller_id", "left_semi")
 
 
-def pareto(seller_rev: DataFrame, top_n: int = 20, entity: str = "seller_id",
-           value: str = "revenue") -> DataFrame:
+def pareto(seller_rev: DataFrame, top_n: int | None = 20, entity: str = "seller_id",
+           value: str = "revenue", top_pct: float | None = None) -> DataFrame:
     """Q8: rank, entity, value, % of entities, cumulative % of value for ranks <= top_n.
 
     ``ROW_NUMBER`` orders by value desc then entity; the cumulative sum uses SQL's
@@ -196,7 +196,14 @@ def pareto(seller_rev: DataFrame, top_n: int = 20, entity: str = "seller_id",
     needed, so the plan is a distributed top-k (``TakeOrderedAndProject``) plus global
     aggregates: the running sum at a top-k value ``v`` is the sum of all values >= v,
     which is the top-k rows above it plus every tie of the smallest kept value.  All
-    frames after the top-k have at most ``top_n + 1`` rows."""
+    frames after the top-k have at most ``top_n + 1`` rows.
+
+    With ``top_pct`` the rows kept are those with ``100 * rnk / n <= top_pct``, which
+    can be a large share of all entities: every entity is then ranked with the
+    distributed ranking, and the RANGE running sum comes from prefix sums over the
+    distinct values (in cents), joined back by value."""
+    if top_pct is not None:
+        return _pareto_pct(seller_rev, top_pct, entity, value)
     ranked_top = seller_rev.orderBy(F.desc(value), F.asc(entity)).limit(top_n)
     totals = seller_rev.agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("tot"))
     floor_value = ranked_top.agg(F.min(value)).scalar()
@@ -214,27 +221,47 @@ def pareto(seller_rev: DataFrame, top_n: int = 20, entity: str = "seller_id",
             .orderBy("rnk"))
 
 
-def pareto_sellers(sellers: DataFrame, items: DataFrame, orders: DataFrame, top_n: int = 20,
-                   status: str = DELIVERED) -> DataFrame:
-    return pareto(seller_revenue(sellers, items, orders, status), top_n=top_n)
+def _pareto_pct(seller_rev: DataFrame, top_pct: float, entity: str, value: str) -> DataFrame:
+    r = ranked(seller_rev.select(entity, value), [(value, False), (entity, True)], rank_col="rnk", total_col="n")
+    by_value = seller_rev.groupBy(value).agg(F.sum(cents(F.col(value))).cast("bigint").alias("v_cents"))
+    cum = ranked(by_value, [(value, False)], rank_col="_om_vr", sum_cols=["v_cents"],
+                 total_sum_col="tot_cents").select(value, "cum_v_cents", "tot_cents")
+    kept = r.where(F.col("rnk") * 100 <= F.lit(float(top_pct)) * F.col("n"))
+    return (kept.join(cum, value)
+            .select(F.col("rnk").cast("bigint").alias("rnk"), entity, F.col(value).cast("double").alias(value),
+                    ratio_round(F.col("rnk") * 100, F.col("n"), 1).alias("pct_of_sellers"),
+                    ratio_round(F.col("cum_v_cents") * 100, F.col("tot_cents"), 1).alias("pct_of_revenue"))
+            .orderBy("rnk"))
 
 
-def mom_growth(orders: DataFrame, items: DataFrame, window: int = 3, status: str = DELIVERED) -> DataFrame:
-    """Q9: month, revenue, previous month, growth % and trailing ``window``-month mean.
+def pareto_sellers(sellers: DataFrame, items: DataFrame, orders: DataFrame, top_n: int | None = 20,
+                   status: str = DELIVERED, top_pct: float | None = None) -> DataFrame:
+    return pareto(seller_revenue(sellers, items, orders, status), top_n=top_n, top_pct=top_pct)
 
-    The windows run over the month-grain aggregate (one row per month: bounded)."""
-    o = _delivered(orders, status).select("order_id", month_label("order_purchase_timestamp").alias("month"))
-    m = o.join(_items_per_order(items), "order_id").groupBy("month").agg(F.sum("it_price").alias("rev"))
-    by_month = Window.orderBy("month")
-    trail = by_month.rowsBetween(-(window - 1), 0)
-    prev = F.lag("rev").over(by_month)
-    growth = ratio_round(cents(F.col("rev") - prev) * 100, F.nullif(cents(prev), F.lit(0).cast(WIDE)), 1)
-    return m.select(
-        "month", F.col("rev").cast("double").alias("revenue"),
+
+def period_growth(df: DataFrame, period: str, value: str, window: int = 3) -> DataFrame:
+    """Per period (one row each, ordered by ``period``): value, previous value, growth %
+    (1 digit, null after a zero) and the trailing ``window``-period mean (2 digits).
+
+    ``df`` is already aggregated to one row per period (months or weeks: a bounded
+    frame), so the unpartitioned windows here stay small."""
+    by_period = Window.orderBy(period)
+    trail = by_period.rowsBetween(-(window - 1), 0)
+    prev = F.lag(value).over(by_period)
+    growth = ratio_round(cents(F.col(value) - prev) * 100, F.nullif(cents(prev), F.lit(0).cast(WIDE)), 1)
+    return df.select(
+        period, F.col(value).cast("double").alias("revenue"),
         prev.cast("double").alias("prev_month_revenue"),
         growth.alias("mom_growth_pct"),
-        money_avg(F.sum("rev").over(trail), F.count("rev").over(trail)).alias("rolling_3m_avg"),
-    ).orderBy("month")
+        money_avg(F.sum(value).over(trail), F.count(value).over(trail)).alias(f"rolling_{window}m_avg"),
+    ).orderBy(period)
+
+
+def mom_growth(orders: DataFrame, items: DataFrame, window: int = 3, status: str = DELIVERED) -> DataFrame:
+    """Q9: month, revenue, previous month, growth % and trailing ``window``-month mean."""
+    o = _delivered(orders, status).select("order_id", month_label("order_purchase_timestamp").alias("month"))
+    m = o.join(_items_per_order(items), "order_id").groupBy("month").agg(F.sum("it_price").alias("rev"))
+    return period_growth(m, "month", "rev", window)
 
 
 def rfm_ntile(customers: DataFrame, orders: DataFrame, items: DataFrame,

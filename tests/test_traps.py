@@ -153,3 +153,18 @@ def test_t18_review_fan_out_policies(spark):
     assert (fan.revenue, fan.avg_review_score, fan.orders) == (20.0, 3.0, 1)
     one = top_categories(items, products, tr, rv, review_policy="latest").first()
     assert (one.revenue, one.avg_review_score) == (10.0, 1.0)
+
+
+def test_pareto_top_pct_matches_top_n(spark):
+    from ordermill.plans.sql_suite import pareto
+    data = [(i, Decimal(v)) for i, v in enumerate([9, 9, 7, 5, 5, 5, 3, 2, 2, 1])]
+    df = spark.createDataFrame(data, "seller_id long, revenue decimal(22,2)")
+    pct = [tuple(r) for r in pareto(df, top_pct=50).collect()]
+    top = [tuple(r) for r in pareto(df, top_n=5).collect()]
+    assert pct == top and len(pct) == 5 and pct[-1][-1] == round(100 * 40 / 48, 1)
+
+
+def test_qcut_general_q_and_reverse(spark):
+    df = spark.createDataFrame([(i, i) for i in range(10)], "id long, v long")
+    got = [r.q for r in A.qcut(df, "v", "q", q=5, reverse=True).orderBy("v").collect()]
+    assert got == [5, 5, 4, 4, 3, 3, 2, 2, 1, 1]
