@@ -1,16 +1,18 @@
 """Global ranking, NTILE, running sums and exact quantiles without a single-task window.
 
 ``Window.orderBy(x)`` with no ``partitionBy`` moves every row into one task.  Here a
-global order is computed in three distributed steps:
+global order is computed in three distributed steps, all JVM-native:
 
 1. ``repartitionByRange`` on the full sort key (the caller's unique id is part of it, so
-   heavily tied values still spread over many partitions), then a local sort;
-2. one per-partition pass (``mapInPandas``, vectorised numpy) that numbers the rows and
-   keeps local running sums of integer columns; the result is ``checkpoint()``-ed to the
-   cluster's reliable checkpoint folder, which pins the sampled range bounds so that a
-   lost executor or a second read can never see a different partitioning;
-3. the per-partition totals (one row per partition, a bounded frame) are prefix-summed
-   and broadcast back as offsets.
+   heavily tied values still spread over many partitions), then a local sort, then
+   ``monotonically_increasing_id()`` which encodes (partition, position in partition);
+   the result is ``checkpoint()``-ed to the cluster's reliable checkpoint folder, which
+   pins the sampled range bounds so that a lost executor or a second read can never see
+   a different partitioning;
+2. per-partition counts (and sums) form a frame with one row per partition, whose prefix
+   sums are broadcast back as offsets; running sums inside a partition are a window keyed
+   by the pinned partition id;
+3. rank = offset + local position.
 
 Everything above entity grain is a plain aggregate; nothing is collected to the driver.
 """
@@ -18,13 +20,10 @@ Everything above entity grain is a plain aggregate; nothing is collected to the
 from __future__ import annotations
 
 from fractions import Fraction
-from typing import Iterable, Sequence
+from typing import Sequence
 
-import numpy as np
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ordermill.functions.exact import div_floor
 from ordermill.session import ensure_checkpoint_dir
@@ -32,6 +31,7 @@ from ordermill.session import ensure_checkpoint_dir
 Order = Sequence[tuple[str, bool]]  # (column, ascending)
 
 _PID, _LRN = "_om_pid", "_om_lrn"
+_LOW_MASK = (1 << 33) - 1  # monotonically_increasing_id: partition << 33 | position
 
 
 def _sort_exprs(order: Order) -> list[Column]:
@@ -39,47 +39,35 @@ def _sort_exprs(order: Order) -> list[Column]:
     return [F.col(c).asc_nulls_first() if asc else F.col(c).desc_nulls_last() for c, asc in order]
 
 
-def _local_prefix(sum_cols: Sequence[str]):
-    def run(batches: Iterable):
-        pid = TaskContext.get().partitionId()
-        seen = 0
-        acc = {c: 0 for c in sum_cols}
-        for pdf in batches:
-            m = len(pdf)
-            pdf[_PID] = np.int64(pid)
-            pdf[_LRN] = np.arange(seen + 1, seen + m + 1, dtype=np.int64)
-            for c in sum_cols:
-                run_sum = pdf[c].fillna(0).astype(np.int64).cumsum() + acc[c]
-                pdf[f"_om_lcum_{c}"] = run_sum
-                if m:
-                    acc[c] = int(run_sum.iloc[-1])
-            seen += m
-            yield pdf
-    return run
-
-
 def ranked(df: DataFrame, order: Order, *, rank_col: str = "rn", total_col: str | None = None,
            sum_cols: Sequence[str] = (), partitions: int | None = None,
            total_sum_col: str | None = None) -> DataFrame:
     """Add ``rank_col`` = 1-based position in ``order`` (must be a total order: end it
     with a unique id), optionally ``total_col`` = row count, and for each integral column
     ``c`` in ``sum_cols`` an inclusive running sum ``cum_<c>`` (and, with
-    ``total_sum_col``, the grand total of the first of them)."""
+    ``total_sum_col``, the grand total of the first of them).
+
+    ``monotonically_increasing_id()`` evaluated right after the local sort encodes the
+    partition index (upper 31 bits) and the row's position in the sorted partition (lower
+    33 bits); the checkpoint pins both together with the sampled range bounds."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     n_parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     sorts = _sort_exprs(order)
-    base = df.select(*df.columns, *[F.col(c).cast("bigint").alias(f"_om_v_{c}") for c in sum_cols])
     vcols = [f"_om_v_{c}" for c in sum_cols]
-    schema = T.StructType(base.schema.fields
-                          + [T.StructField(_PID, T.LongType()), T.StructField(_LRN, T.LongType())]
-                          + [T.StructField(f"_om_lcum_{c}", T.LongType()) for c in vcols])
+    base = df.select(*df.columns, *[F.col(c).cast("bigint").alias(v) for c, v in zip(sum_cols, vcols)])
     local = (base.repartitionByRange(n_parts, *sorts)
              .sortWithinPartitions(*sorts)
-             .mapInPandas(_local_prefix(vcols), schema)
+             .withColumn("_om_mid", F.monotonically_increasing_id())
              .checkpoint(eager=True))
-    totals = local.groupBy(_PID).agg(F.max(_LRN).alias("_om_cnt"),
-                                     *[F.max(f"_om_lcum_{c}").alias(f"_om_tot_{c}") for c in vcols])
+    local = (local.withColumn(_PID, F.shiftright(F.col("_om_mid"), 33))
+             .withColumn(_LRN, F.col("_om_mid").bitwiseAND(F.lit(_LOW_MASK)) + 1))
+    if vcols:
+        # running sums inside each range partition: a window keyed by the pinned partition id
+        within = Window.partitionBy(_PID).orderBy(_LRN).rowsBetween(Window.unboundedPreceding, 0)
+        local = local.select("*", *[F.sum(v).over(within).alias(f"_om_lcum_{v}") for v in vcols])
+    totals = local.groupBy(_PID).agg(F.count(F.lit(1)).alias("_om_cnt"),
+                                     *[F.sum(v).alias(f"_om_tot_{v}") for v in vcols])
     before = Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.partitionBy()
     # ``totals`` has at most ``n_parts`` rows: a single-partition window over it is bounded.
