@@ -29,3 +29,16 @@ def test_sinks_roundtrip(spark):
     write_table(df, os.path.join(d, "c"), fmt="csv")
     assert spark.read.parquet(os.path.join(d, "p")).count() == 2
     assert spark.read.option("header", True).csv(os.path.join(d, "c")).count() == 2
+
+
+def test_cleaning_and_analysis_jobs_write_outputs(spark):
+    from conftest import SF_SMALL
+    from ordermill.plans.jobs import ANALYSIS_OUTPUTS, run_analyses, run_cleaning
+    from ordermill.sources.fixture import fixture_tables
+    out = tempfile.mkdtemp(prefix="om-jobs-")
+    master = run_cleaning(fixture_tables(spark, SF_SMALL), out)
+    assert master.count() == 1007 and "month" in master.columns
+    assert spark.read.parquet(os.path.join(out, "items_clean")).count() > 0
+    written = run_analyses(master, out)
+    assert set(written) == set(ANALYSIS_OUTPUTS)
+    assert spark.read.parquet(os.path.join(out, "analyses", "rfm_segments")).count() > 0
