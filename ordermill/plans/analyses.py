@@ -20,6 +20,7 @@ from ordermill.functions.labels import (SEGMENTS, SEVERITY_BANDS, SEVERITY_LABEL
 from ordermill.functions.time import floor_days, month_label, week_start
 from ordermill.operators.ranking import exact_quantiles, global_row_number, le_quantile
 from ordermill.operators.stats import (box_stats, hash_sample, histogram, linear_fit)
+from ordermill.session import materialize
 
 
 def _mean(col: str | Column) -> Column:
@@ -271,6 +272,8 @@ def seller_health(master: DataFrame, weights: Sequence[float] = (40, 40, 20),
              _mean("review_score").alias("avg_score"),
              _mean(F.col("is_late").cast("int")).alias("late_rate"),
              _mean("delivery_days").alias("avg_delivery")))
+    # the seller-grain stats feed the max-orders scalar and the scores: aggregate once
+    s = materialize(s)
     max_orders = s.agg(F.max("orders")).scalar()
     s = (s.withColumn("score_review", F.col("avg_score") / 5 * w1)
           .withColumn("score_ontime", (1 - F.col("late_rate")) * w2)
@@ -354,7 +357,9 @@ def rfm_segments(master: DataFrame, customer: str = "customer_id", on_duplicate_
         F.max(ts).alias("_last"),
         F.count("order_id").alias("frequency"),
         _zero_sum("total_price").alias("monetary")))
-    rfm = rfm.select(customer, floor_days(F.col("_last"), snap).alias("recency"), "frequency", "monetary")
+    # the customer-grain frame feeds two quantile passes, a ranking and a count: aggregate once
+    rfm = materialize(rfm.select(customer, floor_days(F.col("_last"), snap).alias("recency"), "frequency",
+                                 "monetary"))
     rfm = qcut(rfm, "recency", "r_score", reverse=True, on_duplicate_edges=on_duplicate_edges)
     rfm = qcut(rfm, "monetary", "m_score", on_duplicate_edges=on_duplicate_edges)
     # F: qcut over rank(method="first") = 1..n, whose quartile edges are 1 + (n - 1) * i / 4

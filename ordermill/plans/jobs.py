@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from ordermill.operators.clean import clean_items, clean_orders, delivered_orders, delivery_summary
 from ordermill.operators.quality import dedup_report, null_report, profile_tables
 from ordermill.plans import analyses as A
-from ordermill.plans.master import build_master, materialize
+from ordermill.plans.master import build_master
+from ordermill.session import materialize
 from ordermill.sources.readers import read_marketplace_csv
 from ordermill.sources.roles import Tables
 from ordermill.sources.sinks import write_table

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ordermill.functions.time import hours_between
-from ordermill.session import ensure_checkpoint_dir
+from ordermill.session import materialize  # noqa: F401  (re-exported)
 from ordermill.operators.clean import clean_items, clean_orders, delivered_orders
 from ordermill.operators.picks import (category_agg, order_payment, order_review, revenue_aggs,
                                        seller_agg, with_category)
@@ -73,10 +73,3 @@ def build_master(t: Tables, *, items_clean: DataFrame | None = None, status: str
                     hours_between("order_estimated_delivery_date", "order_delivered_customer_date")
                     .alias("delay_hours"))
 
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the cluster's reliable checkpoint folder and return the
-    re-read frame: its lineage is cut, so the many analyses over the master table never
-    recompute the cleaning, and a lost executor re-reads files instead of re-running it."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)

@@ -16,7 +16,8 @@ from pyspark.sql import types as T
 from ordermill.operators import clean, picks, quality
 from ordermill.plans import analyses as A
 from ordermill.plans import sql_suite as Q
-from ordermill.plans.master import build_master, materialize
+from ordermill.plans.master import build_master
+from ordermill.session import materialize
 from ordermill.sources.fixture import fixture_tables
 
 # The test tables' dates run 1995-2001, so the fixed RFM snapshot is placed just after.

@@ -20,6 +20,7 @@ from ordermill.functions.time import month_label, weekday_name
 from ordermill.operators.picks import order_review
 from ordermill.operators.ranking import global_ntile, ranked
 from ordermill.operators.reviews import fan_out_weight, latest_review_weights, review_weights
+from ordermill.session import materialize
 
 DELIVERED = "delivered"
 
@@ -196,7 +197,8 @@ def pareto(seller_rev: DataFrame, top_n: int | None = 20, entity: str = "seller_
     needed, so the plan is a distributed top-k (``TakeOrderedAndProject``) plus global
     aggregates: the running sum at a top-k value ``v`` is the sum of all values >= v,
     which is the top-k rows above it plus every tie of the smallest kept value.  All
-    frames after the top-k have at most ``top_n + 1`` rows.
+    frames after the top-k have at most ``top_n + 1`` rows.  The input is read three
+    times (top-k, totals, ties): pass a materialised frame if it is expensive.
 
     With ``top_pct`` the rows kept are those with ``100 * rnk / n <= top_pct``, which
     can be a large share of all entities: every entity is then ranked with the
@@ -236,7 +238,8 @@ def _pareto_pct(seller_rev: DataFrame, top_pct: float, entity: str, value: str)
 
 def pareto_sellers(sellers: DataFrame, items: DataFrame, orders: DataFrame, top_n: int | None = 20,
                    status: str = DELIVERED, top_pct: float | None = None) -> DataFrame:
-    return pareto(seller_revenue(sellers, items, orders, status), top_n=top_n, top_pct=top_pct)
+    # the seller-grain revenue is read by the top-k, the totals and the tie count
+    return pareto(materialize(seller_revenue(sellers, items, orders, status)), top_n=top_n, top_pct=top_pct)
 
 
 def period_growth(df: DataFrame, period: str, value: str, window: int = 3) -> DataFrame:

@@ -59,3 +59,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         configured = tempfile.mkdtemp(prefix="ordermill-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
+
+
+def materialize(df):
+    """Write ``df`` once to the reliable checkpoint folder and return the re-read frame.
+
+    Used for frames that several later passes read (an entity-grain aggregate feeding a
+    top-k, a total and a tie count; the master table feeding every analysis): their
+    lineage is cut, nothing is recomputed per pass, and a lost executor re-reads files."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
