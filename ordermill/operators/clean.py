@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ordermill.functions.exact import WIDE, cents, half_up_div
+from ordermill.functions.exact import cents, half_up_div
 from ordermill.functions.time import floor_days, is_late, month_label, weekday_name
 from ordermill.operators.picks import dedup
 from ordermill.operators.ranking import exact_quantiles

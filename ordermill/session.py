@@ -48,7 +48,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint directory, setting one only where none is set.
 
     The cluster names a shared folder in ``spark.checkpoint.dir``; we read it from the
-    session.  Only when it is unset (local runs, tests) do we create a private folder.
+    session.  Only a local-mode session without the setting (tests, local runs) gets a
+    private temporary folder; a cluster session without it is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -56,6 +57,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local"):
+            # executors cannot share a machine-local folder: require the cluster's shared one
+            raise RuntimeError("spark.checkpoint.dir is not set; ordermill needs a shared folder "
+                               "(e.g. on HDFS or an object store) for its checkpoints")
         configured = tempfile.mkdtemp(prefix="ordermill-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
