@@ -56,3 +56,25 @@ def money_avg(sum_money, count, digits: int = 2) -> Column:
 
 def to_double(col) -> Column:
     return _c(col).cast("double")
+
+
+def to_cents(money) -> Column:
+    """Exact integer cents of a two-decimal money value as BIGINT.  Sums of cents stay
+    in 64-bit integer arithmetic inside whole-stage codegen (wide DECIMAL sums fall back
+    to arbitrary-precision objects per row); BIGINT holds 9.2e16 currency units per group."""
+    return (_c(money) * 100).cast("bigint")
+
+
+def from_cents(cents_col, dtype: str = "decimal(22,2)") -> Column:
+    """DECIMAL money from integer cents (exact)."""
+    return (_c(cents_col).cast(WIDE) / 100).cast(dtype)
+
+
+def cents_to_double(cents_col) -> Column:
+    """DOUBLE money from integer cents: the same double as casting the exact DECIMAL."""
+    return _c(cents_col).cast("double") / 100
+
+
+def cents_avg(sum_cents, count, digits: int = 2) -> Column:
+    """``ROUND(AVG(money), digits)`` from a sum of cents and a non-null count."""
+    return ratio_round(sum_cents, _c(count) * 100, digits)

@@ -15,6 +15,8 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ordermill.functions.exact import from_cents, to_cents
+
 
 def _first_struct(df: DataFrame, keys: Sequence[str], order_by: Sequence[str]) -> tuple[list[str], Column]:
     rest = [c for c in df.columns if c not in keys and c not in order_by]
@@ -34,10 +36,12 @@ def dedup(df: DataFrame, keys: Sequence[str], order_by: Sequence[str] = ()) -> D
 # --- aggregate expressions shared by the single-purpose picks and the master build ------
 
 def revenue_aggs() -> list[Column]:
+    # summed as integer cents (exact, primitive arithmetic), returned as DECIMAL money;
     # pandas sums of an all-null group are 0 (not null)
-    zero = F.lit(0).cast("decimal(12,2)")
-    return [F.coalesce(F.sum("price"), zero).alias("total_price"),
-            F.coalesce(F.sum("freight_value"), zero).alias("total_freight"),
+    def money_sum(c: str) -> Column:
+        return from_cents(F.coalesce(F.sum(to_cents(F.col(c))), F.lit(0).cast("bigint")))
+    return [money_sum("price").alias("total_price"),
+            money_sum("freight_value").alias("total_freight"),
             F.count("order_item_id").alias("item_count")]
 
 

@@ -45,7 +45,7 @@ def _product(spark: SparkSession, sf: str, name: str, build) -> DataFrame:
 
 def _items_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return _product(spark, sf, "items_dedup",
-                    lambda: picks.dedup(fixture_tables(spark, sf).items, ["order_id", "order_item_id"]))
+                    lambda: picks.dedup(tables_for(spark, sf).items, ["order_id", "order_item_id"]))
 
 
 def _items_clean(spark: SparkSession, sf: str) -> DataFrame:
@@ -54,11 +54,22 @@ def _items_clean(spark: SparkSession, sf: str) -> DataFrame:
 
 def _master(spark: SparkSession, sf: str) -> DataFrame:
     return _product(spark, sf, "master",
-                    lambda: build_master(fixture_tables(spark, sf), items_clean=_items_clean(spark, sf)))
+                    lambda: build_master(tables_for(spark, sf), items_clean=_items_clean(spark, sf)))
+
+
+_TABLES: dict[tuple[str, str], object] = {}
+
+
+def tables_for(spark: SparkSession, sf: str):
+    """The (lazy) role tables of one input folder, built once per application."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _TABLES:
+        _TABLES[key] = fixture_tables(spark, sf)
+    return _TABLES[key]
 
 
 def _tables(fn):
-    return lambda spark, sf: fn(fixture_tables(spark, sf))
+    return lambda spark, sf: fn(tables_for(spark, sf))
 
 
 def _on_master(fn):
@@ -80,7 +91,7 @@ RAW: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "delivery_summary": _tables(lambda t: clean.delivery_summary(clean.delivered_orders(clean.clean_orders(t.orders)))),
     "order_revenue": lambda spark, sf: picks.order_revenue(_items_clean(spark, sf)),
     "order_category": lambda spark, sf: picks.order_category(_items_dedup(spark, sf),
-                                                             fixture_tables(spark, sf).products),
+                                                             tables_for(spark, sf).products),
     "order_seller": lambda spark, sf: picks.order_seller(_items_dedup(spark, sf)),
     "order_payment": _tables(lambda t: picks.order_payment(t.payments)),
     "order_review": _tables(lambda t: picks.order_review(t.reviews, t.review_order)),

@@ -14,7 +14,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ordermill.functions.exact import WIDE, cents, half_up_div, money_avg, ratio_round
+from ordermill.functions.exact import (WIDE, cents, cents_avg, cents_to_double, from_cents, half_up_div,
+                                       money_avg, ratio_round, to_cents)
 from ordermill.functions.labels import LATE_LABEL, ON_TIME_LABEL
 from ordermill.functions.time import month_label, weekday_name
 from ordermill.operators.picks import order_review
@@ -36,9 +37,10 @@ def _late_flag() -> "F.Column":
 
 
 def _items_per_order(items: DataFrame) -> DataFrame:
+    """order_id, it_cents (sum of price in cents), it_n (non-null prices), it_freight_cents."""
     return items.groupBy("order_id").agg(
-        F.sum("price").alias("it_price"), F.count("price").alias("it_n"),
-        F.sum("freight_value").alias("it_freight"))
+        F.sum(to_cents(F.col("price"))).alias("it_cents"), F.count("price").alias("it_n"),
+        F.sum(to_cents(F.col("freight_value"))).alias("it_freight_cents"))
 
 
 def monthly_trend_sql(orders: DataFrame, items: DataFrame, status: str = DELIVERED) -> DataFrame:
@@ -50,10 +52,10 @@ def monthly_trend_sql(orders: DataFrame, items: DataFrame, status: str = DELIVER
     j = o.join(_items_per_order(items), "order_id")
     g = j.groupBy("month").agg(
         F.count_distinct("order_id").alias("total_orders"),
-        F.sum("it_price").alias("s"), F.sum("it_n").alias("n"), F.sum("it_freight").alias("f"))
-    return g.select("month", "total_orders", F.col("s").cast("double").alias("total_revenue"),
-                    money_avg(F.col("s"), F.col("n")).alias("avg_order_value"),
-                    F.col("f").cast("double").alias("total_freight")).orderBy("month")
+        F.sum("it_cents").alias("s"), F.sum("it_n").alias("n"), F.sum("it_freight_cents").alias("f"))
+    return g.select("month", "total_orders", cents_to_double(F.col("s")).alias("total_revenue"),
+                    cents_avg(F.col("s"), F.col("n")).alias("avg_order_value"),
+                    cents_to_double(F.col("f")).alias("total_freight")).orderBy("month")
 
 
 def top_categories(items: DataFrame, products: DataFrame, translation: DataFrame,
@@ -75,11 +77,11 @@ def top_categories(items: DataFrame, products: DataFrame, translation: DataFrame
          .join(translation, "product_category_name"))
     g = j.groupBy(F.col("product_category_name_english").alias("category")).agg(
         F.count_distinct("order_id").alias("orders"),
-        F.sum(F.col("price") * w).alias("s"),
+        F.sum(to_cents(F.col("price")) * w).alias("s"),
         F.sum(F.when(F.col("price").isNotNull(), w)).alias("n"),
         F.sum("rv_sum").alias("rs"), F.sum("rv_n").alias("rn"))
-    return (g.select("category", "orders", F.col("s").cast("double").alias("revenue"),
-                     money_avg(F.col("s"), F.col("n")).alias("avg_price"),
+    return (g.select("category", "orders", cents_to_double(F.col("s")).alias("revenue"),
+                     cents_avg(F.col("s"), F.col("n")).alias("avg_price"),
                      ratio_round(F.col("rs"), F.col("rn"), 2).alias("avg_review_score"))
             .orderBy(F.desc_nulls_last("revenue"), F.asc("category")).limit(k))
 
@@ -136,7 +138,7 @@ def seller_health_items(sellers: DataFrame, items: DataFrame, orders: DataFrame,
          .join(o, "order_id").join(review_weights(reviews), "order_id", "left"))
     per_seller = j.groupBy("seller_id").agg(
         F.count_distinct("order_id").alias("total_orders"),
-        F.sum(F.col("price") * w).alias("s"),
+        F.sum(to_cents(F.col("price")) * w).alias("s"),
         F.sum(F.coalesce(F.col("rv_sum"), F.lit(0))).alias("rs"),
         F.sum(F.coalesce(F.col("rv_n"), F.lit(0))).alias("rn"),
         F.sum(w).alias("rows"), F.sum(F.col("late") * w).alias("late"))
@@ -149,7 +151,7 @@ def seller_health_items(sellers: DataFrame, items: DataFrame, orders: DataFrame,
            + w3 * capped * rn * rows * 5)
     health = (half_up_div(num * 10, den).cast("double") / 10)
     return (g.select("seller_id", "seller_state", "total_orders",
-                     F.col("s").cast("double").alias("total_revenue"),
+                     cents_to_double(F.col("s")).alias("total_revenue"),
                      ratio_round(F.col("rs"), F.col("rn"), 2).alias("avg_review"),
                      ratio_round(F.col("late") * 100, F.col("rows"), 2).alias("late_rate_pct"),
                      health.alias("health_score"))
@@ -184,7 +186,7 @@ def seller_revenue(sellers: DataFrame, items: DataFrame, orders: DataFrame,
     """Revenue of delivered orders per seller (aggregated before the sellers join)."""
     o = _delivered(orders, status).select("order_id")
     per_seller = (items.select("order_id", "seller_id", "price").join(o, "order_id")
-                  .groupBy("seller_id").agg(F.sum("price").alias("revenue")))
+                  .groupBy("seller_id").agg(from_cents(F.sum(to_cents(F.col("price")))).alias("revenue")))
     return per_seller.join(sellers, "seller_id", "left_semi")
 
 
@@ -263,7 +265,8 @@ def period_growth(df: DataFrame, period: str, value: str, window: int = 3) -> Da
 def mom_growth(orders: DataFrame, items: DataFrame, window: int = 3, status: str = DELIVERED) -> DataFrame:
     """Q9: month, revenue, previous month, growth % and trailing ``window``-month mean."""
     o = _delivered(orders, status).select("order_id", month_label("order_purchase_timestamp").alias("month"))
-    m = o.join(_items_per_order(items), "order_id").groupBy("month").agg(F.sum("it_price").alias("rev"))
+    m = (o.join(_items_per_order(items), "order_id").groupBy("month")
+         .agg(from_cents(F.sum("it_cents")).alias("rev")))
     return period_growth(m, "month", "rev", window)
 
 
@@ -276,12 +279,14 @@ def rfm_ntile(customers: DataFrame, orders: DataFrame, items: DataFrame,
     The three NTILEs are global orders over all customers, computed with the
     distributed ranking (ties broken by customer_unique_id)."""
     o = _delivered(orders, status).select("order_id", "customer_id", "order_purchase_timestamp")
-    j = (o.join(_items_per_order(items).select("order_id", "it_price"), "order_id")
+    j = (o.join(_items_per_order(items).select("order_id", "it_cents"), "order_id")
          .join(customers.select("customer_id", "customer_unique_id"), "customer_id"))
     raw = j.groupBy("customer_unique_id").agg(
         F.datediff(F.to_date(F.lit(snapshot)), F.max("order_purchase_timestamp")).alias("recency_days"),
         F.count_distinct("order_id").alias("frequency"),
-        F.sum("it_price").alias("monetary"))
+        F.sum("it_cents").alias("monetary_cents"))
+    # cents order exactly like the money amounts; converted back once per customer
+    raw = raw.select("customer_unique_id", "recency_days", "frequency", from_cents(F.col("monetary_cents")).alias("monetary"))
     cid = ("customer_unique_id", True)
     s = global_ntile(raw, n, [("recency_days", False), cid], "R_score", method=method)
     s = global_ntile(s, n, [("frequency", True), cid], "F_score", method=method)
