@@ -43,15 +43,17 @@ def _items_per_order(items: DataFrame) -> DataFrame:
         F.sum(to_cents(F.col("freight_value"))).alias("it_freight_cents"))
 
 
-def monthly_trend_sql(orders: DataFrame, items: DataFrame, status: str = DELIVERED) -> DataFrame:
+def monthly_trend_sql(orders: DataFrame, items: DataFrame, status: str = DELIVERED,
+                      approx_distinct: bool = False) -> DataFrame:
     """Q1: month, total_orders, total_revenue, avg_order_value (mean *item* price), total_freight.
 
     Items are summed per order before the join, so the join and the month aggregate see
     one row per order instead of one per item."""
     o = _delivered(orders, status).select("order_id", month_label("order_purchase_timestamp").alias("month"))
     j = o.join(_items_per_order(items), "order_id")
+    distinct = F.approx_count_distinct if approx_distinct else F.count_distinct
     g = j.groupBy("month").agg(
-        F.count_distinct("order_id").alias("total_orders"),
+        distinct("order_id").alias("total_orders"),
         F.sum("it_cents").alias("s"), F.sum("it_n").alias("n"), F.sum("it_freight_cents").alias("f"))
     return g.select("month", "total_orders", cents_to_double(F.col("s")).alias("total_revenue"),
                     cents_avg(F.col("s"), F.col("n")).alias("avg_order_value"),
