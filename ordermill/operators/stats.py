@@ -23,13 +23,25 @@ def sample_key(key: Column, dtype: T.DataType, seed: int) -> Column:
     return F.xxhash64(key, F.lit(seed))
 
 
-def hash_sample(df: DataFrame, key: str, k: int = 3000, seed: int = 42) -> DataFrame:
+def hash_sample(df: DataFrame, key: str, k: int = 3000, seed: int = 42, oversample: int = 8) -> DataFrame:
     """The ``k`` rows with the smallest seeded hash of ``key`` (ties by ``key``).
 
-    A distributed top-k: each partition keeps its best ``k``, then they are merged;
-    ``k`` bounds what reaches the final task."""
-    h = sample_key(F.col(key), df.schema[key].dataType, seed)
-    return df.withColumn("_om_h", h).orderBy("_om_h", key).limit(k).drop("_om_h")
+    A plain top-k would ship ``k`` candidates from every partition into one merging
+    task.  The hash of an integral id is uniform on [0, 2^31 - 1), so rows are first
+    filtered to ``hash < T`` with ``T`` sized to pass about ``oversample * k`` rows; if
+    fewer than ``min(k, n)`` rows pass (vanishingly rare), ``T`` falls back to no limit.
+    Either way the rows kept contain the exact ``k`` smallest, and the final top-k
+    merges only a few thousand rows."""
+    dtype = df.schema[key].dataType
+    h = sample_key(F.col(key), dtype, seed)
+    hashed = df.withColumn("_om_h", h)
+    if not isinstance(dtype, (T.LongType, T.IntegerType, T.ShortType)):
+        return hashed.orderBy("_om_h", key).limit(k).drop("_om_h")
+    n = df.agg(F.count(F.lit(1))).scalar()
+    first_cut = F.least(F.lit(float(HASH_MOD)), F.lit(float(HASH_MOD * oversample * k)) / F.greatest(n, F.lit(1)))
+    passed = hashed.where(F.col("_om_h") < first_cut).agg(F.count(F.lit(1))).scalar()
+    cut = F.when(passed >= F.least(n, F.lit(k)), first_cut).otherwise(F.lit(float(HASH_MOD)))
+    return hashed.where(F.col("_om_h") < cut).orderBy("_om_h", key).limit(k).drop("_om_h")
 
 
 def linear_fit(df: DataFrame, x: str, y: str, points: int = 100, digits: int | None = None) -> DataFrame:

@@ -168,3 +168,13 @@ def test_qcut_general_q_and_reverse(spark):
     df = spark.createDataFrame([(i, i) for i in range(10)], "id long, v long")
     got = [r.q for r in A.qcut(df, "v", "q", q=5, reverse=True).orderBy("v").collect()]
     assert got == [5, 5, 4, 4, 3, 3, 2, 2, 1, 1]
+
+
+@pytest.mark.parametrize("k", [1, 50, 400, 1000])
+def test_hash_sample_threshold_is_exact(spark, k):
+    from ordermill.operators.stats import hash_sample, sample_key
+    df = spark.range(0, 700).withColumnRenamed("id", "order_id").withColumn("x", F.col("order_id") * 2)
+    got = sorted(r.order_id for r in hash_sample(df, "order_id", k=k, oversample=1).collect())
+    ref = (df.withColumn("h", sample_key(F.col("order_id"), df.schema["order_id"].dataType, 42))
+             .orderBy("h", "order_id").limit(k))
+    assert got == sorted(r.order_id for r in ref.collect()) and len(got) == min(k, 700)
