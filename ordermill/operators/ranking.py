@@ -131,7 +131,7 @@ def _fraction(p: float) -> Fraction:
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = (),
-                    *, partitions: int | None = None) -> DataFrame:
+                    *, partitions: int | None = None, count_col: str | None = None) -> DataFrame:
     """Linear-interpolation quantiles (numpy/pandas default, ``quantile_cont``), exactly.
 
     Returns one row per group of ``by`` with, for every probability ``i``, a struct
@@ -141,10 +141,14 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Seque
 
     Work is distributed: values are first counted per distinct value (partial
     aggregation), then ranked globally (see :func:`ranked`); no group is held in one task.
+    With ``count_col`` the input already holds one row per (group, value) with its count.
     """
     by = list(by)
-    counts = (df.where(F.col(value).isNotNull())
-              .groupBy(*by, value).agg(F.count(F.lit(1)).alias("_om_c")))
+    if count_col:
+        counts = df.where(F.col(value).isNotNull()).select(*by, value, F.col(count_col).alias("_om_c"))
+    else:
+        counts = (df.where(F.col(value).isNotNull())
+                  .groupBy(*by, value).agg(F.count(F.lit(1)).alias("_om_c")))
     order = [(c, True) for c in by] + [(value, True)]
     r = ranked(counts, order, rank_col="_om_r", sum_cols=["_om_c"], partitions=partitions,
                total_sum_col="_om_all")

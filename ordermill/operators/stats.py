@@ -66,23 +66,29 @@ def linear_fit(df: DataFrame, x: str, y: str, points: int = 100, digits: int | N
 
 def box_stats(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
     """Per group: n, mean, q1, median, q3 (linear interpolation), the 1.5 IQR fences,
-    whiskers (most extreme values inside the fences) and the outlier count."""
+    whiskers (most extreme values inside the fences) and the outlier count.
+
+    The rows are read once, into counts per (group, value) with map-side partial
+    aggregation; quartiles, whiskers, outliers and the mean all come from that frame,
+    whose size is the number of distinct values, so no raw row is joined or re-read."""
     by = list(by)
-    q = exact_quantiles(df, value, [0.25, 0.5, 0.75], by)
+    counts = (df.where(F.col(value).isNotNull()).groupBy(*by, value)
+              .agg(F.count(F.lit(1)).alias("_om_c")))
+    q = exact_quantiles(counts, value, [0.25, 0.5, 0.75], by, count_col="_om_c")
     q = q.select(*by, quantile_double(F.col("q0")).alias("q1"), quantile_double(F.col("q1")).alias("median"),
                  quantile_double(F.col("q2")).alias("q3"))
     q = (q.withColumn("iqr", F.col("q3") - F.col("q1"))
           .withColumn("lower_fence", F.col("q1") - 1.5 * F.col("iqr"))
           .withColumn("upper_fence", F.col("q3") + 1.5 * F.col("iqr")))
-    v = F.col(value).cast("double")
+    v, c = F.col(value).cast("double"), F.col("_om_c")
     inside = (v >= F.col("lower_fence")) & (v <= F.col("upper_fence"))
-    g = (df.where(F.col(value).isNotNull()).join(q, by)
+    g = (counts.join(q, by)
          .groupBy(*by, "q1", "median", "q3", "iqr", "lower_fence", "upper_fence").agg(
-             F.count(F.lit(1)).alias("n"),
-             F.try_divide(F.sum(F.col(value)).cast("double"), F.count(F.col(value))).alias("mean"),
+             F.sum(c).alias("n"),
+             F.try_divide(F.sum(F.col(value) * c).cast("double"), F.sum(c)).alias("mean"),
              F.min(F.when(inside, v)).alias("whisker_low"),
              F.max(F.when(inside, v)).alias("whisker_high"),
-             F.count_if(~inside).alias("outliers")))
+             F.coalesce(F.sum(F.when(~inside, c)), F.lit(0)).alias("outliers")))
     return g.select(*by, "n", "mean", "q1", "median", "q3", "iqr", "lower_fence", "upper_fence",
                     "whisker_low", "whisker_high", "outliers").orderBy(*by)
 

@@ -178,3 +178,21 @@ def test_hash_sample_threshold_is_exact(spark, k):
     ref = (df.withColumn("h", sample_key(F.col("order_id"), df.schema["order_id"].dataType, 42))
              .orderBy("h", "order_id").limit(k))
     assert got == sorted(r.order_id for r in ref.collect()) and len(got) == min(k, 700)
+
+
+def test_box_stats_whiskers_and_outliers_match_numpy(spark):
+    import numpy as np
+    from ordermill.operators.stats import box_stats
+    data = {"a": [1, 2, 2, 3, 3, 3, 4, 20, -9], "b": [5, 5, 5, 5, 6]}
+    df = spark.createDataFrame([(g, v) for g, vs in data.items() for v in vs] + [("a", None)], "g string, v long")
+    got = {r.g: r for r in box_stats(df, "v", ["g"]).collect()}
+    for g, vs in data.items():
+        a = np.array(vs, dtype=float)
+        q1, med, q3 = np.percentile(a, [25, 50, 75])
+        lo, hi = q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
+        inside = a[(a >= lo) & (a <= hi)]
+        r = got[g]
+        assert (r.q1, r.median, r.q3) == pytest.approx((q1, med, q3))
+        assert (r.whisker_low, r.whisker_high) == (inside.min(), inside.max())
+        assert r.outliers == int(((a < lo) | (a > hi)).sum()) and r.n == len(vs)
+        assert r.mean == pytest.approx(a.mean())
