@@ -287,12 +287,21 @@ def seller_health(master: DataFrame, weights: Sequence[float] = (40, 40, 20),
 
 def seller_health_histogram(master: DataFrame, bins: int = 30) -> DataFrame:
     """Equal-width histogram of the health scores (all ``bins`` bins, empty ones 0)."""
-    return histogram(seller_health(master), "health_score", bins)
+    return health_histogram(seller_health(master), bins)
+
+
+def health_histogram(health: DataFrame, bins: int = 30) -> DataFrame:
+    """The histogram from an already computed :func:`seller_health` frame."""
+    return histogram(health, "health_score", bins)
 
 
 def seller_tiers(master: DataFrame, cuts: Sequence[float] = TIER_CUTS) -> DataFrame:
     """tier, sellers in the fixed tier order; tiers without sellers are left out."""
-    h = seller_health(master, cuts=cuts)
+    return tier_counts(seller_health(master, cuts=cuts))
+
+
+def tier_counts(h: DataFrame) -> DataFrame:
+    """Tier counts from an already computed :func:`seller_health` frame."""
     order = F.when(F.col("tier") == TIER_LABELS[0], 1)
     for i, label in enumerate(TIER_LABELS[1:], start=2):
         order = order.when(F.col("tier") == label, i)
@@ -390,7 +399,11 @@ def rfm_segment_expr(r: Column, f: Column, m: Column) -> Column:
 
 def rfm_segment_summary(master: DataFrame, customer: str = "customer_id", snapshot: str | None = None) -> DataFrame:
     """segment, customers, avg_monetary."""
-    r = rfm_segments(master, customer, snapshot=snapshot)
+    return segment_summary(rfm_segments(master, customer, snapshot=snapshot), customer)
+
+
+def segment_summary(r: DataFrame, customer: str = "customer_id") -> DataFrame:
+    """The summary from an already computed :func:`rfm_segments` frame."""
     return (r.groupBy("segment").agg(F.count(customer).alias("customers"),
                                      _mean("monetary").alias("avg_monetary"))
             .orderBy(F.desc("customers"), "segment"))

@@ -76,6 +76,16 @@ def _on_master(fn):
     return lambda spark, sf: fn(_master(spark, sf))
 
 
+# seller scores and RFM segments are computed once and the tier counts, histogram and
+# segment summary derive from them, as in the reference's analysis run
+def _seller_health(spark: SparkSession, sf: str) -> DataFrame:
+    return _product(spark, sf, "seller_health", lambda: A.seller_health(_master(spark, sf)))
+
+
+def _rfm(spark: SparkSession, sf: str) -> DataFrame:
+    return _product(spark, sf, "rfm_segments", lambda: A.rfm_segments(_master(spark, sf)))
+
+
 
 
 RAW: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -121,11 +131,11 @@ RAW: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "payment_share": _on_master(A.payment_share),
     "installment_distribution": _on_master(A.installment_distribution),
     "order_heatmap": _on_master(A.order_heatmap),
-    "seller_health": _on_master(A.seller_health),
-    "seller_health_histogram": _on_master(A.seller_health_histogram),
-    "seller_tiers": _on_master(A.seller_tiers),
-    "rfm_segments": _on_master(A.rfm_segments),
-    "rfm_segment_summary": _on_master(A.rfm_segment_summary),
+    "seller_health": _seller_health,
+    "seller_health_histogram": lambda spark, sf: A.health_histogram(_seller_health(spark, sf)),
+    "seller_tiers": lambda spark, sf: A.tier_counts(_seller_health(spark, sf)),
+    "rfm_segments": _rfm,
+    "rfm_segment_summary": lambda spark, sf: A.segment_summary(_rfm(spark, sf)),
     "weekly_revenue": _on_master(A.weekly_revenue),
     "revenue_forecast": _on_master(A.revenue_forecast),
     "executive_kpis": _on_master(A.executive_kpis),
