@@ -17,7 +17,7 @@ from ordermill.operators import clean, picks, quality
 from ordermill.plans import analyses as A
 from ordermill.plans import sql_suite as Q
 from ordermill.plans.master import build_master
-from ordermill.session import materialize
+from ordermill.session import app_key, materialize
 from ordermill.sources.fixture import fixture_tables
 
 # The test tables' dates run 1995-2001, so the fixed RFM snapshot is placed just after.
@@ -37,7 +37,7 @@ _PRODUCTS: dict[tuple[str, str, str], DataFrame] = {}
 
 
 def _product(spark: SparkSession, sf: str, name: str, build) -> DataFrame:
-    key = (spark.sparkContext.applicationId, sf, name)
+    key = (app_key(spark), sf, name)
     if key not in _PRODUCTS:
         _PRODUCTS[key] = materialize(build())
     return _PRODUCTS[key]
@@ -62,7 +62,7 @@ _TABLES: dict[tuple[str, str], object] = {}
 
 def tables_for(spark: SparkSession, sf: str):
     """The (lazy) role tables of one input folder, built once per application."""
-    key = (spark.sparkContext.applicationId, sf)
+    key = (app_key(spark), sf)
     if key not in _TABLES:
         _TABLES[key] = fixture_tables(spark, sf)
     return _TABLES[key]
