@@ -39,7 +39,7 @@ _PRODUCTS: dict[tuple[str, str, str], DataFrame] = {}
 def _product(spark: SparkSession, sf: str, name: str, build) -> DataFrame:
     key = (app_key(spark), sf, name)
     if key not in _PRODUCTS:
-        _PRODUCTS[key] = materialize(build())
+        _PRODUCTS[key] = materialize(build(), columnar=True)
     return _PRODUCTS[key]
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -69,14 +70,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
-def materialize(df):
-    """Write ``df`` once to the reliable checkpoint folder and return the re-read frame.
+def materialize(df, columnar: bool = False):
+    """Write ``df`` once into the reliable checkpoint folder and return the re-read frame.
 
     Used for frames that several later passes read (an entity-grain aggregate feeding a
     top-k, a total and a tie count; the master table feeding every analysis): their
-    lineage is cut, nothing is recomputed per pass, and a lost executor re-reads files."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    lineage is cut, nothing is recomputed per pass, and a lost executor re-reads files.
+    ``columnar=True`` writes parquet instead of a row checkpoint, so readers that need
+    a few columns (the analyses over the wide master) prune the rest at the scan."""
+    folder = ensure_checkpoint_dir(df.sparkSession)
+    if not columnar:
+        return df.checkpoint(eager=True)
+    path = f"{folder.rstrip('/')}/ordermill-tables/{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def app_key(spark: SparkSession) -> str:

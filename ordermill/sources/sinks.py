@@ -12,6 +12,10 @@ from ordermill.sources.roles import Tables
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite",
                 partition_by: Sequence[str] = ()) -> None:
     """Write ``df`` as parquet (default) or CSV with a header row."""
+    if partition_by:
+        # AQE rebalances the write: a hot partition value is split over several tasks and
+        # small ones are merged, instead of one task (and file) per value and input split
+        df = df.hint("rebalance", *partition_by)
     w = df.write.mode(mode)
     if partition_by:
         w = w.partitionBy(*partition_by)
