@@ -36,10 +36,11 @@ def decimals_to_double(df: DataFrame) -> DataFrame:
 _PRODUCTS: dict[tuple[str, str, str], DataFrame] = {}
 
 
-def _product(spark: SparkSession, sf: str, name: str, build) -> DataFrame:
+def _product(spark: SparkSession, sf: str, name: str, build, columnar: bool = False) -> DataFrame:
+    """``columnar`` for wide frames whose readers use a few columns (the master)."""
     key = (app_key(spark), sf, name)
     if key not in _PRODUCTS:
-        _PRODUCTS[key] = materialize(build(), columnar=True)
+        _PRODUCTS[key] = materialize(build(), columnar=columnar)
     return _PRODUCTS[key]
 
 
@@ -54,7 +55,7 @@ def _items_clean(spark: SparkSession, sf: str) -> DataFrame:
 
 def _master(spark: SparkSession, sf: str) -> DataFrame:
     return _product(spark, sf, "master",
-                    lambda: build_master(tables_for(spark, sf), items_clean=_items_clean(spark, sf)))
+                    lambda: build_master(tables_for(spark, sf), items_clean=_items_clean(spark, sf)), columnar=True)
 
 
 _TABLES: dict[tuple[str, str], object] = {}
