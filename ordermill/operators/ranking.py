@@ -52,11 +52,13 @@ def ranked(df: DataFrame, order: Order, *, rank_col: str = "rn", total_col: str
     33 bits); the checkpoint pins both together with the sampled range bounds."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    n_parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     sorts = _sort_exprs(order)
     vcols = [f"_om_v_{c}" for c in sum_cols]
     base = df.select(*df.columns, *[F.col(c).cast("bigint").alias(v) for c, v in zip(sum_cols, vcols)])
-    local = (base.repartitionByRange(n_parts, *sorts)
+    # without an explicit count AQE may merge adjacent ranges (order is kept) to its
+    # advisory partition size; the partition index is read per task either way
+    ranged = base.repartitionByRange(partitions, *sorts) if partitions else base.repartitionByRange(*sorts)
+    local = (ranged
              .sortWithinPartitions(*sorts)
              .withColumn("_om_mid", F.monotonically_increasing_id())
              .checkpoint(eager=True))
@@ -70,7 +72,7 @@ def ranked(df: DataFrame, order: Order, *, rank_col: str = "rn", total_col: str
                                      *[F.sum(v).alias(f"_om_tot_{v}") for v in vcols])
     before = Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.partitionBy()
-    # ``totals`` has at most ``n_parts`` rows: a single-partition window over it is bounded.
+    # ``totals`` has one row per range partition: a single-partition window over it is bounded.
     offsets = totals.select(
         _PID,
         F.coalesce(F.sum("_om_cnt").over(before), F.lit(0)).alias("_om_off"),
