@@ -27,9 +27,11 @@ def read_csv_table(spark: SparkSession, path: str, role: str) -> DataFrame:
             .csv(path))
 
 
-def read_marketplace_csv(spark: SparkSession, raw_dir: str) -> Tables:
-    """The eight role tables from a directory of the CSV export."""
-    frames = {role: read_csv_table(spark, f"{raw_dir}/{name}", role) for role, name in CSV_FILES.items()}
+def read_marketplace_csv(spark: SparkSession, raw_dir: str, files: dict[str, str] | None = None) -> Tables:
+    """The eight role tables from a directory of the CSV export (``files`` overrides the
+    file name of any role)."""
+    names = {**CSV_FILES, **(files or {})}
+    frames = {role: read_csv_table(spark, f"{raw_dir}/{name}", role) for role, name in names.items()}
     return Tables(**frames, review_order=("review_creation_date", "review_answer_timestamp", "review_id"))
 
 
