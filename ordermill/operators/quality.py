@@ -29,10 +29,15 @@ def null_report(orders: DataFrame, columns: Sequence[str] = DATE_COLUMNS) -> Dat
     return wide.selectExpr(f"stack({len(present)}, {stacked}) as (column, null_count)")
 
 
-def dedup_report(orders: DataFrame, items: DataFrame) -> DataFrame:
-    """table, rows_before, rows_after, removed for the orders and items de-duplication."""
+def dedup_report(orders: DataFrame, items: DataFrame, orders_dedup: DataFrame | None = None,
+                 items_dedup: DataFrame | None = None) -> DataFrame:
+    """table, rows_before, rows_after, removed for the orders and items de-duplication
+    (already de-duplicated frames can be passed in)."""
+    done = {"orders": orders_dedup, "order_items": items_dedup}
+
     def one(name: str, df: DataFrame, keys: list[str]) -> DataFrame:
-        after = dedup(df, keys).agg(F.count(F.lit(1))).scalar()
+        after_df = done[name] if done[name] is not None else dedup(df, keys)
+        after = after_df.agg(F.count(F.lit(1))).scalar()
         return (df.agg(F.count(F.lit(1)).alias("rows_before")).withColumn("rows_after", after)
                 .select(F.lit(name).alias("table"), "rows_before", "rows_after",
                         (F.col("rows_before") - F.col("rows_after")).alias("removed")))

@@ -47,10 +47,11 @@ def category_lookup(translation: DataFrame) -> DataFrame:
         F.max("product_category_name_english").alias("product_category_name_english"))
 
 
-def build_master(t: Tables, *, items_clean: DataFrame | None = None, status: str = "delivered",
-                 lo: float = 0.01, hi: float = 0.99) -> DataFrame:
-    """The master table from the raw role tables (cleaning included)."""
-    orders = clean_orders(t.orders)
+def build_master(t: Tables, *, items_clean: DataFrame | None = None, orders_clean: DataFrame | None = None,
+                 status: str = "delivered", lo: float = 0.01, hi: float = 0.99) -> DataFrame:
+    """The master table from the raw role tables (cleaning included; already cleaned
+    orders or items can be passed in)."""
+    orders = orders_clean if orders_clean is not None else clean_orders(t.orders)
     items = items_clean if items_clean is not None else clean_items(t.items, lo, hi)
     delivered = delivered_orders(orders, status)
     per_order = order_item_summary(items, t.products)

@@ -53,9 +53,14 @@ def _items_clean(spark: SparkSession, sf: str) -> DataFrame:
     return _product(spark, sf, "items_clean", lambda: clean.winsorise(_items_dedup(spark, sf), "price"))
 
 
+def _orders_clean(spark: SparkSession, sf: str) -> DataFrame:
+    return _product(spark, sf, "orders_clean", lambda: clean.clean_orders(tables_for(spark, sf).orders))
+
+
 def _master(spark: SparkSession, sf: str) -> DataFrame:
     return _product(spark, sf, "master",
-                    lambda: build_master(tables_for(spark, sf), items_clean=_items_clean(spark, sf)), columnar=True)
+                    lambda: build_master(tables_for(spark, sf), items_clean=_items_clean(spark, sf),
+                                         orders_clean=_orders_clean(spark, sf)), columnar=True)
 
 
 _TABLES: dict[tuple[str, str], object] = {}
@@ -93,13 +98,15 @@ RAW: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     # cleaning and reports
     "profile_tables": _tables(quality.profile_tables),
     "null_report": _tables(lambda t: quality.null_report(t.orders)),
-    "dedup_report": _tables(lambda t: quality.dedup_report(t.orders, t.items)),
-    "clean_orders": _tables(lambda t: clean.clean_orders(t.orders)),
+    "dedup_report": lambda spark, sf: quality.dedup_report(
+        tables_for(spark, sf).orders, tables_for(spark, sf).items,
+        orders_dedup=_orders_clean(spark, sf), items_dedup=_items_dedup(spark, sf)),
+    "clean_orders": _orders_clean,
     "clean_items": _items_clean,
     "price_bounds": lambda spark, sf: clean.quantile_bounds(_items_dedup(spark, sf), "price")
                                            .select(F.col("p_lo").alias("p01"), F.col("p_hi").alias("p99")),
-    "delivered_orders": _tables(lambda t: clean.delivered_orders(clean.clean_orders(t.orders))),
-    "delivery_summary": _tables(lambda t: clean.delivery_summary(clean.delivered_orders(clean.clean_orders(t.orders)))),
+    "delivered_orders": lambda spark, sf: clean.delivered_orders(_orders_clean(spark, sf)),
+    "delivery_summary": lambda spark, sf: clean.delivery_summary(clean.delivered_orders(_orders_clean(spark, sf))),
     "order_revenue": lambda spark, sf: picks.order_revenue(_items_clean(spark, sf)),
     "order_category": lambda spark, sf: picks.order_category(_items_dedup(spark, sf),
                                                              tables_for(spark, sf).products),
