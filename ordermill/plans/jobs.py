@@ -2,6 +2,7 @@
 (master -> analysis tables).  Both read and write through ``ordermill.sources``.
 
     python -m ordermill.plans.jobs clean   --raw DIR --out DIR [--format parquet|csv]
+    python -m ordermill.plans.jobs clean   --fixture SF_DIR --out DIR   (the TPC-H-style test tables)
     python -m ordermill.plans.jobs analyse --out DIR [--format parquet|csv]
 """
 
@@ -72,12 +73,18 @@ def main(argv: list[str] | None = None) -> None:
     ap = argparse.ArgumentParser(prog="ordermill.plans.jobs")
     ap.add_argument("job", choices=["clean", "analyse"])
     ap.add_argument("--raw", help="folder with the raw CSV export (clean job)")
+    ap.add_argument("--fixture", help="folder with the TPC-H-style test tables (clean job)")
     ap.add_argument("--out", required=True)
     ap.add_argument("--format", default="parquet", choices=["parquet", "csv"])
     args = ap.parse_args(argv)
     spark = get_session()
     if args.job == "clean":
-        run_cleaning(read_marketplace_csv(spark, args.raw), args.out, args.format)
+        if args.fixture:
+            from ordermill.sources.fixture import fixture_tables
+            tables = fixture_tables(spark, args.fixture)
+        else:
+            tables = read_marketplace_csv(spark, args.raw)
+        run_cleaning(tables, args.out, args.format)
     else:
         run_analyses(read_master(spark, args.out), args.out, args.format)
 
