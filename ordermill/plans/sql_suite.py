@@ -72,16 +72,23 @@ def top_categories(items: DataFrame, products: DataFrame, translation: DataFrame
         rv = latest_review_weights(order_review(reviews, review_order))
     else:
         raise ValueError(f"unknown review_policy {review_policy!r}")
+    # one row per (order, category) first: the distinct order count becomes a plain count
+    # and the review join sees pairs instead of item rows.  With m item rows of an order
+    # in a category, the SQL's LEFT JOIN repeats each of them once per review row, so the
+    # pair contributes (price sum) * w to revenue and m * (review sum/count) to the mean.
+    pairs = (items.select("order_id", "product_id", "price")
+             .join(products.select("product_id", "product_category_name"), "product_id")
+             .join(translation, "product_category_name")
+             .groupBy("order_id", F.col("product_category_name_english").alias("category"))
+             .agg(F.sum(to_cents(F.col("price"))).alias("p_cents"), F.count("price").alias("p_n"),
+                  F.count(F.lit(1)).alias("m")))
     w = fan_out_weight()
-    j = (items.select("order_id", "product_id", "price")
-         .join(rv, "order_id", "left")
-         .join(products.select("product_id", "product_category_name"), "product_id")
-         .join(translation, "product_category_name"))
-    g = j.groupBy(F.col("product_category_name_english").alias("category")).agg(
-        F.count_distinct("order_id").alias("orders"),
-        F.sum(to_cents(F.col("price")) * w).alias("s"),
-        F.sum(F.when(F.col("price").isNotNull(), w)).alias("n"),
-        F.sum("rv_sum").alias("rs"), F.sum("rv_n").alias("rn"))
+    j = pairs.join(rv, "order_id", "left")
+    g = j.groupBy("category").agg(
+        F.count(F.lit(1)).alias("orders"),
+        F.sum(F.col("p_cents") * w).alias("s"),
+        F.sum(F.col("p_n") * w).alias("n"),
+        F.sum(F.col("m") * F.col("rv_sum")).alias("rs"), F.sum(F.col("m") * F.col("rv_n")).alias("rn"))
     return (g.select("category", "orders", cents_to_double(F.col("s")).alias("revenue"),
                      cents_avg(F.col("s"), F.col("n")).alias("avg_price"),
                      ratio_round(F.col("rs"), F.col("rn"), 2).alias("avg_review_score"))
