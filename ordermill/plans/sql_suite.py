@@ -142,15 +142,21 @@ def seller_health_items(sellers: DataFrame, items: DataFrame, orders: DataFrame,
     rounded exactly as a rational number (integer weights)."""
     w1, w2, w3 = (int(x) for x in weights)
     o = _delivered(orders, status).select("order_id", _late_flag().alias("late"))
+    # one row per (order, seller) first; with m item rows of the order for the seller and
+    # o_n matching order rows, the SQL's joins produce m * o_n * w rows for the pair
+    pairs = (items.select("order_id", "seller_id", "price")
+             .groupBy("order_id", "seller_id")
+             .agg(F.sum(to_cents(F.col("price"))).alias("p_cents"), F.count(F.lit(1)).alias("m")))
+    per_order = o.groupBy("order_id").agg(F.count(F.lit(1)).alias("o_n"), F.sum("late").alias("o_late"))
     w = fan_out_weight()
-    j = (items.select("order_id", "seller_id", "price")
-         .join(o, "order_id").join(review_weights(reviews), "order_id", "left"))
+    j = pairs.join(per_order, "order_id").join(review_weights(reviews), "order_id", "left")
     per_seller = j.groupBy("seller_id").agg(
-        F.count_distinct("order_id").alias("total_orders"),
-        F.sum(to_cents(F.col("price")) * w).alias("s"),
-        F.sum(F.coalesce(F.col("rv_sum"), F.lit(0))).alias("rs"),
-        F.sum(F.coalesce(F.col("rv_n"), F.lit(0))).alias("rn"),
-        F.sum(w).alias("rows"), F.sum(F.col("late") * w).alias("late"))
+        F.count(F.lit(1)).alias("total_orders"),
+        F.sum(F.col("p_cents") * F.col("o_n") * w).alias("s"),
+        F.sum(F.col("m") * F.col("o_n") * F.coalesce(F.col("rv_sum"), F.lit(0))).alias("rs"),
+        F.sum(F.col("m") * F.col("o_n") * F.coalesce(F.col("rv_n"), F.lit(0))).alias("rn"),
+        F.sum(F.col("m") * F.col("o_n") * w).alias("rows"),
+        F.sum(F.col("m") * F.col("o_late") * w).alias("late"))
     g = (per_seller.where(F.col("total_orders") >= min_orders)
          .join(sellers.select("seller_id", "seller_state"), "seller_id"))
     rs, rn, rows, late, d = (F.col(c).cast(WIDE) for c in ("rs", "rn", "rows", "late", "total_orders"))
