@@ -37,3 +37,19 @@ def test_dedup_with_caller_order(spark):
     df = spark.createDataFrame([(1, 9, "z"), (1, 3, "a"), (2, 5, "q")], "k long, prio long, v string")
     got = sorted((r.k, r.v) for r in dedup(df, ["k"], order_by=["prio"]).collect())
     assert got == [(1, "a"), (2, "q")]
+
+
+def test_time_helpers_ignore_session_zone(spark):
+    """Inside a daylight-saving gap of the session zone the NTZ arithmetic must not move."""
+    from ordermill.functions.time import floor_days, week_start
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/Sao_Paulo")   # DST began 1996-10-06 00:00
+    try:
+        df = spark.createDataFrame([(dt.datetime(1996, 10, 6, 0, 0), dt.datetime(1996, 10, 20, 16, 20, 50),
+                                     dt.datetime(1997, 10, 8, 10, 0))], "a timestamp_ntz, b timestamp_ntz, c timestamp_ntz")
+        r = df.select(hours_between("a", "b").alias("h"), floor_days("a", "b").alias("d"),
+                      week_start("c").alias("w"), week_start("a").alias("w2")).first()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert r.h == (14 * 86400 + 16 * 3600 + 20 * 60 + 50) / 3600 and r.d == 14
+    assert r.w == dt.datetime(1997, 10, 6) and r.w2 == dt.datetime(1996, 9, 30)
