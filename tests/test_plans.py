@@ -10,12 +10,10 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["sql_monthly_trend", "sql_top_categories", "sql_late_by_state",
-                                  "sql_review_by_timeliness", "sql_seller_health", "sql_payment_breakdown",
-                                  "sql_peak_times", "sql_pareto_sellers", "sql_mom_growth", "master"])
-def test_no_python_udf(spark, name):
+@pytest.mark.parametrize("name", sorted(registry.queries()))
+def test_no_python_in_any_plan(spark, name):
     p = plan(registry.queries()[name](spark, SF_SMALL))
-    for marker in ("BatchEvalPython", "ArrowEvalPython", "PythonUDF"):
+    for marker in ("BatchEvalPython", "ArrowEvalPython", "PythonUDF", "MapInPandas", "FlatMapGroupsInPandas"):
         assert marker not in p, name
 
 
