@@ -339,11 +339,19 @@ def _edge_check(edges: Column, name: str, on_duplicate: str, q: int = 4) -> Colu
 
 
 def qcut(df: DataFrame, col: str, name: str, reverse: bool = False,
-         on_duplicate_edges: str = "error", q: int = 4) -> DataFrame:
+         on_duplicate_edges: str = "error", q: int = 4, approx: bool = False) -> DataFrame:
     """pandas ``qcut(col, q)`` with labels 1..q (q..1 with ``reverse``) and exact edges.
     ``on_duplicate_edges="error"`` fails like pandas when edges repeat; any other value
-    bins anyway (a repeated edge leaves its bin empty)."""
-    edges = exact_quantiles(df, col, [i / q for i in range(q + 1)])
+    bins anyway (a repeated edge leaves its bin empty).  ``approx=True`` takes the edges
+    from ``percentile_approx`` (one pass, bounded memory, edges are data values)."""
+    probs = [i / q for i in range(q + 1)]
+    if approx:
+        pa = F.percentile_approx(F.col(col), probs, 10000)
+        one = F.lit(1).cast("bigint")
+        edges = df.agg(*[F.struct(pa[i].alias("lo"), pa[i].alias("hi"), F.lit(0).cast("bigint").alias("rem"),
+                                  one.alias("den")).alias(f"q{i}") for i in range(q + 1)])
+    else:
+        edges = exact_quantiles(df, col, probs)
     # one scalar subquery, attached once as a column and then referenced by name
     scalar = edges.select(F.struct(*[F.col(f"q{i}").alias(f"q{i}") for i in range(q + 1)])).scalar()
     labels = list(range(q, 0, -1)) if reverse else list(range(1, q + 1))

@@ -86,3 +86,13 @@ def test_weekly_moving_averages_match_pandas(spark):
     assert list(got["week"]) == [p.to_timestamp() for p in wk.index]
     np.testing.assert_allclose(got["ma4"], wk.rolling(4, min_periods=1).mean().values, rtol=1e-12)
     np.testing.assert_allclose(got["ma8"], wk.rolling(8, min_periods=1).mean().values, rtol=1e-12)
+
+
+def test_qcut_approx_close_to_exact(spark):
+    rnd = random.Random(11)
+    vals = [rnd.randint(0, 100_000) for _ in range(2000)]
+    df = spark.createDataFrame(list(enumerate(vals)), "id long, v long")
+    exact = {r.id: r.q for r in A.qcut(df, "v", "q").collect()}
+    approx = {r.id: r.q for r in A.qcut(df, "v", "q", approx=True).collect()}
+    differ = sum(exact[i] != approx[i] for i in exact)
+    assert differ <= 0.01 * len(vals) and set(approx.values()) == {1, 2, 3, 4}
