@@ -362,10 +362,11 @@ def qcut(df: DataFrame, col: str, name: str, reverse: bool = False,
 
 
 def rfm_segments(master: DataFrame, customer: str = "customer_id", on_duplicate_edges: str = "error",
-                 snapshot: str | None = None) -> DataFrame:
+                 snapshot: str | None = None, approx: bool = False) -> DataFrame:
     """Per customer: recency (whole days from the last order to ``snapshot``, by default
     the last purchase + 1 day), frequency, monetary, quartile scores R (reversed),
-    F (on first-come ranks), M, their sum, the F/M mean and the segment."""
+    F (on first-come ranks), M, their sum, the F/M mean and the segment.  ``approx``
+    takes the R and M quartile edges from ``percentile_approx``."""
     ts = F.col("order_purchase_timestamp")
     if snapshot is None:
         snap = F.timestamp_add("DAY", F.lit(1), master.agg(F.max(ts)).scalar())
@@ -378,8 +379,8 @@ def rfm_segments(master: DataFrame, customer: str = "customer_id", on_duplicate_
     # the customer-grain frame feeds two quantile passes, a ranking and a count: aggregate once
     rfm = materialize(rfm.select(customer, floor_days(F.col("_last"), snap).alias("recency"), "frequency",
                                  "monetary"))
-    rfm = qcut(rfm, "recency", "r_score", reverse=True, on_duplicate_edges=on_duplicate_edges)
-    rfm = qcut(rfm, "monetary", "m_score", on_duplicate_edges=on_duplicate_edges)
+    rfm = qcut(rfm, "recency", "r_score", reverse=True, on_duplicate_edges=on_duplicate_edges, approx=approx)
+    rfm = qcut(rfm, "monetary", "m_score", on_duplicate_edges=on_duplicate_edges, approx=approx)
     # F: qcut over rank(method="first") = 1..n, whose quartile edges are 1 + (n - 1) * i / 4
     rfm = global_row_number(rfm, [("frequency", True), (customer, True)], "_f_rank")
     rfm = rfm.withColumn("_om_n", rfm.agg(F.count(F.lit(1))).scalar())

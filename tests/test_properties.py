@@ -61,3 +61,9 @@ def test_same_rows_under_1_and_8_shuffle_partitions(spark, name):
         spark.conf.set("spark.sql.shuffle.partitions", "8")
     eight = sorted(tuple(r) for r in fn(spark, SF_SMALL).collect())
     assert one == eight
+
+
+def test_rfm_segments_approx_option(master):
+    approx = A.rfm_segments(master, approx=True, on_duplicate_edges="ignore")
+    assert approx.count() == master.select("customer_id").distinct().count()
+    assert approx.where(F.col("segment").isNull()).count() == 0
