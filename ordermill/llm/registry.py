@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import mixing, pii
+from . import mixing, packing, pii, tokenfile
 
 
 def queries():
     return {
         "op3_mixing": mixing.op3_mixing,
+        "op5_token_files": tokenfile.op5_token_files,
+        "op8_best_fit_packing": packing.op8_best_fit_packing,
         "op9_pii": pii.op9_pii,
     }
 
