@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, pii, tokenfile
+from . import mixing, neardup, packing, pii, tokenfile, warc
 
 
 def queries():
     return {
         "op3_mixing": mixing.op3_mixing,
+        "op4_embedding_neardup": neardup.op4_embedding_neardup,
         "op5_token_files": tokenfile.op5_token_files,
+        "op7_warc": warc.op7_warc,
         "op8_best_fit_packing": packing.op8_best_fit_packing,
         "op9_pii": pii.op9_pii,
     }
