@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, neardup, packing, pii, tokenfile, warc
+from . import mixing, neardup, packing, pii, tokenfile, topk, warc
 
 
 def queries():
@@ -10,6 +10,7 @@ def queries():
         "op3_mixing": mixing.op3_mixing,
         "op4_embedding_neardup": neardup.op4_embedding_neardup,
         "op5_token_files": tokenfile.op5_token_files,
+        "op6_topk_search": topk.op6_topk_search,
         "op7_warc": warc.op7_warc,
         "op8_best_fit_packing": packing.op8_best_fit_packing,
         "op9_pii": pii.op9_pii,
@@ -17,4 +18,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op3_mixing": mixing.ORACLE_SQL}
+    return {"op3_mixing": mixing.ORACLE_SQL, "op6_topk_search": topk.ORACLE_SQL}
