@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import mixing, neardup, packing, pii, tokenfile, topk, warc
+from . import jaccard, langid, licences, mixing, neardup, packing, pii, tokenfile, topk, warc
 
 
 def queries():
     return {
+        "op1_language_id": langid.op1_language_id,
+        "op2_jaccard_join": jaccard.op2_jaccard_join,
         "op3_mixing": mixing.op3_mixing,
         "op4_embedding_neardup": neardup.op4_embedding_neardup,
         "op5_token_files": tokenfile.op5_token_files,
@@ -14,6 +16,7 @@ def queries():
         "op7_warc": warc.op7_warc,
         "op8_best_fit_packing": packing.op8_best_fit_packing,
         "op9_pii": pii.op9_pii,
+        "op10_license_scan": licences.op10_license_scan,
     }
 
 
