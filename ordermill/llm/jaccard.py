@@ -16,8 +16,8 @@ two texts link when 100 * |A & B| >= percent * |A | B|.
 
 Nothing pairs up a crowd: in each round every member is verified against one pivot among
 those it shares an element with, links are contracted into components, and only pairs of
-members in different components are looked at again.  When few such pairs are left, all of
-them are verified, so no link between components is missed.
+members in different components are looked at again.  When few such pairs are left, or a
+round settles few members, all pairs left are verified, so no link between components is missed.
 
 Defined results: null, empty and blank texts have an empty set, link with nothing and are
 their own component; a null id takes part, and ``component_id`` is the smallest known id
@@ -40,7 +40,7 @@ from .words import combined, starts_of, word_hashes
 
 FREQUENT = 1 << 18   # elements that are ordered by frequency
 RUN_ELEMENTS, RUN_LEAST = 2_000_000, 4  # an element counts once it comes so often among so many
-PIVOT_ROUNDS, REST_PAIRS = 3, 4         # rounds at least; pairs left per member that end the rounds
+REST_PAIRS, SETTLED = 4, 0.8         # pairs left per member, or share of members left, that end the pivot rounds
 
 
 def shingle_sets(texts: list[str | None], n: int) -> list[np.ndarray]:
@@ -193,7 +193,8 @@ def join_documents(docs: DataFrame, n: int = 4, percent: int = 85, *, id_col: st
     # a block is a shared element, or a group of several members
     blocks = stored(posting.select(F.col("e").cast("string").alias("block"), "group")
                     .join(live.select("key", "group", "copies", "size", "own"), "group").drop("group")
-                    .union(live.where("crowded").select(F.concat(F.lit("g"), "group").alias("block"), "key", "copies", "size", "own")))
+                    .union(live.where("crowded").select(F.concat(F.lit("g"), "group").alias("block"), "key", "copies", "size",
+                                                          F.lit(0).alias("own"))))  # its members share their whole prefix
     texts = base.join(live.select("text_hash").distinct(), "text_hash", "left_semi") \
                 .groupBy("text_hash").agg(F.first("text").alias("text")).select("text")
     wanted = live.select("key")
@@ -205,46 +206,40 @@ def join_documents(docs: DataFrame, n: int = 4, percent: int = 85, *, id_col: st
         overlap = F.least(s1 - o1, s2 - o2)
         return (100 * small >= percent * large) & ((100 + percent) * overlap >= percent * (s1 + s2))
 
-    comp = live.select("key", F.col("key").alias("comp"))
-    found, tried, rounds = [], None, 0
+    comp, tried, before = live.select("key", F.col("key").alias("comp")), None, None
+    names = ("key", "size", "own", "comp")
     while True:
         now = stored(blocks.join(comp, "key"))
         mixed = now.groupBy("block").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("block")
         blocks = stored(now.join(mixed, "block"))
-        if blocks.isEmpty():
-            break
         per = blocks.groupBy("block", "comp").agg(F.count(F.lit(1)).cast("double").alias("c"))
         left = per.groupBy("block").agg(((F.pow(F.sum("c"), 2) - F.sum(F.pow("c", 2))) / 2).alias("p")).agg(F.sum("p")).first()[0]
-        few = left <= REST_PAIRS * blocks.select("key").distinct().count()
-        blocks_ = blocks.select("block", "key", "copies", "size", "own", "comp")
-        if few:
-            x = blocks_.select("block", *[F.col(c).alias(f"{c}1") for c in ("key", "size", "own", "comp")])
-            y = blocks_.select("block", *[F.col(c).alias(f"{c}2") for c in ("key", "size", "own", "comp")])
-            pairs = x.join(y, "block").where("key1 < key2 AND comp1 <> comp2")
+        if not left:
+            break
+        open_ = blocks.select("key").distinct().count()
+        # all pairs at last: when they are few, or pivots no longer settle many members
+        rest = left <= REST_PAIRS * open_ or (before is not None and open_ > SETTLED * before)
+        before = open_
+        x = blocks.select("block", *[F.col(c).alias(f"{c}1") for c in names])
+        if rest:
+            y = blocks.select("block", *[F.col(c).alias(f"{c}2") for c in names])
+            met = x.join(y, "block").where("key1 < key2 AND comp1 <> comp2")
         else:
             # the pivot of a block: most copies, least of its own, then by key; every round another
-            rank = F.struct((-F.col("copies")).alias("c"), (F.col("own") / F.col("size")).alias("o"), "key", "size", "own", "comp")
-            fresh = blocks_ if tried is None else blocks_.join(tried, ["block", "key"], "left_anti")
+            rank = F.struct((-F.col("copies")).alias("c"), (F.col("own") / F.col("size")).alias("o"), *names)
+            fresh = blocks if tried is None else blocks.join(tried, ["block", "key"], "left_anti")
             pivot = stored(fresh.groupBy("block").agg(F.min(rank).alias("p")).select("block", "p.*"))
             tried = pivot.select("block", "key") if tried is None else stored(tried.union(pivot.select("block", "key")))
-            p = pivot.select("block", "c", "o", *[F.col(c).alias(f"{c}2") for c in ("key", "size", "own", "comp")])
-            met = blocks_.select("block", *[F.col(c).alias(f"{c}1") for c in ("key", "size", "own", "comp")]).join(p, "block")
-            pairs = met.where("comp1 <> comp2")
-        pairs = pairs.where(possible(F.col("size1"), F.col("own1"), F.col("size2"), F.col("own2")))
-        pairs = pairs.select(F.least("key1", "key2").alias("a"), F.greatest("key1", "key2").alias("b")).distinct()
-        links = stored(_verified(stored(pairs), sets, percent))
-        found.append(links)
-        if few:
+            met = x.join(pivot.select("block", "c", "o", *[F.col(c).alias(f"{c}2") for c in names]), "block").where("comp1 <> comp2")
+        met = met.where(possible(F.col("size1"), F.col("own1"), F.col("size2"), F.col("own2")))
+        if not rest:  # a member meets the best of its blocks' pivots
+            met = met.groupBy("key1").agg(F.min(F.struct("c", "o", "key2")).alias("p")).select("key1", F.col("p.key2").alias("key2"))
+        pairs = met.select(F.least("key1", "key2").alias("a"), F.greatest("key1", "key2").alias("b")).distinct()
+        comp = _contracted(comp, stored(_verified(pairs, sets, percent)))
+        if rest:
             break
-        rounds += 1
-        comp = _contracted(comp, links)
         blocks = blocks.drop("comp")
-    every = found[0] if found else None
-    for links in found[1:]:
-        every = every.union(links)
-    graph = components(every) if every is not None else live.select(F.col("key").alias("node"), F.col("key").alias("root"))
-    label = member.select("key").join(graph.withColumnRenamed("node", "key"), "key", "left") \
-                  .select("key", F.coalesce("root", "key").alias("component"))
+    label = member.select("key").join(comp, "key", "left").select("key", F.coalesce("comp", "key").alias("component"))
     size = label.groupBy("component").agg(F.count(F.lit(1)).alias("n_members"))
     label = stored(label.join(size, "component"))
     return rows.select("id", "text_hash", "size", "key").join(label, "key", "left")
