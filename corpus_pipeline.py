@@ -2,14 +2,25 @@
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes each stage's
 rows as parquet into the shared checkpoint folder and reads them back as the next one's
-``docs``.  All stages but the last return the columns of ``documents``.
+``docs``.  All stages but the last return the columns of ``documents``; each works on
+all rows that its predecessor kept.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ordermill.llm import common, mixing, pii
+from ordermill.llm import common, jaccard, langid, mixing, packing, pii
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without an identified language go."""
+    return langid.keep_identified(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that link (five-word shingles, Jaccard at least 0.8) one stays."""
+    return jaccard.keep_one(docs, n=5, percent=80)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,12 +33,20 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(docs)
 
 
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces of the documents, with their sequence and place in it."""
+    return packing.pack_documents(docs)
+
+
 STAGES = [
-    ("personal data", personal_data),
+    ("language ID", language),
+    ("n-gram Jaccard join", near_duplicates),
+    ("PII", personal_data),
     ("mixing", mixed),
+    ("best-fit packing", packed),
 ]
 
-# packing and language ID have no SQL equivalent; tests/llm compares with brute force
+# SQL has neither the tokenizer nor the trained models; tests/llm compares with brute force
 ORACLE_SQL = None
 
 
