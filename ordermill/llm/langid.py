@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, row_hash, stored
+from .common import free_name, read_table, row_hash, stored
 
 BITS, LANGUAGES = 16, 50
 TRAIN_DOCS, TRAIN_CHARS = 400, 3000
@@ -99,21 +99,17 @@ def fit(samples: list[tuple[str, str]]) -> tuple[list[str], np.ndarray]:
     size = 1 << BITS
     label = np.array([langs.index(lang) for lang, _ in samples])
     texts = [t for _, t in samples]
-    counts = [np.bincount(trigrams([t])[0], minlength=size) if len(t) > 200 else None for t in texts]
-    small = {i: trigrams([texts[i]])[0] for i, c in enumerate(counts) if c is None}
     for turn in range(2):
         table = np.zeros((size, len(langs) + 1))
         for i in range(len(texts)):
-            if counts[i] is None:
-                np.add.at(table[:, label[i]], small[i], 1)
-            else:
-                table[:, label[i]] += counts[i]
+            np.add.at(table[:, label[i]], trigrams([texts[i]])[0], 1)
         total = table.sum(axis=0)
         table = np.log((table + 0.5) / (total + 0.5 * size))
         table[:, -1] = -np.log(size)
         if turn == 0 and len(langs) > 1:
-            score, n = text_scores(texts, table[:, :-1])
-            label = np.where(n > 0, score.argmax(axis=1), label)
+            for i, text in enumerate(texts):
+                score, n = text_scores([text], table[:, :-1])
+                label[i] = score[0].argmax() if n[0] else label[i]
     return langs, table.astype(np.float32)
 
 
@@ -250,10 +246,10 @@ def page_evidence(pages: DataFrame, **keys: Column) -> DataFrame:
 
 def keep_identified(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose language is identified."""
-    mark = F.xxhash64("text", "lang", "source")
-    rejected = identify(document_evidence(docs, _mark=mark, _id=F.col("doc_id"))).where("NOT kept") \
-        .select("_mark", "_id").distinct()
-    return docs.join(rejected, (mark == F.col("_mark")) & docs["doc_id"].eqNullSafe(F.col("_id")), "left_anti")
+    mark, key = F.xxhash64("text", "lang", "source"), F.col("doc_id")
+    m, k = free_name(docs, "_mark"), free_name(docs, "_key")
+    rejected = identify(document_evidence(docs, **{m: mark, k: key})).where("NOT kept").select(m, k).distinct()
+    return docs.join(rejected, (mark == F.col(m)) & key.eqNullSafe(F.col(k)), "left_anti")
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
