@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import read_table, row_hash
 from .words import combined, starts_of, word_hashes
 
-WINDOW, BITS = 24, 14
+WINDOW, BITS = 16, 14
 SAMPLE, SAMPLE_CHARS = 3000, 400
 STEPS = 100
 MIN_PROBABILITY, MIN_CONTAINED = 0.5, 0.6
@@ -114,7 +114,7 @@ def train(negatives: list[str], seed: int = 11) -> Model:
                     words = (lead + t + tail).split()
                     if rng.random() < 0.3 and len(words) > 6:
                         words.pop(int(rng.integers(len(words))))
-                    extra = list(rng.choice(filler, int(rng.integers(0, 8))))
+                    extra = list(rng.choice(filler, int(rng.integers(0, max(1, WINDOW - len(words))))))
                     texts.append(" ".join([*extra, *words] if rng.random() < 0.5 else [*words, *extra]))
                     labels.append(k)
     for text in clean:
@@ -170,7 +170,11 @@ def sample_paragraphs(docs: DataFrame, text_col: str = "text", n: int = SAMPLE)
     """At most ``n`` paragraphs of at most ``SAMPLE_CHARS`` characters, lowest hashes first."""
     lines = docs.select(F.explode(F.split(F.col(text_col), "\n")).alias("p")) \
                 .select(F.substring("p", 1, SAMPLE_CHARS).alias("p")).where("length(p) > 10")
-    return [r[0] for r in lines.orderBy(row_hash(F.col("p")), "p").limit(n).collect()]
+    cells = 1 << 40
+    # the hash share that holds 2n rows on average, so few rows besides the sample reach the driver
+    cut = min(cells, 2 * n * cells // max(1, lines.count()) + 1)
+    mark = row_hash(F.col("p"))
+    return [r[0] for r in lines.where(mark % cells < cut).orderBy(mark % cells, "p").limit(n).collect()]
 
 
 HITS = "array<struct<start:bigint,end:bigint,family:string,probability:double,contained:double>>"
