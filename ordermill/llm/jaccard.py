@@ -84,9 +84,20 @@ def frequent_elements(texts: DataFrame, n: int) -> np.ndarray:
         often = times >= RUN_LEAST
         return pa.RecordBatch.from_arrays([pa.array(values[often].view(np.int64)), pa.array(times[often])], ["e", "n"])
 
-    seen = texts.mapInArrow(run, "e bigint, n bigint").groupBy("e").agg(F.sum("n").alias("n"))
-    top = seen.orderBy(F.desc("n"), "e").limit(FREQUENT).toPandas()  # FREQUENT rows at most
-    return top["e"].to_numpy(dtype=np.int64).view(np.uint64)[::-1].copy()
+    seen = stored(texts.mapInArrow(run, "e bigint, n bigint").groupBy("e").agg(F.sum("n").alias("n")))
+    # frequencies in steps of a sixteenth of a power of two: a table of a few hundred rows
+    # tells from which step on the elements fit
+    step = F.floor(16 * F.log2(F.col("n"))).cast("int")
+    steps = sorted(seen.groupBy(step.alias("s")).count().collect(), reverse=True)
+    room, least = FREQUENT, None
+    for s, many in steps:
+        if many > room:
+            break
+        room, least = room - many, s
+    if least is None:
+        return np.zeros(0, np.uint64)
+    top = seen.where(step >= least).toPandas().sort_values(["n", "e"])  # FREQUENT rows at most
+    return top["e"].to_numpy(dtype=np.int64).view(np.uint64).copy()
 
 
 class Order:
@@ -270,14 +281,14 @@ def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one row of each component: the smallest id, then the smallest text hash.
     Rows with an empty set stay, one for each id and text."""
     rows = stored(join_documents(docs, n, percent))
+    key, value = free_name(docs, "_kept_id"), free_name(docs, "_kept_hash")
+    one, mark = free_name(docs, "_one"), free_name(docs, "_hash_of_text")
     low = rows.where("component IS NOT NULL").groupBy("component").agg(
         F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("text_hash"))).alias("k")) \
-        .select(F.col("k.id").alias("_id"), F.col("k.text_hash").alias("_hash"))
+        .select(F.col("k.id").alias(key), F.col("k.text_hash").alias(value))
     kept = low.union(rows.where("component IS NULL").select("id", "text_hash")).distinct()
-    one, mark = free_name(docs, "_one"), free_name(docs, "_hash_of_text")
     keyed = docs.withColumn(mark, F.xxhash64("text"))
-    match = keyed.join(kept, (keyed["doc_id"].cast("bigint").eqNullSafe(F.col("_id"))) & (keyed[mark] == F.col("_hash")), "left_semi")
-    # rows that repeat the kept one entirely by id and text: the first in column order stays
-    order = [F.hash(*[F.col(f"`{c}`") for c in docs.columns])]
-    w = Window.partitionBy(F.col("doc_id"), F.col(mark)).orderBy(*order)
+    match = keyed.join(kept, F.col("doc_id").cast("bigint").eqNullSafe(F.col(key)) & (F.col(mark) == F.col(value)), "left_semi")
+    # of rows that repeat the kept one's id and text one stays
+    w = Window.partitionBy("doc_id", mark).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
     return match.withColumn(one, F.row_number().over(w)).where(F.col(one) == 1).select(*docs.columns)
