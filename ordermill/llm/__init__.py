@@ -5,3 +5,10 @@ only frames of a stated, bounded size on the driver.  ``registry.queries()`` hol
 query per operator, ``registry.oracle_sql()`` the DuckDB equivalents where SQL can express
 the result.  Nothing outside this package imports it.
 """
+
+import sys
+
+from pyspark import cloudpickle
+
+# tasks get this package's functions with the job, so executors need no copy of it
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
