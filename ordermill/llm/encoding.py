@@ -16,7 +16,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 
-CACHE = 400_000  # pieces per generation of a worker's cache; two generations are kept
+CACHE = 600_000  # pieces per generation of a worker's cache; two generations are kept
 LONG = 100       # longer pieces are encoded each time
 DOCS = 128       # documents encoded at once
 
@@ -25,6 +25,9 @@ DOCS = 128       # documents encoded at once
 _WS, _NW = r"[^\S\x1c-\x1f]", r"[\S\x1c-\x1f]"
 _PIECE = re.compile(rf" ?{_NW}+|{_WS}+(?!{_NW})|{_WS}+")
 _WORD = re.compile(rf"{_NW}+")
+_MARKS = ".,;:!?"  # after a letter, the tokenizers always cut before one of these; not after
+# the one letter whose lower case ends with a combining mark:
+_PLAIN = "\u0130"  # and below it, lower-casing a text changes no id of a tokenizer that lower-cases
 
 
 class Encoder:
@@ -40,12 +43,14 @@ class Encoder:
         steps = pre.get("pretokenizers", [pre])
         normal = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])]
         self.cut = self.separator = None
+        self.lower = False
         if not spec.get("normalizer") and pre.get("type") == "ByteLevel" and pre.get("use_regex") \
                 and not pre.get("add_prefix_space"):
             self.cut, self.separator = _PIECE.findall, "\n"
         elif normal == ["NFC", "Replace", "Lowercase"] and steps[0].get("type") == "Split" \
                 and steps[0].get("behavior") == "Removed" and spec.get("added_tokens"):
             self.cut, self.separator = _WORD.findall, spec["added_tokens"][0]["content"]
+            self.lower = True
         # texts that hold an added token's own string are encoded whole: it cuts them elsewhere
         self.added = [t["content"] for t in spec.get("added_tokens", [])]
         if self.separator:
@@ -79,6 +84,8 @@ class Encoder:
             for i, ids in zip(odd, self._ids([texts[i] for i in odd])):
                 out[i] = ids.tobytes()
             return out
+        if self.lower:
+            texts = [t.lower() if max(t, default="") < _PLAIN else t for t in texts]
         cut = [self.cut(t) for t in texts]
         wanted = set(chain.from_iterable(cut))
         missing = []
@@ -93,7 +100,13 @@ class Encoder:
                 known[p] = ids
         table = known
         if missing:
-            fresh = self._fresh(missing)
+            marked = [p for p in missing if p[-1] in _MARKS and p[-2:-1].isalpha() and p[-2] != _PLAIN]
+            first = set(missing).difference(marked)
+            first.update(q for p in marked for q in (p[:-1], p[-1]) if q not in known)
+            fresh = self._fresh(list(first))
+            for p in marked:
+                a, b = p[:-1], p[-1]
+                fresh[p] = (fresh[a] if a in fresh else known[a]) + (fresh[b] if b in fresh else known[b])
             long = {p: v for p, v in fresh.items() if len(p) > LONG}
             known.update(fresh if not long else {p: v for p, v in fresh.items() if len(p) <= LONG})
             if long:
