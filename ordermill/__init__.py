@@ -7,7 +7,6 @@ from native Spark expressions (no Python UDF in any hot path).  The layout:
 * ``ordermill.functions`` Column helpers (exact rounding, time features, fixed labels)
 * ``ordermill.operators`` cleaning, per-order picks, quality reports, distributed ranking, statistics
 * ``ordermill.plans``     the order-grain master table, the ten SQL analyses, the master analyses
-* ``ordermill.streaming`` (empty on purpose: the reference is batch only)
 """
 
 from ordermill.session import ensure_checkpoint_dir, get_session

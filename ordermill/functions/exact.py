@@ -62,7 +62,8 @@ def to_cents(money) -> Column:
     """Exact integer cents of a two-decimal money value as BIGINT.  Sums of cents stay
     in 64-bit integer arithmetic inside whole-stage codegen (wide DECIMAL sums fall back
     to arbitrary-precision objects per row); BIGINT holds 9.2e16 currency units per group."""
-    return (_c(money) * 100).cast("bigint")
+    # rounded, as doubles such as 19.99 * 100 lie just below the cent
+    return F.round(_c(money) * 100).cast("bigint")
 
 
 def from_cents(cents_col, dtype: str = "decimal(22,2)") -> Column:

@@ -26,7 +26,7 @@ def parse_timestamps(df: DataFrame, columns: Sequence[str] = DATE_COLUMNS) -> Da
             continue
         dtype = df.schema[c].dataType
         if isinstance(dtype, T.StringType):
-            out = out.withColumn(c, F.try_to_timestamp(F.col(c)).cast("timestamp_ntz"))
+            out = out.withColumn(c, F.col(c).try_cast("timestamp_ntz"))  # no session zone
         elif not isinstance(dtype, T.TimestampNTZType):
             out = out.withColumn(c, F.col(c).cast("timestamp_ntz"))
     return out

@@ -129,7 +129,11 @@ def global_ntile(df: DataFrame, buckets: int, order: Order, name: str = "ntile",
 # ---------------------------------------------------------------------------------------
 
 def _fraction(p: float) -> Fraction:
-    return Fraction(p).limit_denominator(1_000_000)
+    """The probability as the exact fraction of its decimal text."""
+    f = Fraction(str(p))
+    if f.denominator > 10 ** 9:  # ranks are multiplied by it in 64 bits
+        raise ValueError(f"probability {p!r} has more than nine decimals")
+    return f
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = (),

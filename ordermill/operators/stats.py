@@ -17,17 +17,17 @@ HASH_MOD = 2147483647
 
 def sample_key(key: Column, dtype: T.DataType, seed: int) -> Column:
     """Seeded pseudo-random key.  Integral ids use ``((id mod p) * a + seed) mod p``,
-    which any SQL engine reproduces; other ids use ``xxhash64``."""
+    which any SQL engine reproduces; other ids use the lower 63 bits of ``xxhash64``."""
     if isinstance(dtype, (T.LongType, T.IntegerType, T.ShortType)):
         return F.pmod(F.pmod(key.cast("bigint"), F.lit(HASH_MOD)) * HASH_MULT + seed, F.lit(HASH_MOD))
-    return F.xxhash64(key, F.lit(seed))
+    return F.xxhash64(key, F.lit(seed)).bitwiseAND(F.lit((1 << 63) - 1))
 
 
 def hash_sample(df: DataFrame, key: str, k: int = 3000, seed: int = 42, oversample: int = 8) -> DataFrame:
     """The ``k`` rows with the smallest seeded hash of ``key`` (ties by ``key``).
 
     A plain top-k would ship ``k`` candidates from every partition into one merging
-    task.  The hash of an integral id is uniform on [0, 2^31 - 1), so rows are first
+    task.  The hash is uniform on its range, so rows are first
     filtered to ``hash < T`` with ``T`` sized to pass about ``oversample * k`` rows; if
     fewer than ``min(k, n)`` rows pass (vanishingly rare), ``T`` falls back to no limit.
     Either way the rows kept contain the exact ``k`` smallest, and the final top-k
@@ -35,13 +35,12 @@ def hash_sample(df: DataFrame, key: str, k: int = 3000, seed: int = 42, oversamp
     dtype = df.schema[key].dataType
     h = sample_key(F.col(key), dtype, seed)
     hashed = df.withColumn("_om_h", h)
-    if not isinstance(dtype, (T.LongType, T.IntegerType, T.ShortType)):
-        return hashed.orderBy("_om_h", key).limit(k).drop("_om_h")
+    space = HASH_MOD if isinstance(dtype, (T.LongType, T.IntegerType, T.ShortType)) else 1 << 63
     n = df.agg(F.count(F.lit(1))).scalar()
-    first_cut = F.least(F.lit(float(HASH_MOD)), F.lit(float(HASH_MOD * oversample * k)) / F.greatest(n, F.lit(1)))
+    first_cut = F.least(F.lit(float(space)), F.lit(float(space * oversample * k)) / F.greatest(n, F.lit(1)))
     passed = hashed.where(F.col("_om_h") < first_cut).agg(F.count(F.lit(1))).scalar()
-    cut = F.when(passed >= F.least(n, F.lit(k)), first_cut).otherwise(F.lit(float(HASH_MOD)))
-    return hashed.where(F.col("_om_h") < cut).orderBy("_om_h", key).limit(k).drop("_om_h")
+    cut = F.when(passed >= F.least(n, F.lit(k)), first_cut).otherwise(F.lit(float(space)))
+    return hashed.where(F.col("_om_h") <= cut).orderBy("_om_h", key).limit(k).drop("_om_h")
 
 
 def linear_fit(df: DataFrame, x: str, y: str, points: int = 100, digits: int | None = None) -> DataFrame:
@@ -68,7 +67,7 @@ def box_stats(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
     """Per group: n, mean, q1, median, q3 (linear interpolation), the 1.5 IQR fences,
     whiskers (most extreme values inside the fences) and the outlier count.
 
-    The rows are read once, into counts per (group, value) with map-side partial
+    The rows are aggregated, once for the quartiles and once for the rest, into counts per (group, value) with map-side partial
     aggregation; quartiles, whiskers, outliers and the mean all come from that frame,
     whose size is the number of distinct values, so no raw row is joined or re-read."""
     by = list(by)

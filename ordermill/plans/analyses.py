@@ -41,8 +41,9 @@ def _maybe_round(c: Column, digits: int | None) -> Column:
 # ---------------------------------------------------------------------------------------
 
 def monthly_trend(master: DataFrame) -> DataFrame:
-    """month, revenue, orders, avg_order (mean order total), revenue_k."""
-    g = master.groupBy(month_label("order_purchase_timestamp").alias("month")).agg(
+    """month, revenue, orders, avg_order (mean order total), revenue_k; undated orders
+    belong to no month."""
+    g = master.where(F.col("order_purchase_timestamp").isNotNull()).groupBy(month_label("order_purchase_timestamp").alias("month")).agg(
         _zero_sum("total_price").cast("double").alias("revenue"),
         F.count("order_id").alias("orders"),
         _mean("total_price").alias("avg_order"))
@@ -69,8 +70,8 @@ def monthly_highlights(master: DataFrame) -> DataFrame:
 
 def weekly_revenue(master: DataFrame, windows: Sequence[int] = (4, 8)) -> DataFrame:
     """week (Monday), revenue, ma<k> trailing means over the weeks present (weeks without
-    orders are not filled, as in the reference)."""
-    g = master.groupBy(week_start("order_purchase_timestamp").alias("week")).agg(
+    orders are not filled, as in the reference; undated orders belong to no week)."""
+    g = master.where(F.col("order_purchase_timestamp").isNotNull()).groupBy(week_start("order_purchase_timestamp").alias("week")).agg(
         _zero_sum("total_price").alias("rev"))
     cols = ["week", F.col("rev").cast("double").alias("revenue")]
     for k in windows:
@@ -164,8 +165,8 @@ def order_heatmap(master: DataFrame) -> DataFrame:
               .agg(F.count("order_id").alias("c")))
     wide = counts.groupBy("weekday").pivot("hour", list(range(24))).agg(F.first("c"))
     wide = wide.select("weekday", *[F.col(str(h)).alias(f"h{h:02d}") for h in range(24)])
-    spark = master.sparkSession
-    days = spark.createDataFrame(list(enumerate(WEEKDAYS)), "day_index int, weekday string")
+    names = F.array(*[F.lit(d) for d in WEEKDAYS])
+    days = master.sparkSession.range(1).select(F.posexplode(names).alias("day_index", "weekday"))
     return days.join(wide, "weekday", "left").orderBy("day_index").select(
         "day_index", "weekday", *[f"h{h:02d}" for h in range(24)])
 
@@ -314,9 +315,10 @@ def tier_counts(h: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------------------
 
 def _qcut_bins(x: Column, edges: Column, labels: Sequence[int]) -> Column:
-    """Right-closed bins over the inner quantile edges (the lowest value is included)."""
+    """Right-closed bins over the inner quantile edges (the lowest value is included);
+    a null value has no bin."""
     q = len(labels)
-    expr = F.when(le_quantile(x, edges["q1"]), labels[0])
+    expr = F.when(x.isNull(), F.lit(None)).when(le_quantile(x, edges["q1"]), labels[0])
     for i in range(2, q):
         expr = expr.when(le_quantile(x, edges[f"q{i}"]), labels[i - 1])
     return expr.otherwise(labels[q - 1]).cast("int")
@@ -401,7 +403,8 @@ def rfm_segments(master: DataFrame, customer: str = "customer_id", on_duplicate_
 def rfm_segment_expr(r: Column, f: Column, m: Column) -> Column:
     """Segment of an (R, F, M) score triple, rules checked top-down."""
     total, fm = r + f + m, (f + m) / 2
-    return (F.when(total >= 10, SEGMENTS[0]).when(total >= 8, SEGMENTS[1])
+    # a customer without a score (no dated order) has no segment
+    return (F.when(total.isNull(), F.lit(None)).when(total >= 10, SEGMENTS[0]).when(total >= 8, SEGMENTS[1])
             .when((r >= 3) & (fm >= 2), SEGMENTS[2]).when((r == 4) & (fm < 2), SEGMENTS[3])
             .when((r <= 2) & (fm >= 3), SEGMENTS[4]).otherwise(SEGMENTS[5]))
 

@@ -9,8 +9,11 @@
 from __future__ import annotations
 
 import argparse
+import json
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ordermill.operators.clean import clean_items, clean_orders, delivered_orders, delivery_summary
 from ordermill.operators.quality import dedup_report, null_report, profile_tables
@@ -50,13 +53,19 @@ def run_cleaning(tables: Tables, out: str, fmt: str = "parquet") -> DataFrame:
     master = build_master(tables, items_clean=items)
     # parquet output is partitioned by purchase month so later readers prune by month
     write_table(master, f"{out}/master", fmt, partition_by=("month",) if fmt == "parquet" else ())
+    if fmt == "csv":  # text has no types: they stand beside it
+        master.sparkSession.range(1).select(F.lit(master.schema.json()).alias("value")) \
+              .write.mode("overwrite").text(f"{out}/master_schema")
     return read_master(master.sparkSession, out, fmt)
 
 
 def read_master(spark: SparkSession, out: str, fmt: str = "parquet") -> DataFrame:
     if fmt == "parquet":
         return spark.read.parquet(f"{out}/master")
-    raise ValueError("the analysis job reads the parquet master")
+    if fmt == "csv":
+        schema = T.StructType.fromJson(json.loads(spark.read.text(f"{out}/master_schema").first()[0]))
+        return spark.read.schema(schema).option("header", True).option("escape", '"').option("enforceSchema", False).csv(f"{out}/master")
+    raise ValueError(f"unsupported format {fmt!r}")
 
 
 def run_analyses(master: DataFrame, out: str, fmt: str = "parquet") -> list[str]:
@@ -86,7 +95,7 @@ def main(argv: list[str] | None = None) -> None:
             tables = read_marketplace_csv(spark, args.raw)
         run_cleaning(tables, args.out, args.format)
     else:
-        run_analyses(read_master(spark, args.out), args.out, args.format)
+        run_analyses(read_master(spark, args.out, args.format), args.out, args.format)
 
 
 if __name__ == "__main__":

@@ -221,19 +221,22 @@ def pareto(seller_rev: DataFrame, top_n: int | None = 20, entity: str = "seller_
     can be a large share of all entities: every entity is then ranked with the
     distributed ranking, and the RANGE running sum comes from prefix sums over the
     distinct values (in cents), joined back by value."""
-    if top_pct is not None:
-        return _pareto_pct(seller_rev, top_pct, entity, value)
+    if top_pct is not None or top_n is None:
+        return _pareto_pct(seller_rev, 100.0 if top_pct is None else top_pct, entity, value)
     ranked_top = seller_rev.orderBy(F.desc(value), F.asc(entity)).limit(top_n)
     totals = seller_rev.agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("tot"))
     floor_value = ranked_top.agg(F.min(value)).scalar()
-    # distinct values >= the smallest kept value: at most top_n of them
-    by_value = (seller_rev.where(F.col(value) >= floor_value)
+    # distinct values >= the smallest kept value: at most top_n of them, and null, which
+    # sorts last, adds nothing and stays in the result
+    last = seller_rev.agg(F.count(value)).scalar() < top_n
+    by_value = (seller_rev.where((F.col(value) >= floor_value) | (F.col(value).isNull() & last))
                 .groupBy(value).agg(F.sum(value).alias("v_sum")))
     cum = by_value.select(value, F.sum("v_sum").over(
         Window.orderBy(F.desc(value)).rangeBetween(Window.unboundedPreceding, 0)).alias("cum"))
     rnk = F.row_number().over(Window.orderBy(F.desc(value), F.asc(entity))).cast("bigint")
     t = F.col("_om_t")
-    return (ranked_top.join(cum, value).withColumn("_om_t", totals.select(F.struct("n", "tot")).scalar())
+    cum = cum.withColumnRenamed(value, "_om_v")
+    return (ranked_top.join(cum, F.col(value).eqNullSafe(F.col("_om_v"))).withColumn("_om_t", totals.select(F.struct("n", "tot")).scalar())
             .select(rnk.alias("rnk"), entity, F.col(value).cast("double").alias(value),
                     ratio_round(rnk * 100, t["n"], 1).alias("pct_of_sellers"),
                     ratio_round(cents(F.col("cum")) * 100, cents(t["tot"]), 1).alias("pct_of_revenue"))
@@ -242,11 +245,11 @@ def pareto(seller_rev: DataFrame, top_n: int | None = 20, entity: str = "seller_
 
 def _pareto_pct(seller_rev: DataFrame, top_pct: float, entity: str, value: str) -> DataFrame:
     r = ranked(seller_rev.select(entity, value), [(value, False), (entity, True)], rank_col="rnk", total_col="n")
-    by_value = seller_rev.groupBy(value).agg(F.sum(cents(F.col(value))).cast("bigint").alias("v_cents"))
+    by_value = seller_rev.groupBy(value).agg(F.coalesce(F.sum(cents(F.col(value))), F.lit(0)).cast("bigint").alias("v_cents"))
     cum = ranked(by_value, [(value, False)], rank_col="_om_vr", sum_cols=["v_cents"],
-                 total_sum_col="tot_cents").select(value, "cum_v_cents", "tot_cents")
+                 total_sum_col="tot_cents").select(F.col(value).alias("_om_v"), "cum_v_cents", "tot_cents")
     kept = r.where(F.col("rnk") * 100 <= F.lit(float(top_pct)) * F.col("n"))
-    return (kept.join(cum, value)
+    return (kept.join(cum, F.col(value).eqNullSafe(F.col("_om_v")))
             .select(F.col("rnk").cast("bigint").alias("rnk"), entity, F.col(value).cast("double").alias(value),
                     ratio_round(F.col("rnk") * 100, F.col("n"), 1).alias("pct_of_sellers"),
                     ratio_round(F.col("cum_v_cents") * 100, F.col("tot_cents"), 1).alias("pct_of_revenue"))

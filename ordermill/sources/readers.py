@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ordermill.sources.roles import CSV_SCHEMAS, Tables
 
@@ -20,11 +21,27 @@ CSV_FILES = {
 
 
 def read_csv_table(spark: SparkSession, path: str, role: str) -> DataFrame:
-    """One raw CSV table with header and the role's explicit schema (no inference).
-    Multi-line quoted fields (review comments) are supported."""
-    return (spark.read.schema(CSV_SCHEMAS[role]).option("header", True)
-            .option("multiLine", True).option("escape", '"').option("mode", "PERMISSIVE")
-            .csv(path))
+    """One raw CSV table: the role's columns by header name and type (no inference; absent
+    ones and values that don't parse are null), then any further columns as text.
+    Only reviews, whose comments hold line breaks, are read unsplit."""
+    raw = _raw_csv(spark, path, role)
+    fields = {f.name: f for f in CSV_SCHEMAS[role].fields}
+    known = [F.col(f"`{n}`").try_cast(f.dataType).alias(n) if n in raw.columns else F.lit(None).cast(f.dataType).alias(n)
+             for n, f in fields.items()]
+    return raw.select(*known, *[F.col(f"`{c}`") for c in raw.columns if c not in fields])
+
+
+def _raw_csv(spark: SparkSession, path: str, role: str) -> DataFrame:
+    return (spark.read.option("header", True).option("multiLine", role == "reviews").option("escape", '"')
+            .option("mode", "PERMISSIVE").csv(path))
+
+
+def unparsable_values(spark: SparkSession, path: str, role: str) -> DataFrame:
+    """One row: per column of the role, how many values are present but don't parse."""
+    raw = _raw_csv(spark, path, role)
+    bad = [F.count_if(F.col(f"`{f.name}`").isNotNull() & F.col(f"`{f.name}`").try_cast(f.dataType).isNull()).alias(f.name)
+           for f in CSV_SCHEMAS[role].fields if f.name in raw.columns]
+    return raw.agg(*bad)
 
 
 def read_marketplace_csv(spark: SparkSession, raw_dir: str, files: dict[str, str] | None = None) -> Tables:

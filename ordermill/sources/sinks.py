@@ -30,12 +30,3 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
 def write_tables(tables: Tables, base: str, fmt: str = "parquet") -> None:
     for role, df in tables.frames().items():
         write_table(df, f"{base}/{role}", fmt)
-
-
-def write_outputs(master: DataFrame, delivered: DataFrame, items_clean: DataFrame, base: str,
-                  fmt: str = "parquet") -> None:
-    """The three files the cleaning step produces: master, delivered orders, clean items.
-    ``master`` is partitioned by purchase month in parquet so later analyses prune."""
-    write_table(master, f"{base}/master", fmt, partition_by=("month",) if fmt == "parquet" else ())
-    write_table(delivered, f"{base}/delivered_orders", fmt)
-    write_table(items_clean, f"{base}/items_clean", fmt)
