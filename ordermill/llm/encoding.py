@@ -25,11 +25,16 @@ DOCS = 128       # documents encoded at once
 _WS, _NW = r"[^\S\x1c-\x1f]", r"[\S\x1c-\x1f]"
 _PIECE = re.compile(rf" ?{_NW}+|{_WS}+(?!{_NW})|{_WS}+")
 _WORD = re.compile(rf"{_NW}+")
+_ODD = re.compile(r"[\x1c-\x1f]")
 _MARKS = ".,;:!?"  # after a letter, the tokenizers always cut before one of these; not after
 # the one letter whose lower case ends with a combining mark:
 _PLAIN = "\u0130"  # and below it, lower-casing a text changes no id of a tokenizer that lower-cases
 
 
+def _plain_words(text: str) -> list[str]:
+    return _WORD.findall(text) if _ODD.search(text) else text.split()
+
+
 class Encoder:
     """``encode(texts)`` gives the ids of each text as little-endian uint32 bytes."""
 
@@ -49,7 +54,7 @@ class Encoder:
             self.cut, self.separator = _PIECE.findall, "\n"
         elif normal == ["NFC", "Replace", "Lowercase"] and steps[0].get("type") == "Split" \
                 and steps[0].get("behavior") == "Removed" and spec.get("added_tokens"):
-            self.cut, self.separator = _WORD.findall, spec["added_tokens"][0]["content"]
+            self.cut, self.separator = _plain_words, spec["added_tokens"][0]["content"]
             self.lower = True
         # texts that hold an added token's own string are encoded whole: it cuts them elsewhere
         self.added = [t["content"] for t in spec.get("added_tokens", [])]
