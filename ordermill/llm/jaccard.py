@@ -40,6 +40,7 @@ from .words import combined, starts_of, word_hashes
 
 FREQUENT = 1 << 18   # elements that are ordered by frequency
 RUN_ELEMENTS, RUN_LEAST = 2_000_000, 4  # an element counts once it comes so often among so many
+SMALL, BROADCAST_ROWS = 64, 200_000  # groups that may share an element and be paired; rows sent to all tasks at most
 REST_PAIRS, SETTLED = 4, 0.8         # pairs left per member, or share of members left, that end the pivot rounds
 
 
@@ -57,6 +58,8 @@ def shingle_sets(texts: list[str | None], n: int) -> list[np.ndarray]:
 
 def needed(size, percent: int):
     """Least overlap that a set of this size needs with any linked set."""
+    if isinstance(size, Column):
+        return F.ceil(percent * size / F.lit(100).cast("decimal(3,0)")).cast("bigint")
     return (percent * size + 99) // 100
 
 
@@ -122,7 +125,7 @@ class Order:
 
 
 def signatures(docs: DataFrame, n: int, percent: int, order: Order) -> DataFrame:
-    """(id, text_hash, size, key, prefix) from (id, text, text_hash)."""
+    """(id, text_hash, size, key, group, prefix) from (id, text, text_hash)."""
     def run(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, 128):
@@ -130,93 +133,91 @@ def signatures(docs: DataFrame, n: int, percent: int, order: Order) -> DataFrame
                 sets = shingle_sets(part.column(1).to_pylist(), n)
                 keys = [hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest() if len(s) else None for s in sets]
                 heads = [order.first(s, prefix_size(len(s), percent)).view(np.int64) if len(s) else s.view(np.int64) for s in sets]
+                groups = [hashlib.blake2b(p.tobytes() + len(s).to_bytes(8, "little"), digest_size=16).hexdigest()
+                          if len(s) else None for s, p in zip(sets, heads)]
                 offsets = np.concatenate([[0], np.cumsum([len(p) for p in heads])])
                 prefix = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(heads)))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.string()),
-                     prefix], ["id", "text_hash", "size", "key", "prefix"])
+                     pa.array(groups, pa.string()), prefix], ["id", "text_hash", "size", "key", "group", "prefix"])
 
     return docs.select("id", "text", "text_hash").mapInArrow(
-        run, "id bigint, text_hash bigint, size bigint, key string, prefix array<bigint>")
+        run, "id bigint, text_hash string, size bigint, key string, group string, prefix array<bigint>")
 
 
-def _sets_of(texts: DataFrame, n: int) -> DataFrame:
-    """(key, elements) from (text): sorted element hashes as bytes."""
-    def run(batches):
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 128):
-                sets = shingle_sets(batch.slice(lo, 128).column(0).to_pylist(), n)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest() for s in sets]),
-                     pa.array([s.tobytes() for s in sets], pa.binary())], ["key", "elements"])
-
-    return texts.mapInArrow(run, "key string, elements binary")
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of members that link."""
+def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of members that link; their texts travel, as they are smaller than
+    their sets."""
     def run(frames):
         for pdf in frames:
             keep = []
-            for x, y in zip(pdf["x"], pdf["y"]):
-                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                if len(p) > len(q):
-                    p, q = q, p
-                at = np.minimum(np.searchsorted(q, p), len(q) - 1)
-                both = int((q[at] == p).sum())
-                keep.append(100 * both >= percent * (len(p) + len(q) - both))
+            for lo in range(0, len(pdf), 256):
+                part = pdf.iloc[lo:lo + 256]
+                once = list(dict.fromkeys([*part["x"], *part["y"]]))
+                sets = dict(zip(once, shingle_sets(once, n)))
+                for x, y in zip(part["x"], part["y"]):
+                    p, q = sorted((sets[x], sets[y]), key=len)
+                    at = np.minimum(np.searchsorted(q, p), len(q) - 1)
+                    both = int((q[at] == p).sum())
+                    keep.append(100 * both >= percent * (len(p) + len(q) - both))
             yield pdf.loc[keep, ["a", "b"]]
 
-    left = sets.select(F.col("key").alias("a"), F.col("elements").alias("x"))
-    right = sets.select(F.col("key").alias("b"), F.col("elements").alias("y"))
+    left = texts.select(F.col("key").alias("a"), F.col("text").alias("x"))
+    right = texts.select(F.col("key").alias("b"), F.col("text").alias("y"))
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y") \
                 .mapInPandas(run, "a string, b string")
 
 
+def _possible(percent: int, s1, o1, s2, o2) -> Column:
+    """Whether sets of these sizes can link if what they share starts at these places."""
+    small, large, overlap = F.least(s1, s2), F.greatest(s1, s2), F.least(s1 - o1, s2 - o2)
+    return (100 * small >= percent * large) & ((100 + percent) * overlap >= percent * (s1 + s2))
+
+
 def join_documents(docs: DataFrame, n: int = 4, percent: int = 85, *, id_col: str = "doc_id",
                    text_col: str = "text") -> DataFrame:
     """(id, text_hash, size, key, component, n_members): per row its set's size and key, the
     smallest key of its component, and how many different sets that holds."""
     base = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"),
-                       F.xxhash64(text_col).alias("text_hash"))
+                       F.md5(text_col).alias("text_hash"))
     order = Order(frequent_elements(base.select("text"), n))
     rows = stored(signatures(base, n, percent, order))
     # equal sets are one member; a crowd of them is pre-aggregated to a row
     members = stored(rows.where("key IS NOT NULL").groupBy("key").agg(
-        F.count(F.lit(1)).alias("copies"), F.min("text_hash").alias("text_hash"), F.first("size").alias("size"),
-        F.first("prefix").alias("prefix")))
-    member = members.select("key", "copies", "text_hash", "size", "prefix", F.md5(F.concat_ws(
-        ",", F.col("size").cast("string"), F.array_join(F.col("prefix").cast("array<string>"), ","))).alias("group"))
-    member = stored(member)
-    # postings of groups: elements in the prefixes of two groups at least
-    crowd = member.groupBy("group").agg(F.count(F.lit(1)).alias("members"), F.first("size").alias("size"), F.first("prefix").alias("prefix"))
-    crowd = stored(crowd)
-    posting = crowd.select("group", "size", F.posexplode("prefix").alias("place", "e"))
-    shared = posting.groupBy("e").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("e")
-    posting = stored(posting.join(shared, "e"))
+        F.count(F.lit(1)).alias("copies"), F.min("text_hash").alias("text_hash"), F.min("size").alias("size"), F.min("group").alias("group")))
+    many = members.groupBy("group").agg(F.count(F.lit(1)).alias("members"))
+    heads = rows.where("key IS NOT NULL").groupBy("group").agg(F.first("size").alias("size"), F.first("prefix").alias("prefix"))
+    # groups get short numbers, which the many postings carry
+    crowd = stored(heads.join(many, "group").withColumn("gid", F.monotonically_increasing_id()))
+    posting = crowd.select("gid", "size", F.posexplode("prefix").alias("place", "e"))
+    crowds = posting.groupBy("e").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    posting = stored(posting.join(crowds, "e"))
+    # groups that can have a partner: by the places of what a pair shares first, where few share
+    # an element; all groups that share an element with many, or that have several members
+    few = posting.where(F.col("n") <= SMALL)
+    x = few.select("e", *[F.col(c).alias(f"{c}1") for c in ("gid", "size", "place")])
+    y = few.select("e", *[F.col(c).alias(f"{c}2") for c in ("gid", "size", "place")])
+    met = x.join(y, "e").where("gid1 < gid2").where(100 * F.least("size1", "size2") >= percent * F.greatest("size1", "size2"))
+    met = met.groupBy("gid1", "gid2", "size1", "size2").agg(
+        F.min("place1").alias("place1"), F.min("place2").alias("place2"), F.count(F.lit(1)).alias("common"))
+    # beyond what their prefixes share, two sets share no more than the longer rest after a prefix
+    rest = F.greatest(needed(F.col("size1"), percent), needed(F.col("size2"), percent)) - 1
+    met = met.where((100 + percent) * (F.col("common") + rest) >= percent * (F.col("size1") + F.col("size2")))
+    met = met.where(_possible(percent, F.col("size1"), F.col("place1"), F.col("size2"), F.col("place2")))
+    hopeful = met.select(F.explode(F.array("gid1", "gid2")).alias("gid")) \
+                 .union(posting.where(F.col("n") > SMALL).select("gid")).union(crowd.where("members > 1").select("gid")).distinct()
     # what a group shares with others starts at its first shared place: everything before is its own
-    reach = posting.groupBy("group").agg(F.min("place").alias("own"))
-    inner = crowd.where("members > 1").select("group")
-    live = member.join(reach, "group", "left").join(inner.withColumn("crowded", F.lit(True)), "group", "left") \
-                 .where("own IS NOT NULL OR crowded") \
-                 .select("key", "group", "copies", "text_hash", "size", F.coalesce("own", F.lit(0)).alias("own"), "crowded")
-    live = stored(live)
-    # a block is a shared element, or a group of several members
-    blocks = stored(posting.select(F.col("e").cast("string").alias("block"), "group")
-                    .join(live.select("key", "group", "copies", "size", "own"), "group").drop("group")
-                    .union(live.where("crowded").select(F.concat(F.lit("g"), "group").alias("block"), "key", "copies", "size",
-                                                          F.lit(0).alias("own"))))  # its members share their whole prefix
-    texts = base.join(live.select("text_hash").distinct(), "text_hash", "left_semi") \
-                .groupBy("text_hash").agg(F.first("text").alias("text")).select("text")
-    wanted = live.select("key")
-    sets = stored(_sets_of(texts, n).dropDuplicates(["key"]).join(wanted, "key", "left_semi"))
-
-    def possible(s1, o1, s2, o2) -> Column:
-        """Whether sets of these sizes, with that many elements of their own, can link."""
-        small, large = F.least(s1, s2), F.greatest(s1, s2)
-        overlap = F.least(s1 - o1, s2 - o2)
-        return (100 * small >= percent * large) & ((100 + percent) * overlap >= percent * (s1 + s2))
-
+    reach = posting.groupBy("gid").agg(F.min("place").alias("own"))
+    known = crowd.select("gid", "group", "members").join(hopeful, "gid").join(reach, "gid", "left")
+    live = stored(members.join(known, "group").select("key", "gid", "copies", "text_hash", "size", "members",
+                                                      F.coalesce("own", F.lit(0)).alias("own")))
+    # a block is a shared element, or a group of several members, which share their whole prefix
+    blocks = stored(posting.select(F.col("e").cast("string").alias("block"), "gid")
+                    .join(live.select("key", "gid", "copies", "size", "own"), "gid").drop("gid")
+                    .union(live.where("members > 1").select(F.concat(F.lit("g"), F.col("gid").cast("string")).alias("block"),
+                                                            "key", "copies", "size", F.lit(0).alias("own"))))
+    wanted = _sent(live.select("text_hash", "key"))
+    texts = stored(base.select("text", "text_hash").join(wanted, "text_hash").groupBy("key").agg(F.first("text").alias("text")))
     comp, tried, before = live.select("key", F.col("key").alias("comp")), None, None
     names = ("key", "size", "own", "comp")
     while True:
@@ -242,15 +243,15 @@ def join_documents(docs: DataFrame, n: int = 4, percent: int = 85, *, id_col: st
             pivot = stored(fresh.groupBy("block").agg(F.min(rank).alias("p")).select("block", "p.*"))
             tried = pivot.select("block", "key") if tried is None else stored(tried.union(pivot.select("block", "key")))
             met = x.join(pivot.select("block", "c", "o", *[F.col(c).alias(f"{c}2") for c in names]), "block").where("comp1 <> comp2")
-        met = met.where(possible(F.col("size1"), F.col("own1"), F.col("size2"), F.col("own2")))
+        met = met.where(_possible(percent, F.col("size1"), F.col("own1"), F.col("size2"), F.col("own2")))
         if not rest:  # a member meets the best of its blocks' pivots
             met = met.groupBy("key1").agg(F.min(F.struct("c", "o", "key2")).alias("p")).select("key1", F.col("p.key2").alias("key2"))
         pairs = met.select(F.least("key1", "key2").alias("a"), F.greatest("key1", "key2").alias("b")).distinct()
-        comp = _contracted(comp, stored(_verified(pairs, sets, percent)))
+        comp = _contracted(comp, stored(_verified(pairs, texts, n, percent)))
         if rest:
             break
         blocks = blocks.drop("comp")
-    label = member.select("key").join(comp, "key", "left").select("key", F.coalesce("comp", "key").alias("component"))
+    label = members.select("key").join(comp, "key", "left").select("key", F.coalesce("comp", "key").alias("component"))
     size = label.groupBy("component").agg(F.count(F.lit(1)).alias("n_members"))
     label = stored(label.join(size, "component"))
     return rows.select("id", "text_hash", "size", "key").join(label, "key", "left")
@@ -286,9 +287,22 @@ def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     low = rows.where("component IS NOT NULL").groupBy("component").agg(
         F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("text_hash"))).alias("k")) \
         .select(F.col("k.id").alias(key), F.col("k.text_hash").alias(value))
-    kept = low.union(rows.where("component IS NULL").select("id", "text_hash")).distinct()
-    keyed = docs.withColumn(mark, F.xxhash64("text"))
-    match = keyed.join(kept, F.col("doc_id").cast("bigint").eqNullSafe(F.col(key)) & (F.col(mark) == F.col(value)), "left_semi")
-    # of rows that repeat the kept one's id and text one stays
+    members = rows.where("component IS NOT NULL").select(F.col("id").alias("i"), F.col("text_hash").alias("h")).distinct()
+    gone = stored(members.join(low, F.col("i").eqNullSafe(F.col(key)) & (F.col("h") == F.col(value)), "left_anti")
+                  .select(F.col("i").alias(key), F.col("h").alias(value)))
+    match = F.col("doc_id").cast("bigint").eqNullSafe(F.col(key)) & F.col(mark).eqNullSafe(F.col(value))
+    keyed = docs.withColumn(mark, F.md5("text"))
+    left = keyed.join(_sent(gone), match, "left_anti")
+    # rows that repeat an id and a text: one of them stays
+    again = stored(rows.groupBy("id", "text_hash").count().where("count > 1")
+                   .select(F.col("id").alias(key), F.col("text_hash").alias(value)))
+    if again.isEmpty():
+        return left.select(*docs.columns)
     w = Window.partitionBy("doc_id", mark).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
-    return match.withColumn(one, F.row_number().over(w)).where(F.col(one) == 1).select(*docs.columns)
+    first = left.join(_sent(again), match, "left_semi").withColumn(one, F.row_number().over(w)).where(F.col(one) == 1)
+    return left.join(_sent(again), match, "left_anti").select(*docs.columns).union(first.select(*docs.columns))
+
+
+def _sent(keys: DataFrame) -> DataFrame:
+    """A table of keys, marked to be sent to all tasks if it is small."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
