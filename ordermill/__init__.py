@@ -1,7 +1,8 @@
 """ordermill: marketplace order analytics as Spark DataFrame operators.
 
-Every public operator is a function from DataFrames to a lazy DataFrame, built
-from native Spark expressions (no Python UDF in any hot path).  The layout:
+Every public operator is a function from DataFrames to a DataFrame, built from native
+Spark expressions (no Python UDF in any hot path).  Most are lazy; those that rank or
+take exact quantiles write a frame to the checkpoint folder when called.  The layout:
 
 * ``ordermill.sources``   role schemas, CSV/parquet readers, the test-table adapter, sinks
 * ``ordermill.functions`` Column helpers (exact rounding, time features, fixed labels)

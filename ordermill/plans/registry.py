@@ -36,14 +36,20 @@ def decimals_to_double(df: DataFrame) -> DataFrame:
 _PRODUCTS: dict[tuple[str, str, str], DataFrame] = {}
 
 
-def _product(spark: SparkSession, sf: str, name: str, build, columnar: bool = False) -> DataFrame:
-    """``columnar`` for wide frames whose readers use a few columns (the master)."""
+def _product(spark: SparkSession, sf: str, name: str, build) -> DataFrame:
+    """Products are parquet, so their readers prune columns and push filters."""
     key = (app_key(spark), sf, name)
     if key not in _PRODUCTS:
-        _PRODUCTS[key] = materialize(build(), columnar=columnar)
+        _PRODUCTS[key] = materialize(build(), columnar=True)
     return _PRODUCTS[key]
 
 
+def clear_products() -> None:
+    """Forget all products, so that the next query builds its own from the input files."""
+    _PRODUCTS.clear()
+    _TABLES.clear()
+
+
 def _items_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return _product(spark, sf, "items_dedup",
                     lambda: picks.dedup(tables_for(spark, sf).items, ["order_id", "order_item_id"]))
@@ -60,7 +66,7 @@ def _orders_clean(spark: SparkSession, sf: str) -> DataFrame:
 def _master(spark: SparkSession, sf: str) -> DataFrame:
     return _product(spark, sf, "master",
                     lambda: build_master(tables_for(spark, sf), items_clean=_items_clean(spark, sf),
-                                         orders_clean=_orders_clean(spark, sf)), columnar=True)
+                                         orders_clean=_orders_clean(spark, sf)))
 
 
 _TABLES: dict[tuple[str, str], object] = {}
