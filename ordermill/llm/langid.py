@@ -137,8 +137,8 @@ def url_suffix(url: Column) -> Column:
 
 
 def registered_domain(host: Column) -> Column:
-    """The last two labels of a host."""
-    return F.coalesce(F.nullif(F.regexp_extract(host, r"([^.]+\.[^.]+)\.?$", 1), F.lit("")), host)
+    """The last two labels of a host; null for a name without a dot, whose counts would be used twice."""
+    return F.nullif(F.regexp_extract(host, r"([^.]+\.[^.]+)\.?$", 1), F.lit(""))
 
 
 def evidence(docs: DataFrame, text: Column, declared: Column, host: Column | None = None,
@@ -234,7 +234,8 @@ def identify(rows: DataFrame) -> DataFrame:
 
 
 def document_evidence(docs: DataFrame, **keys: Column) -> DataFrame:
-    """Evidence of ``documents``: the declared language is ``lang``, the source stands for the host."""
+    """Evidence of ``documents``: the declared language is ``lang``, the source stands for the host.
+    The table has no address, so there is no suffix, and a domain only where a source has a dot."""
     return evidence(docs, F.col("text"), declared_language(F.col("lang")), F.col("source"), keys=keys)
 
 

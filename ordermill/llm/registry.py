@@ -8,6 +8,7 @@ from . import jaccard, langid, licences, mixing, neardup, packing, pii, tokenfil
 def queries():
     return {
         "op1_language_id": langid.op1_language_id,
+        "op1_pages_language": langid.pages_language,
         "op2_jaccard_join": jaccard.op2_jaccard_join,
         "op3_mixing": mixing.op3_mixing,
         "op4_embedding_neardup": neardup.op4_embedding_neardup,

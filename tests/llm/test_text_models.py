@@ -2,7 +2,9 @@ import random
 
 from pyspark.sql import functions as F
 
-from ordermill.llm import langid, licences
+from ordermill.llm import common, langid, licences, registry
+
+SF = "/root/testdata/sf0.001"
 
 WORDS = {k: v.split() for k, v in langid.SEEDS.items()}
 
@@ -35,6 +37,20 @@ def test_declared_host_and_suffix_decide_where_the_text_does_not(spark):
     assert not got[1002].kept and not got[1003].kept
 
 
+def test_registered_query_over_pages_has_all_channels(spark):
+    pages = common.read_table(spark, SF, "pages")
+    got = registry.queries()["op1_pages_language"](spark, SF)
+    assert sorted(r.page_id for r in got.collect()) == sorted(r.page_id for r in pages.select("page_id").collect())
+    seen = langid.page_evidence(pages).agg(*[F.count(c).alias(c) for c in ("declared", "host", "domain", "suffix")]).first()
+    assert all(n > 0.5 * pages.count() for n in seen)
+    assert got.where("declared_lang IS NOT NULL AND lang_id = declared_lang").count() > 0.5 * pages.count()
+
+
+def test_a_source_without_a_dot_has_no_domain(make_docs):
+    docs = make_docs([(1, "a", "en", "src0"), (2, "b", "en", "www.example.org")])
+    assert [r.domain for r in langid.document_evidence(docs, k=F.col("doc_id")).orderBy("k").collect()] == [None, "example.org"]
+
+
 def test_odd_rows_and_other_scripts(make_docs, odd_docs):
     docs = make_docs([r[:4] for r in corpus()] + [(5000, "съешь ещё этих мягких французских булок " * 5, None, None)]).union(odd_docs)
     docs = docs.withColumn("_mark", F.lit(1)).withColumn("_id", F.lit(2))
