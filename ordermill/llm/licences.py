@@ -1,13 +1,18 @@
 """Licence scan: a trained paragraph classifier, confirmed by template comparison.
 
 Texts are cut into paragraphs (lines) and long paragraphs into windows of ``WINDOW`` words
-that overlap by half.  A softmax regression over hashed word uni- and bigrams gives each
-window a probability per licence family and for "none".  It is trained here, on the notices
-below in many wordings and on a bounded sample of the corpus's own paragraphs as negatives;
-its temperature is calibrated on a held-out part of the same set.  A family is reported if
-its probability reaches ``MIN_PROBABILITY`` and a notice of that family is contained in the
-window to at least ``MIN_CONTAINED`` of its word bigrams.  A window that the classifier takes
-for a licence but no template of the predicted family confirms is "unknown".
+that overlap by half.
+A softmax regression over hashed word uni- and bigrams gives each window a probability per
+licence family and for "none".  It is trained here, on the notices below in many wordings and
+on a bounded sample of the corpus's own lines as negatives; its temperature is calibrated on
+a held-out part of the same set.  A window is taken for a licence if its probability of not
+being "none" reaches ``MIN_PROBABILITY``.  It is then compared with the notices of all
+families, together with ``WINDOW`` words of its paragraph on both sides, so that a notice cut
+by its ends is seen whole.  Each notice that touches the window, with at least
+``MIN_CONTAINED`` of its word bigrams within ``WINDOW`` words, is reported, once however many
+windows show it.  The best contained notice takes its words; others need words of their
+own, so "CC BY-NC" does not count as "CC BY" too.  A full window taken for a licence that no
+notice touches is "unknown".
 
 The sample is the only part of the corpus that fitting sees, at most ``SAMPLE`` paragraphs
 of at most ``SAMPLE_CHARS`` characters; scanning covers every word of every text.
@@ -82,6 +87,10 @@ class Model:
     def __init__(self, weights, bias, temperature):
         self.weights, self.bias, self.temperature = weights, bias, temperature
         self.templates = {f: [np.unique(combined(word_hashes([fold(t)])[0], 2)) for t in ts] for f, ts in TEMPLATES.items()}
+        each = [(FAMILIES.index(f), t) for f, ts in self.templates.items() for t in ts]
+        self.family = [k for k, _ in each]
+        self.vocabulary = np.unique(np.concatenate([t for _, t in each]))
+        self.sets = [frozenset(np.searchsorted(self.vocabulary, t).tolist()) for _, t in each]
 
     def logits(self, sums: np.ndarray, words: np.ndarray) -> np.ndarray:
         return (sums / np.sqrt(np.maximum(words, 1))[:, None] + self.bias) / self.temperature
@@ -89,6 +98,46 @@ class Model:
     def contained(self, family: str, bigrams: np.ndarray) -> float:
         return max(np.isin(t, bigrams).mean() for t in self.templates[family])
 
+    def known_bigrams(self, pairs: np.ndarray) -> np.ndarray:
+        """Each bigram's number among those of the templates, -1 for others."""
+        at = np.minimum(np.searchsorted(self.vocabulary, pairs), len(self.vocabulary) - 1)
+        return np.where(self.vocabulary[at] == pairs, at, -1)
+
+    def best_share(self, ids: np.ndarray) -> float:
+        have = set(ids[ids >= 0].tolist())
+        return max(len(own & have) / len(own) for own in self.sets)
+
+    def notices(self, ids: np.ndarray, p: np.ndarray) -> list[tuple[str, int, int, float]]:
+        """(family, first word, end, containment) of the notices in a run of bigrams, the best
+        contained first (then the longer, then the more probable).  A notice's bigrams speak
+        for it alone: its near relatives must be contained in what is left."""
+        left, out = {j: x for j, x in enumerate(ids.tolist()) if x >= 0}, []
+        while left:
+            have, best = set(left.values()), None
+            most = [(len(own & have) / len(own), t) for t, own in enumerate(self.sets)]
+            for bound, t in sorted(most, reverse=True):
+                if bound < (MIN_CONTAINED if best is None else best[0][0]):
+                    break
+                own = [j for j, x in left.items() if x in self.sets[t]]
+                for k, s in enumerate(own):  # the fullest, then the shortest run of at most WINDOW words
+                    marks = {}
+                    for j in own[k:]:
+                        if j > s + WINDOW - 2:
+                            break
+                        marks.setdefault(left[j], j)
+                    where = list(marks.values())
+                    share = len(where) / len(self.sets[t])
+                    rank = (share, len(where), p[self.family[t]], s - where[-1], -s)
+                    if share >= MIN_CONTAINED and (best is None or rank > best[0]):
+                        best = rank, t, where
+            if best is None:
+                break
+            rank, t, where = best
+            for j in where:
+                del left[j]
+            out.append((FAMILIES[self.family[t]], where[0], where[-1] + 2, rank[0]))
+        return out
+
 
 def _probabilities(logits: np.ndarray) -> np.ndarray:
     e = np.exp(logits - logits.max(axis=1, keepdims=True))
@@ -181,8 +230,8 @@ HITS = "array<struct<start:bigint,end:bigint,family:string,probability:double,co
 
 
 def scan(docs: DataFrame, model: Model, text_col: str = "text", out_col: str = "licences") -> DataFrame:
-    """``docs`` with ``out_col``: the windows that name a licence, with byte places in the
-    folded text (its UTF-8 bytes), family (or "unknown"), probability and containment."""
+    """``docs`` with ``out_col``: the notices (or "unknown" windows), with byte places in the
+    folded text (its UTF-8 bytes), family, the window's probability and containment."""
     kinds = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("family", pa.string()),
                                 ("probability", pa.float64()), ("contained", pa.float64())]))
     keep = [c for c in docs.columns if c != text_col]
@@ -199,14 +248,28 @@ def scan(docs: DataFrame, model: Model, text_col: str = "text", out_col: str = "
     return docs.select(F.col(text_col), *keep).mapInArrow(run, ", ".join([*([schema] if schema else []), f"`{out_col}` {HITS}"]))
 
 
+def _windows(first: np.ndarray, n: int, width: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, end) of the windows over pieces that start at ``first``: whole short pieces;
+    long ones by ``width`` words, half overlapping."""
+    last = np.append(first[1:], n)
+    count = np.maximum(1, -(-(last - first - width) // (width // 2)) + 1)
+    which = np.repeat(np.arange(len(first)), count)
+    step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    a = first[which] + step * (width // 2)
+    return a, np.minimum(a + width, last[which])
+
+
 def _scan(texts: list[bytes], model: Model) -> list[list[dict]]:
     h, start, end, buf = word_hashes(texts)
     out = [[] for _ in texts]
     if not len(h):
         return out
-    raw = np.frombuffer(buf, np.uint8)
-    breaks = np.flatnonzero(raw == 10)
-    para = np.searchsorted(breaks, start)  # paragraph number of each word
+    places = starts_of(texts)
+    doc = np.searchsorted(places, start, side="right") - 1
+    line = np.searchsorted(np.flatnonzero(np.frombuffer(buf, np.uint8) == 10), start)
+    new = np.diff(line, prepend=-1) != 0
+    first = np.flatnonzero(new)
+    para, last = np.cumsum(new) - 1, np.append(first[1:], len(h))
     score = np.zeros((len(h) + 1, model.weights.shape[1]))
     pair = np.zeros_like(score)
     np.cumsum(model.weights[_slots(h)], axis=0, out=score[1:])
@@ -214,31 +277,28 @@ def _scan(texts: list[bytes], model: Model) -> list[list[dict]]:
     if len(pairs):
         np.cumsum(model.weights[_slots(pairs)], axis=0, out=pair[1:-1])
     pair[-1] = pair[-2]
-    # windows: whole short paragraphs; long ones by WINDOW words, half overlapping
-    first = np.flatnonzero(np.diff(para, prepend=-1))
-    last = np.append(first[1:], len(h))
-    count = np.maximum(1, -(-(last - first - WINDOW) // (WINDOW // 2)) + 1)
-    which = np.repeat(np.arange(len(first)), count)
-    step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    a = first[which] + step * (WINDOW // 2)
-    b = np.minimum(a + WINDOW, last[which])
-    sums = score[b] - score[a] + pair[b - 1] - pair[a]
-    p = _probabilities(model.logits(sums, b - a))
-    best = p.argmax(axis=1)
-    places = starts_of(texts)
-    for i in np.flatnonzero((best < len(FAMILIES)) & (p.max(axis=1) >= MIN_PROBABILITY)):
-        family = FAMILIES[best[i]]
-        share = model.contained(family, combined(h[a[i]:b[i]], 2))
-        if share < MIN_CONTAINED:  # the next families by probability may be the right ones
-            for k in np.argsort(-p[i])[1:4]:
-                if k < len(FAMILIES) and (s := model.contained(FAMILIES[k], combined(h[a[i]:b[i]], 2))) == 1:
-                    family, share = FAMILIES[k], s
-                    break
-        doc = int(np.searchsorted(places, start[a[i]], side="right")) - 1
-        out[doc].append({"start": int(start[a[i]] - places[doc]), "end": int(end[b[i] - 1] - places[doc]),
-                         "family": family if share >= MIN_CONTAINED else "unknown",
-                         "probability": float(p[i].max()), "contained": float(share)})
-    return out
+    a, b = _windows(np.flatnonzero(np.diff(line, prepend=-1)), len(h))
+    p = _probabilities(model.logits(score[b] - score[a] + pair[b - 1] - pair[a], b - a))
+    sure = 1 - p[:, -1]
+    known = model.known_bigrams(pairs)
+    known[para[:-1] != para[1:]] = -1
+    found = {}  # family -> (first word, end) of its notices, to name each one once
+    for i in np.flatnonzero(sure >= MIN_PROBABILITY):
+        lo, hi = max(first[para[a[i]]], a[i] - WINDOW), min(last[para[a[i]]], b[i] + WINDOW)
+        hits = [x for x in model.notices(known[lo:hi - 1], p[i]) if x[1] + lo < b[i] and x[2] + lo > a[i]]
+        fresh = []
+        for family, s, e, share in hits:
+            old = found.setdefault(family, {})
+            if not any(k in old for k in range(s + lo, e + lo)):
+                fresh.append((family, s + lo, e + lo, share))
+                old.update(dict.fromkeys(range(s + lo, e + lo)))
+        if not hits:
+            fresh.append(("unknown", a[i], b[i], model.best_share(known[a[i]:b[i] - 1])))
+        at = doc[a[i]]
+        for family, s, e, share in fresh:
+            out[at].append({"start": int(start[s] - places[at]), "end": int(end[e - 1] - places[at]), "family": family,
+                            "probability": float(sure[i]), "contained": float(share)})
+    return [sorted(x, key=lambda hit: (hit["start"], hit["end"], hit["family"])) for x in out]
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -94,3 +94,17 @@ def test_licence_scan_of_odd_rows(odd_docs):
     assert all(not r.licences for r in found.collect() if r.doc_id in (1, 2, 3))
     assert licences.scan(odd_docs.limit(0), model).count() == 0
     assert licences.sample_paragraphs(odd_docs.limit(0)) == []
+
+
+def families(model, text):
+    return [x["family"] for x in licences._scan([licences.fold(text)], model)[0]]
+
+
+def test_every_family_that_a_line_names_is_reported():
+    model = licences.train(FILL * 40)
+    assert families(model, "released under the MIT License or licensed under the Apache License Version 2.0") == ["mit", "apache-2.0"]
+    assert families(model, "licensed under CC BY 4.0, all rights reserved") == ["cc-by", "all-rights-reserved"]
+    assert families(model, "licensed under CC BY-SA 4.0 and CC BY 4.0 and released under the GPL v3") == ["cc-by-sa", "cc-by", "gpl-3.0"]
+    for family, notices in licences.TEMPLATES.items():  # relatives share words, not notices
+        assert all(families(model, t) == [family] for t in notices)
+    assert families(model, "licensed under the GNU General Public License version 2 " * 3) == ["gpl-2.0"] * 3
