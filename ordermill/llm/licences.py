@@ -1,7 +1,8 @@
 """Licence scan: a trained paragraph classifier, confirmed by template comparison.
 
-Texts are cut into paragraphs (lines) and long paragraphs into windows of ``WINDOW`` words
-that overlap by half.
+Texts are cut into lines, and into paragraphs at lines without words.  Both are read in
+windows of ``WINDOW`` words that overlap by half, paragraphs by those that cross a line end
+and, for short notices amid other words, once more by windows of half the width.
 A softmax regression over hashed word uni- and bigrams gives each window a probability per
 licence family and for "none".  It is trained here, on the notices below in many wordings and
 on a bounded sample of the corpus's own lines as negatives; its temperature is calibrated on
@@ -12,9 +13,9 @@ by its ends is seen whole.  Each notice that touches the window, with at least
 ``MIN_CONTAINED`` of its word bigrams within ``WINDOW`` words, is reported, once however many
 windows show it.  The best contained notice takes its words; others need words of their
 own, so "CC BY-NC" does not count as "CC BY" too.  A full window taken for a licence that no
-notice touches is "unknown".
+notice touches is "unknown"; across line ends only if no other window there is reported.
 
-The sample is the only part of the corpus that fitting sees, at most ``SAMPLE`` paragraphs
+The sample is the only part of the corpus that fitting sees, at most ``SAMPLE`` lines
 of at most ``SAMPLE_CHARS`` characters; scanning covers every word of every text.
 
 Defined results: null and empty texts have no licence; repeated rows give repeated rows;
@@ -267,7 +268,8 @@ def _scan(texts: list[bytes], model: Model) -> list[list[dict]]:
     places = starts_of(texts)
     doc = np.searchsorted(places, start, side="right") - 1
     line = np.searchsorted(np.flatnonzero(np.frombuffer(buf, np.uint8) == 10), start)
-    new = np.diff(line, prepend=-1) != 0
+    # a paragraph ends with its text or where a line without words follows
+    new = (np.diff(line, prepend=-2) > 1) | (np.diff(doc, prepend=-1) != 0)
     first = np.flatnonzero(new)
     para, last = np.cumsum(new) - 1, np.append(first[1:], len(h))
     score = np.zeros((len(h) + 1, model.weights.shape[1]))
@@ -278,11 +280,19 @@ def _scan(texts: list[bytes], model: Model) -> list[list[dict]]:
         np.cumsum(model.weights[_slots(pairs)], axis=0, out=pair[1:-1])
     pair[-1] = pair[-2]
     a, b = _windows(np.flatnonzero(np.diff(line, prepend=-1)), len(h))
+    wide_a, wide_b = _windows(first, len(h))
+    across = line[wide_a] != line[wide_b - 1]
+    wide_a, wide_b = wide_a[across], wide_b[across]
+    near_a, near_b = _windows(first, len(h), WINDOW // 2)  # short notices amid other words
+    n_lines, n_wide = len(a), len(a) + len(wide_a)
+    a, b = np.concatenate([a, wide_a, near_a]), np.concatenate([b, wide_b, near_b])
     p = _probabilities(model.logits(score[b] - score[a] + pair[b - 1] - pair[a], b - a))
     sure = 1 - p[:, -1]
     known = model.known_bigrams(pairs)
     known[para[:-1] != para[1:]] = -1
     found = {}  # family -> (first word, end) of its notices, to name each one once
+    seen = np.zeros(len(h), bool)  # words of windows that are reported
+    # windows within lines first, so that those across line ends add only what these lack
     for i in np.flatnonzero(sure >= MIN_PROBABILITY):
         lo, hi = max(first[para[a[i]]], a[i] - WINDOW), min(last[para[a[i]]], b[i] + WINDOW)
         hits = [x for x in model.notices(known[lo:hi - 1], p[i]) if x[1] + lo < b[i] and x[2] + lo > a[i]]
@@ -292,8 +302,9 @@ def _scan(texts: list[bytes], model: Model) -> list[list[dict]]:
             if not any(k in old for k in range(s + lo, e + lo)):
                 fresh.append((family, s + lo, e + lo, share))
                 old.update(dict.fromkeys(range(s + lo, e + lo)))
-        if not hits:
+        if not hits and (i < n_lines or i < n_wide and not seen[a[i]:b[i]].any()):
             fresh.append(("unknown", a[i], b[i], model.best_share(known[a[i]:b[i] - 1])))
+        seen[a[i]:b[i]] = True
         at = doc[a[i]]
         for family, s, e, share in fresh:
             out[at].append({"start": int(start[s] - places[at]), "end": int(end[e - 1] - places[at]), "family": family,

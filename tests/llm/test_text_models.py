@@ -108,3 +108,16 @@ def test_every_family_that_a_line_names_is_reported():
     for family, notices in licences.TEMPLATES.items():  # relatives share words, not notices
         assert all(families(model, t) == [family] for t in notices)
     assert families(model, "licensed under the GNU General Public License version 2 " * 3) == ["gpl-2.0"] * 3
+
+
+def test_notices_wrapped_over_lines():
+    model = licences.train(FILL * 40)
+    lines = "licensed under a Creative Commons", "Attribution-NonCommercial 4.0 International License"
+    assert families(model, f"{FILL[0]}\n# {lines[0]}\n# {lines[1]}\n\n{FILL[1]}") == ["cc-by-nc"]
+    assert families(model, "x all rights\nreserved") == ["all-rights-reserved"]
+    assert "all-rights-reserved" not in families(model, "x all rights\n\nreserved")
+    for family, notices in licences.TEMPLATES.items():
+        for words in map(str.split, notices):
+            for k in range(1, len(words)):
+                text = " ".join([*FILL, *words[:k]]) + "\n" + " ".join([*words[k:], *FILL])
+                assert {family} == set(families(model, text)) - {"unknown"}, text
