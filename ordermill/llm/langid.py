@@ -12,9 +12,11 @@ For a document d and a language l the posterior is proportional to
 
 The channels P(declared | l) and P(suffix | l) and the host counts are grouped aggregations
 over all documents.  Only the trigram tables are fitted on a sample: per declared language
-at most ``TRAIN_DOCS`` texts (lowest hashes) of ``TRAIN_CHARS`` characters; after a first fit
-texts that are decided otherwise change sides, and the tables are fitted again.  Languages
-are the ``LANGUAGES`` most often declared ones.
+at most ``TRAIN_DOCS`` texts (lowest hashes) of ``TRAIN_CHARS`` characters; after a
+first fit texts that are decided otherwise change sides, and the tables are fitted again.
+Every declared language with ``MIN_TEXTS`` texts has a table, and if none has as
+many, every declared one; there is no rank cap.  Time and the tables' memory (256 KB each)
+grow with the number of languages.
 
 A document is rejected (kept = false) if its text has no letters, if "und" wins, or if the
 posterior is below ``MIN_POSTERIOR``.
@@ -34,8 +36,8 @@ from pyspark.sql import functions as F
 
 from .common import free_name, read_table, row_hash, stored
 
-BITS, LANGUAGES = 16, 50
-TRAIN_DOCS, TRAIN_CHARS = 400, 3000
+BITS, PIECE = 16, 4096  # trigram slots; trigrams of a text that are summed at once
+TRAIN_DOCS, TRAIN_CHARS, MIN_TEXTS = 400, 3000, 3
 TEXT_WEIGHT, MIN_POSTERIOR = 0.3, 0.5
 KAPPA = 20.0  # strength of the domain's prior over its hosts, and of the corpus's over its domains
 UND = "und"
@@ -87,31 +89,42 @@ def text_scores(texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.nda
     slot, doc = trigrams(texts)
     if len(slot):
         first = np.flatnonzero(np.diff(doc, prepend=-1))
-        out[doc[first]] = np.add.reduceat(table[slot], first, axis=0)
+        place = np.arange(len(slot)) - np.repeat(first, np.diff(first, append=len(slot)))
+        piece = np.append(np.flatnonzero(place % PIECE == 0), len(slot))
+        step = max(1, (1 << 24) // (PIECE * table.shape[1]))  # memory stays the same for any number of classes
+        for lo in range(0, len(piece) - 1, step):
+            at = piece[lo:lo + step + 1]
+            sums = np.add.reduceat(table[slot[at[0]:at[-1]]], at[:-1] - at[0], axis=0)
+            np.add.at(out, doc[at[:-1]], sums)
         n = np.bincount(doc, minlength=len(texts))
     return out, n
 
 
 def fit(samples: list[tuple[str, str]]) -> tuple[list[str], np.ndarray]:
-    """(languages, table of log probabilities: slot x language, "und" last)."""
+    """(languages, table of log probabilities: slot x language, "und" last).  A tag all of whose
+    texts change sides has no table."""
     samples = samples or list(SEEDS.items())
     langs = sorted({lang for lang, _ in samples})
     size = 1 << BITS
-    label = np.array([langs.index(lang) for lang, _ in samples])
+    number = {lang: k for k, lang in enumerate(langs)}
+    label = np.array([number[lang] for lang, _ in samples])
     texts = [t for _, t in samples]
     for turn in range(2):
-        table = np.zeros((size, len(langs) + 1))
+        if turn:
+            left = np.unique(label)
+            langs, label = [langs[k] for k in left], np.searchsorted(left, label)
+        table = np.zeros((size, len(langs) + 1), np.float32)
         for i in range(len(texts)):
             np.add.at(table[:, label[i]], trigrams([texts[i]])[0], 1)
-        total = table.sum(axis=0)
-        table = np.log((table + 0.5) / (total + 0.5 * size))
+        total = table.sum(axis=0, dtype=np.float64)
+        for k in range(len(langs)):
+            table[:, k] = np.log((table[:, k].astype(np.float64) + 0.5) / (total[k] + 0.5 * size))
         table[:, -1] = -np.log(size)
         if turn == 0 and len(langs) > 1:
             for i, text in enumerate(texts):
                 score, n = text_scores([text], table[:, :-1])
                 label[i] = score[0].argmax() if n[0] else label[i]
-    return langs, table.astype(np.float32)
-
+    return langs, table
 
 
 def declared_language(value: Column) -> Column:
@@ -153,16 +166,15 @@ def evidence(docs: DataFrame, text: Column, declared: Column, host: Column | Non
 
 def training_sample(rows: DataFrame) -> list[tuple[str, str]]:
     known = rows.where("declared IS NOT NULL AND text IS NOT NULL")
-    top = {r[0]: r[1] for r in known.groupBy("declared").count().orderBy(F.desc("count"), "declared").limit(LANGUAGES).collect()}
-    if not top:
-        return []
+    each = stored(known.groupBy("declared").agg(F.count("*").alias("n")))
+    if not each.where(F.col("n") >= MIN_TEXTS).isEmpty():
+        each = each.where(F.col("n") >= MIN_TEXTS)
     cells = 1 << 30
-    cut = F.lit(None).cast("bigint")
-    for lang, n in top.items():  # hash share that holds TRAIN_DOCS rows on average
-        cut = F.when(F.col("declared") == lang, min(cells, cells * TRAIN_DOCS // n + 1)).otherwise(cut)
-    part = known.where((row_hash(F.col("text")) % cells) < cut)
+    # hash share that holds TRAIN_DOCS rows on average; tags of two or three letters are few
+    each = each.select("declared", F.expr(f"least({cells}L, {TRAIN_DOCS * cells}L div n + 1)").alias("cut"))
+    part = known.join(F.broadcast(each), "declared").where((row_hash(F.col("text")) % cells) < F.col("cut"))
     part = part.select("declared", F.substring("text", 1, TRAIN_CHARS).alias("t")).orderBy(F.xxhash64("t"), "declared")
-    return [(r[0], r[1]) for r in part.limit(2 * TRAIN_DOCS * len(top)).collect()]
+    return [(r[0], r[1]) for r in part.limit(2 * TRAIN_DOCS * each.count()).collect()]
 
 
 def identify(rows: DataFrame) -> DataFrame:
@@ -186,13 +198,18 @@ def identify(rows: DataFrame) -> DataFrame:
     scored = stored(rows.select("text", *keys).mapInArrow(score, f"{schema}, ll array<double>, n_grams bigint, vote int"))
 
     k = len(names)
-    votes = F.array(*[F.sum((F.col("vote") == i).cast("double")) for i in range(k)])
-    total = scored.agg(*[F.sum((F.col("vote") == i).cast("double")) for i in range(k)]).first()
-    world = np.array([t or 0.0 for t in total]) + np.array([1.0] * (k - 1) + [0.01])
+    slots = F.sequence(F.lit(0), F.lit(k - 1))
+    total = [0.0] * k
+    for vote, n in scored.groupBy("vote").count().collect():
+        total[vote] = float(n)
+    world = np.array(total) + np.array([1.0] * (k - 1) + [0.01])
     world = F.array(*[F.lit(float(x)) for x in world / world.sum()])
 
     def counts(col, alias):
-        return stored(scored.where(F.col(col).isNotNull()).groupBy(col).agg(votes.alias(alias)))
+        """Votes per class for each value, one row a value."""
+        each = scored.where(F.col(col).isNotNull()).groupBy(col, "vote").agg(F.count("*").cast("double").alias("n"))
+        each = each.groupBy(col).agg(F.map_from_entries(F.collect_list(F.struct("vote", "n"))).alias("m"))
+        return stored(each.select(col, F.transform(slots, lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias(alias)))
 
     hosts, domains = counts("host", "in_host"), counts("domain", "in_domain")
     said, tails = counts("declared", "with_declared"), counts("suffix", "with_suffix")
@@ -200,8 +217,8 @@ def identify(rows: DataFrame) -> DataFrame:
     # one row per host, domain, tag or suffix on the right: Spark broadcasts it only below its limit
     for col, right in (("host", hosts), ("domain", domains), ("declared", said), ("suffix", tails)):
         out = out.join(right, col, "left")
-    zeros = F.array(*[F.lit(0.0)] * k)
-    own = F.array(*[(F.col("vote") == i).cast("double") for i in range(k)])
+    zeros = F.array_repeat(F.lit(0.0), k)
+    own = F.transform(slots, lambda i: (F.col("vote") == i).cast("double"))
 
     def smoothed(name, prior):
         """Counts without the row's own vote, over a prior of weight KAPPA."""
@@ -211,11 +228,12 @@ def identify(rows: DataFrame) -> DataFrame:
         return F.zip_with(mine, prior, lambda a, p: (a + F.lit(KAPPA) * p) / (total + KAPPA))
 
     prior = smoothed("in_host", smoothed("in_domain", world))
-    per_lang = F.array(*[F.lit(float(t or 0.0)) for t in total])
+    per_lang = F.array(*[F.lit(t) for t in total])
+    tags = F.array(*[F.lit(x) for x in names])
 
     def channel(name, col):
         """log P(value | l) from counts over all rows; nothing where the value is null."""
-        agrees = F.array(*[F.when(F.col(col) == x, 1.0).otherwise(0.0) for x in names])
+        agrees = F.transform(tags, lambda x: (F.col(col) == x).cast("double"))
         seen = F.zip_with(F.coalesce(F.col(name), zeros), agrees, lambda a, g: a + 0.5 + 2 * g)
         return F.when(F.col(col).isNull(), zeros).otherwise(
             F.zip_with(seen, per_lang, lambda a, n: F.log(a / (n + 4.0))))
@@ -225,7 +243,6 @@ def identify(rows: DataFrame) -> DataFrame:
                    add(channel("with_declared", "declared"), channel("with_suffix", "suffix")))
     out = out.withColumn("_post", log_post).withColumn("_top", F.array_max("_post"))
     mass = F.aggregate("_post", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("_top")))
-    tags = F.array(*[F.lit(x) for x in names])
     best = F.element_at(tags, F.array_position("_post", F.col("_top")).cast("int"))
     best = F.when(F.col("n_grams") == 0, F.lit(UND)).otherwise(best)
     return out.select(*keys, F.element_at(tags, F.col("vote") + 1).alias("text_lang"), best.alias("lang_id"),

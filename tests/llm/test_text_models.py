@@ -68,6 +68,23 @@ def test_nothing_declared(make_docs):
     assert sum(r.lang_id == "de en es fr".split()[r.doc_id % 4] for r in got) >= 38
 
 
+def many_languages(n, texts):
+    """(id, text, tag, host, tag) rows of ``n`` made-up languages with words of their own."""
+    rng, rows = random.Random(5), []
+    for k in range(n):
+        words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(3, 8))) for _ in range(30)]
+        tag = "xyz"[k // 26] + chr(97 + k % 26)
+        rows += [(len(rows) + i, " ".join(rng.choices(words, k=40)), tag, "h", tag) for i in range(texts + (k < 55))]
+    return rows
+
+
+def test_the_languages_have_no_rank_cap(make_docs):
+    rows = many_languages(60, 4)
+    truth = {r[0]: r[4] for r in rows}
+    got = langid.identify(langid.document_evidence(make_docs([r[:4] for r in rows]), doc_id=F.col("doc_id"))).collect()
+    assert all(r.lang_id == r.text_lang == truth[r.doc_id] and r.kept for r in got) and len(got) == len(rows)
+
+
 FILL = ["the river runs along the old town wall", "we measured every sample twice before lunch", "copyright is a word in this sentence",
         "the license plate of the car was new", "he was granted permission to leave the software course"]
 
