@@ -12,9 +12,9 @@ For a document d and a language l the posterior is proportional to
 
 The channels P(declared | l) and P(suffix | l) and the host counts are grouped aggregations
 over all documents.  Only the trigram tables are fitted on a sample: per declared language
-at most ``TRAIN_DOCS`` texts (lowest hashes) of ``TRAIN_CHARS`` characters; after a
+at most ``TRAIN_DOCS`` different texts (lowest hashes) of ``TRAIN_CHARS`` characters; after a
 first fit texts that are decided otherwise change sides, and the tables are fitted again.
-Every declared language with ``MIN_TEXTS`` texts has a table, and if none has as
+Every declared language with ``MIN_TEXTS`` different texts has a table, and if none has as
 many, every declared one; there is no rank cap.  Time and the tables' memory (256 KB each)
 grow with the number of languages.
 
@@ -31,7 +31,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import free_name, read_table, row_hash, stored
@@ -165,16 +165,20 @@ def evidence(docs: DataFrame, text: Column, declared: Column, host: Column | Non
 
 
 def training_sample(rows: DataFrame) -> list[tuple[str, str]]:
-    known = rows.where("declared IS NOT NULL AND text IS NOT NULL")
-    each = stored(known.groupBy("declared").agg(F.count("*").alias("n")))
+    """Per declared language with ``MIN_TEXTS`` different texts, at most ``TRAIN_DOCS`` of them."""
+    known = rows.where("declared IS NOT NULL AND text IS NOT NULL") \
+                .select("declared", "text", row_hash(F.col("text")).alias("mark"))
+    each = stored(known.select("declared", "mark").distinct().groupBy("declared").agg(F.count("*").alias("n")))
     if not each.where(F.col("n") >= MIN_TEXTS).isEmpty():
         each = each.where(F.col("n") >= MIN_TEXTS)
     cells = 1 << 30
-    # hash share that holds TRAIN_DOCS rows on average; tags of two or three letters are few
-    each = each.select("declared", F.expr(f"least({cells}L, {TRAIN_DOCS * cells}L div n + 1)").alias("cut"))
-    part = known.join(F.broadcast(each), "declared").where((row_hash(F.col("text")) % cells) < F.col("cut"))
-    part = part.select("declared", F.substring("text", 1, TRAIN_CHARS).alias("t")).orderBy(F.xxhash64("t"), "declared")
-    return [(r[0], r[1]) for r in part.limit(2 * TRAIN_DOCS * each.count()).collect()]
+    # hash share that holds 2 * TRAIN_DOCS different texts on average; tags of two or three letters are few
+    each = each.select("declared", F.expr(f"least({cells}L, {2 * TRAIN_DOCS * cells}L div n + 1)").alias("cut"))
+    part = known.join(F.broadcast(each), "declared").where(F.col("mark") % cells < F.col("cut"))
+    part = part.select("declared", "mark", F.substring("text", 1, TRAIN_CHARS).alias("t")).distinct()
+    place = F.row_number().over(Window.partitionBy("declared").orderBy(F.col("mark") % cells, "mark", "t"))
+    part = part.withColumn("place", place).where(F.col("place") <= TRAIN_DOCS)
+    return sorted((r[0], r[1]) for r in part.select("declared", "t").collect())
 
 
 def identify(rows: DataFrame) -> DataFrame:

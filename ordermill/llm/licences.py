@@ -15,7 +15,7 @@ windows show it.  The best contained notice takes its words; others need words o
 own, so "CC BY-NC" does not count as "CC BY" too.  A full window taken for a licence that no
 notice touches is "unknown"; across line ends only if no other window there is reported.
 
-The sample is the only part of the corpus that fitting sees, at most ``SAMPLE`` lines
+The sample is the only part of the corpus that fitting sees, at most ``SAMPLE`` different lines
 of at most ``SAMPLE_CHARS`` characters; scanning covers every word of every text.
 
 Defined results: null and empty texts have no licence; repeated rows give repeated rows;
@@ -217,14 +217,15 @@ def train(negatives: list[str], seed: int = 11) -> Model:
 
 
 def sample_paragraphs(docs: DataFrame, text_col: str = "text", n: int = SAMPLE) -> list[str]:
-    """At most ``n`` paragraphs of at most ``SAMPLE_CHARS`` characters, lowest hashes first."""
+    """At most ``n`` different lines of at most ``SAMPLE_CHARS`` characters, lowest hashes first."""
     lines = docs.select(F.explode(F.split(F.col(text_col), "\n")).alias("p")) \
                 .select(F.substring("p", 1, SAMPLE_CHARS).alias("p")).where("length(p) > 10")
     cells = 1 << 40
-    # the hash share that holds 2n rows on average, so few rows besides the sample reach the driver
-    cut = min(cells, 2 * n * cells // max(1, lines.count()) + 1)
     mark = row_hash(F.col("p"))
-    return [r[0] for r in lines.where(mark % cells < cut).orderBy(mark % cells, "p").limit(n).collect()]
+    # the hash share that holds 2n different lines on average, so few besides the sample are dealt out
+    cut = min(cells, 2 * n * cells // max(1, lines.select(mark).distinct().count()) + 1)
+    part = lines.where(mark % cells < cut).distinct()
+    return [r[0] for r in part.orderBy(mark % cells, "p").limit(n).collect()]
 
 
 HITS = "array<struct<start:bigint,end:bigint,family:string,probability:double,contained:double>>"

@@ -85,6 +85,16 @@ def test_the_languages_have_no_rank_cap(make_docs):
     assert all(r.lang_id == r.text_lang == truth[r.doc_id] and r.kept for r in got) and len(got) == len(rows)
 
 
+def test_copies_do_not_fill_the_sample(make_docs, monkeypatch):
+    monkeypatch.setattr(langid, "TRAIN_DOCS", 10)
+    rows = [r[:4] for r in corpus(n=80)] + [(1000 + i, WORDS["en"][0] * 9, "en", "h") for i in range(3000)]
+    sample = langid.training_sample(langid.document_evidence(make_docs(rows)))
+    assert all(sum(lang == x for x, _ in sample) == 10 for lang in WORDS)
+    assert len(set(sample)) == len(sample)
+    lines = [(i, "a common line of text\n" + (f"another line {i}" if i < 40 else ""), "en", "h") for i in range(2000)]
+    assert len(licences.sample_paragraphs(make_docs(lines), n=41)) == 41
+
+
 FILL = ["the river runs along the old town wall", "we measured every sample twice before lunch", "copyright is a word in this sentence",
         "the license plate of the car was new", "he was granted permission to leave the software course"]
 
