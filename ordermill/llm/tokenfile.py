@@ -3,7 +3,7 @@
 A folder holds numbered shards; shard k has three flat little-endian files:
 
 * ``kind=ids/part-k``: the ids of its documents one after the other, each document closed
-  by the end id 0, as uint16 if every id of the vocabulary fits, else as uint32;
+  by the end id 0, as uint16; a vocabulary with larger ids is refused with a ValueError;
 * ``kind=off/part-k``: per document an int64, the position in the shard after its end id;
 * ``kind=doc/part-k``: per document two int64, the low 48 and the high 16 bits of its id
   (bit 16 of the second is set for a null id).
@@ -12,7 +12,7 @@ Documents ascend by id through the shards, null ids first, equal ids by a hash o
 The files are written by Spark's own text sink, so task commit, retries and any store that
 Spark can write to work as usual: a row is raw bytes, and the sink's line separator is the
 zero bytes that every entry ends with anyway (the end id; the zero top of an offset, which
-is below 2**48 with uint16 and 2**32 with uint32 ids, per shard).
+is below 2**48 per shard).
 
 Readers map the files into memory; the first position of a shard is the prefix sum of the
 shard lengths.  Defined results: null and empty texts give the end id alone, an empty table
