@@ -46,7 +46,7 @@ STAGES = [
     ("best-fit packing", packed),
 ]
 
-# SQL has neither the tokenizer nor the trained models; tests/llm compares with brute force
+# SQL has neither the tokenizer nor the trained models; tests/llm checks columns, row counts and ids only
 ORACLE_SQL = None
 
 
