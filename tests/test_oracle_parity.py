@@ -1,9 +1,12 @@
-"""Every registered query equals its DuckDB oracle on the smallest test tables."""
+"""Every query of the analytics registry equals its DuckDB oracle on the smallest test
+tables (the training-data operators are compared in tests/llm)."""
 
 import pytest
 
 import __spark_entry__ as E
-from conftest import SF_SMALL
+from om_paths import SF_SMALL
+from ordermill.plans import registry
+from ordermill.testing import oracle_sql as oracles
 from ordermill.testing.compare import compare, duckdb_connection
 
 
@@ -13,12 +16,12 @@ def con():
 
 
 def test_every_query_has_an_oracle():
-    assert set(E.queries()) == set(E.oracle_sql())
+    assert set(registry.queries()) == set(oracles.oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(registry.queries()))
 def test_parity(spark, con, name):
-    r = compare(spark, E.queries()[name], E.oracle_sql()[name], SF_SMALL, con)
+    r = compare(spark, registry.queries()[name], oracles.oracle_sql()[name], SF_SMALL, con)
     assert r["ok"], r
 
 

@@ -2,7 +2,7 @@
 
 import pytest
 
-from conftest import SF_SMALL
+from om_paths import SF_SMALL
 from ordermill.plans import registry
 
 

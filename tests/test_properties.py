@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from om_paths import SF_SMALL
 from ordermill.plans import analyses as A
 from ordermill.plans import registry
 from ordermill.plans import sql_suite as Q

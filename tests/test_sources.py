@@ -34,7 +34,7 @@ def test_sinks_roundtrip(spark):
 
 
 def test_cleaning_and_analysis_jobs_write_outputs(spark):
-    from conftest import SF_SMALL
+    from om_paths import SF_SMALL
     from ordermill.plans.jobs import ANALYSIS_OUTPUTS, run_analyses, run_cleaning
     from ordermill.sources.fixture import fixture_tables
     out = tempfile.mkdtemp(prefix="om-jobs-")
@@ -47,7 +47,7 @@ def test_cleaning_and_analysis_jobs_write_outputs(spark):
 
 
 def test_views_answer_sql(spark):
-    from conftest import SF_SMALL
+    from om_paths import SF_SMALL
     from ordermill.plans import registry
     from ordermill.sources.views import register_views
     t = registry.tables_for(spark, SF_SMALL)
@@ -61,7 +61,7 @@ def test_views_answer_sql(spark):
 
 
 def test_approx_distinct_option(spark):
-    from conftest import SF_SMALL
+    from om_paths import SF_SMALL
     from ordermill.plans import analyses as A, registry
     m = registry.queries()["master"](spark, SF_SMALL)
     exact = A.executive_kpis(m).first()
