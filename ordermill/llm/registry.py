@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import jaccard, langid, licences, mixing, neardup, packing, pii, tokenfile, topk, warc
+from . import (chat, jaccard, langid, licences, mixing, neardup, packing, pii, tokenfile, topk, warc, whitening,
+               wordruns)
 
 
 def queries():
@@ -18,8 +19,12 @@ def queries():
         "op8_best_fit_packing": packing.op8_best_fit_packing,
         "op9_pii": pii.op9_pii,
         "op10_license_scan": licences.op10_license_scan,
+        "op11_word_runs": wordruns.op11_word_runs,
+        "op12_chat_formatting": chat.op12_chat_formatting,
+        "op13_whitening": whitening.op13_whitening,
     }
 
 
 def oracle_sql():
-    return {"op3_mixing": mixing.ORACLE_SQL, "op6_topk_search": topk.ORACLE_SQL}
+    return {"op3_mixing": mixing.ORACLE_SQL, "op6_topk_search": topk.ORACLE_SQL,
+            "op12_chat_formatting": chat.ORACLE_SQL}
