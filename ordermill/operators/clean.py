@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+from fractions import Fraction
 from typing import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ordermill.functions.exact import cents, half_up_div
 from ordermill.functions.time import floor_days, is_late, month_label, weekday_name
 from ordermill.operators.picks import dedup
-from ordermill.operators.ranking import exact_quantiles
-from ordermill.session import ensure_checkpoint_dir
+from ordermill.operators.ranking import quantile_places
+from ordermill.operators.selection import select_ranks
+from ordermill.session import materialize
 from ordermill.sources.roles import DATE_COLUMNS, MONEY
 
 
@@ -37,22 +39,32 @@ def clean_orders(orders: DataFrame, order_by: Sequence[str] = ()) -> DataFrame:
     return dedup(parse_timestamps(orders), ["order_id"], order_by)
 
 
+def exact_bounds(df: DataFrame, col: str, lo: float = 0.01, hi: float = 0.99) -> list[Decimal | None]:
+    """The ``lo``/``hi`` quantiles of a money column (linear interpolation), rounded half-up to
+    cents; found by counting passes over ``df`` (no sort, no range shuffle)."""
+    wanted = lambda n: [at for q in quantile_places([lo, hi], n) for at in q[:2]]
+    ((n, places),) = select_ranks(df.where(F.col(col).isNotNull()), [[(col, True)]], [wanted])[()]
+    if not n:
+        return [None, None]
+    out = []
+    for k, (_, _, rem, den) in enumerate(quantile_places([lo, hi], n)):
+        low, high = (Fraction(places[2 * k + i][0]) * 100 for i in (0, 1))
+        cents = low + (high - low) * rem / den
+        whole = (2 * abs(cents) + 1) // 2
+        out.append(Decimal(int(whole if cents >= 0 else -whole)).scaleb(-2))
+    return out
+
+
 def quantile_bounds(df: DataFrame, col: str, lo: float = 0.01, hi: float = 0.99,
                     approx: bool = False) -> DataFrame:
     """One row (p_lo, p_hi): linear-interpolation quantiles of a money column, rounded
-    half-up to cents.  Exact by default (distributed ranking); ``approx=True`` uses
+    half-up to cents.  Exact by default (:func:`exact_bounds`); ``approx=True`` uses
     ``percentile_approx`` (one pass, bounded memory, not interpolated)."""
     if approx:
         pa = F.percentile_approx(F.col(col), [lo, hi], 10000)
         return df.agg(pa[0].cast(MONEY).alias("p_lo"), pa[1].cast(MONEY).alias("p_hi"))
-    q = exact_quantiles(df, col, [lo, hi])
-
-    def to_cents(s: Column) -> Column:
-        lo_c, hi_c = cents(s["lo"]), cents(s["hi"])
-        return half_up_div(s["den"] * lo_c + (hi_c - lo_c) * s["rem"], s["den"])
-
-    return q.select((to_cents(F.col("q0")) / 100).cast(MONEY).alias("p_lo"),
-                    (to_cents(F.col("q1")) / 100).cast(MONEY).alias("p_hi"))
+    return df.sparkSession.range(1).select(
+        *[F.lit(b).cast(MONEY).alias(c) for b, c in zip(exact_bounds(df, col, lo, hi), ("p_lo", "p_hi"))])
 
 
 def clip(col: Column, lo: Column, hi: Column) -> Column:
@@ -61,33 +73,27 @@ def clip(col: Column, lo: Column, hi: Column) -> Column:
 
 
 def winsorise(df: DataFrame, col: str, lo: float = 0.01, hi: float = 0.99, approx: bool = False) -> DataFrame:
-    """Clip ``col`` to its ``lo``/``hi`` quantiles (bounds rounded to cents).  The bounds
-    are a one-row aggregate used as a scalar subquery: no collect, no join."""
-    scalar = quantile_bounds(df, col, lo, hi, approx).select(F.struct("p_lo", "p_hi")).scalar()
-    b = F.col("_om_bounds")
-    return (df.withColumn("_om_bounds", scalar)
-            .withColumn(col, clip(F.col(col), b["p_lo"], b["p_hi"]).cast(df.schema[col].dataType))
-            .drop("_om_bounds"))
+    """Clip ``col`` to its ``lo``/``hi`` quantiles (bounds rounded to cents): a projection over
+    ``df`` with the exact bounds as literals, or with the approximate ones as a scalar subquery."""
+    dtype = df.schema[col].dataType
+    if approx:
+        scalar = quantile_bounds(df, col, lo, hi, approx).select(F.struct("p_lo", "p_hi")).scalar()
+        b = F.col("_om_bounds")
+        return (df.withColumn("_om_bounds", scalar)
+                .withColumn(col, clip(F.col(col), b["p_lo"], b["p_hi"]).cast(dtype)).drop("_om_bounds"))
+    low, high = (F.lit(b).cast(MONEY) for b in exact_bounds(df, col, lo, hi))
+    return df.withColumn(col, clip(F.col(col), low, high).cast(dtype))
 
 
 def clean_items(items: DataFrame, lo: float = 0.01, hi: float = 0.99, order_by: Sequence[str] = (),
-                approx: bool = False, materialize: bool = True) -> DataFrame:
+                approx: bool = False, store: bool = True) -> DataFrame:
     """One row per (order_id, order_item_id), price winsorised to [p_lo, p_hi].
 
-    The de-duplication is a full shuffle of the largest table and both the quantile
-    bounds and the clipping read it, so by default it is written once to the reliable
-    checkpoint folder (``materialize=False`` keeps everything lazy)."""
+    The de-duplication is a full shuffle of the largest table, and the search for the quantile
+    bounds and the clipping read it, so by default it is written once as parquet (of which the search
+    reads one column); the clipping is a projection over it."""
     d = dedup(items, ["order_id", "order_item_id"], order_by)
-    if materialize:
-        ensure_checkpoint_dir(d.sparkSession)
-        d = d.checkpoint(eager=True)
-    return winsorise(d, "price", lo, hi, approx)
-
-
-def price_bounds(items: DataFrame, lo: float = 0.01, hi: float = 0.99) -> DataFrame:
-    """The winsorising bounds of the de-duplicated items (``p01``, ``p99``)."""
-    b = quantile_bounds(dedup(items, ["order_id", "order_item_id"]), "price", lo, hi)
-    return b.select(F.col("p_lo").alias("p01"), F.col("p_hi").alias("p99"))
+    return winsorise(materialize(d, columnar=True) if store else d, "price", lo, hi, approx)
 
 
 def delivered_orders(orders: DataFrame, status: str = "delivered") -> DataFrame:

@@ -14,7 +14,9 @@ global order is computed in three distributed steps, all JVM-native:
    by the pinned partition id;
 3. rank = offset + local position.
 
-Everything above entity grain is a plain aggregate; nothing is collected to the driver.
+That is what a rank for *every* row costs.  NTILE scores and quantiles only need the rows at a few
+places of the order, which :mod:`ordermill.operators.selection` finds by counting; they are the default
+(``method="select"`` and ``"count"``), with the ranking as ``method="range"``.
 """
 
 from __future__ import annotations
@@ -24,11 +26,13 @@ from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ordermill.functions.exact import div_floor
+from ordermill.operators.selection import Order, select_ranks, selectable, steps, tile_borders
 from ordermill.session import ensure_checkpoint_dir
 
-Order = Sequence[tuple[str, bool]]  # (column, ascending)
+MAX_BORDERS = 100  # tiles that are scored by comparison
 
 _PID, _LRN = "_om_pid", "_om_lrn"
 _LOW_MASK = (1 << 33) - 1  # monotonically_increasing_id: partition << 33 | position
@@ -115,15 +119,28 @@ def global_row_number(df: DataFrame, order: Order, name: str = "rn", *, method:
 
 
 def global_ntile(df: DataFrame, buckets: int, order: Order, name: str = "ntile", *,
-                 method: str = "range", partitions: int | None = None) -> DataFrame:
-    """``NTILE(buckets) OVER (ORDER BY ...)`` for the whole frame (order must be total)."""
+                 method: str = "select", partitions: int | None = None) -> DataFrame:
+    """``NTILE(buckets) OVER (ORDER BY ...)`` for the whole frame (order must be total).
+
+    ``"select"`` reads the frame a few times to find the borders of the tiles and scores each row
+    by comparison, for up to ``MAX_BORDERS`` tiles (each is a comparison per row); ``"range"``, which more
+    tiles take too, ranks all rows; ``"window"`` is Spark's own one-task window."""
     if method == "window":
         return df.withColumn(name, F.ntile(buckets).over(Window.orderBy(*_sort_exprs(order))).cast("bigint"))
+    if method == "select" and buckets <= MAX_BORDERS:
+        return ntiles(df, buckets, {name: order})
     r = ranked(df, order, rank_col="_om_rank", total_col="_om_total", partitions=partitions)
     return r.withColumn(name, ntile_from_rank(F.col("_om_rank"), F.col("_om_total"), buckets)) \
             .drop("_om_rank", "_om_total")
 
 
+def ntiles(df: DataFrame, buckets: int, orders: dict[str, Order]) -> DataFrame:
+    """Several NTILE columns (name -> total order) whose borders the same passes find."""
+    found = select_ranks(df, list(orders.values()), [tile_borders(buckets)] * len(orders))
+    return df.select("*", *[steps(df, order, borders).alias(name)
+                            for (name, order), (_, borders) in zip(orders.items(), found[()])])
+
+
 # ---------------------------------------------------------------------------------------
 # exact quantiles
 # ---------------------------------------------------------------------------------------
@@ -136,8 +153,18 @@ def _fraction(p: float) -> Fraction:
     return f
 
 
+def quantile_places(probs: Sequence[float], n: int) -> list[tuple[int, int, int, int]]:
+    """Per probability (lower place, upper place, rem, den) around position (n - 1) * p, from 0."""
+    out = []
+    for p in probs:
+        f = _fraction(p)
+        at, rem = divmod((n - 1) * f.numerator, f.denominator)
+        out.append((at, min(at + 1, n - 1), rem, f.denominator))
+    return out
+
+
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = (),
-                    *, partitions: int | None = None, count_col: str | None = None) -> DataFrame:
+                    *, method: str = "count", partitions: int | None = None, count_col: str | None = None) -> DataFrame:
     """Linear-interpolation quantiles (numpy/pandas default, ``quantile_cont``), exactly.
 
     Returns one row per group of ``by`` with, for every probability ``i``, a struct
@@ -145,10 +172,52 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Seque
     ``lo``/``hi`` are the order statistics around position ``(n - 1) * p``.  Keeping the
     rational form lets callers compare or round without any floating error.
 
-    Work is distributed: values are first counted per distinct value (partial
-    aggregation), then ranked globally (see :func:`ranked`); no group is held in one task.
+    ``method="count"`` (integers and decimals) finds the order statistics by counting passes and
+    returns literals; groups are few.  ``method="range"`` (any type, any number of groups) counts per
+    distinct value, ranks those globally (see :func:`ranked`) and stays a plan.
     With ``count_col`` the input already holds one row per (group, value) with its count.
     """
+    numeric = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.DecimalType)
+    dtype = df.schema[value].dataType
+    for p in probs:
+        _fraction(p)
+    if method == "count" and isinstance(dtype, numeric) and selectable(dtype):
+        return _counted_quantiles(df, value, probs, list(by), count_col)
+    return _ranged_quantiles(df, value, probs, by, partitions, count_col)
+
+
+def _counted_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: list[str],
+                       count_col: str | None) -> DataFrame:
+    rows_of = df.where(F.col(value).isNotNull())
+    for c in by:
+        rows_of = rows_of.where(F.col(c).isNotNull())
+    wanted = lambda n: [at for q in quantile_places(probs, n) for at in q[:2]]
+    found = select_ranks(rows_of, [[(value, True)]], [wanted], by=by, weight=count_col)
+    dtype = df.schema[value].dataType.simpleString()
+    rows = [F.struct(*[F.lit(v).cast(df.schema[c].dataType).alias(c) for c, v in zip(by, group)],
+                     F.lit(n or None).cast("bigint").alias("n"), quantile_structs(df, value, probs, n, places).alias("q"))
+            for group, ((n, places),) in found.items()]
+    q = ", ".join(f"q{i}: struct<lo: {dtype}, hi: {dtype}, rem: bigint, den: bigint>" for i in range(len(probs)))
+    kinds = [f"`{c}`: {df.schema[c].dataType.simpleString()}" for c in by] + ["n: bigint", f"q: struct<{q}>"]
+    table = F.array(*rows).cast(f"array<struct<{', '.join(kinds)}>>")
+    return df.sparkSession.range(1).select(F.inline(table)).select(*by, "n", "q.*")
+
+
+def quantile_structs(df: DataFrame, value: str, probs: Sequence[float], n: int, places: list[tuple]) -> Column:
+    """A struct of the quantile structs of :func:`exact_quantiles` as literals, from the order
+    statistics at the :func:`quantile_places` of ``n`` rows (two per probability)."""
+    dtype = df.schema[value].dataType
+    out = []
+    for i, (_, _, rem, den) in enumerate(quantile_places(probs, n)):
+        lo, hi = (places[2 * i + k][0] if n else None for k in (0, 1))
+        out.append(F.struct(F.lit(lo).cast(dtype).alias("lo"), F.lit(hi).cast(dtype).alias("hi"),
+                            F.lit(rem if n else None).cast("bigint").alias("rem"),
+                            F.lit(den).cast("bigint").alias("den")).alias(f"q{i}"))
+    return F.struct(*out)
+
+
+def _ranged_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str],
+                      partitions: int | None, count_col: str | None) -> DataFrame:
     by = list(by)
     if count_col:
         counts = df.where(F.col(value).isNotNull()).select(*by, value, F.col(count_col).alias("_om_c"))

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ordermill.operators.ranking import exact_quantiles, quantile_double
+from ordermill.session import materialize
 
 # Fixed values of the portable sample hash (Knuth's multiplicative constant, a Mersenne prime).
 HASH_MULT = 2654435761
@@ -23,24 +24,43 @@ def sample_key(key: Column, dtype: T.DataType, seed: int) -> Column:
     return F.xxhash64(key, F.lit(seed)).bitwiseAND(F.lit((1 << 63) - 1))
 
 
-def hash_sample(df: DataFrame, key: str, k: int = 3000, seed: int = 42, oversample: int = 8) -> DataFrame:
-    """The ``k`` rows with the smallest seeded hash of ``key`` (ties by ``key``).
+def hash_sample(df: DataFrame, key: str, k: int = 3000, seed: int = 42, oversample: int = 16) -> DataFrame:
+    """The ``k`` rows with the smallest seeded hash of ``key`` (ties by ``key``, then by the other columns).
 
-    A plain top-k would ship ``k`` candidates from every partition into one merging
-    task.  The hash is uniform on its range, so rows are first
-    filtered to ``hash < T`` with ``T`` sized to pass about ``oversample * k`` rows; if
-    fewer than ``min(k, n)`` rows pass (vanishingly rare), ``T`` falls back to no limit.
-    Either way the rows kept contain the exact ``k`` smallest, and the final top-k
-    merges only a few thousand rows."""
-    dtype = df.schema[key].dataType
-    h = sample_key(F.col(key), dtype, seed)
-    hashed = df.withColumn("_om_h", h)
-    space = HASH_MOD if isinstance(dtype, (T.LongType, T.IntegerType, T.ShortType)) else 1 << 63
-    n = df.agg(F.count(F.lit(1))).scalar()
-    first_cut = F.least(F.lit(float(space)), F.lit(float(space * oversample * k)) / F.greatest(n, F.lit(1)))
-    passed = hashed.where(F.col("_om_h") < first_cut).agg(F.count(F.lit(1))).scalar()
-    cut = F.when(passed >= F.least(n, F.lit(k)), first_cut).otherwise(F.lit(float(space)))
-    return hashed.where(F.col("_om_h") <= cut).orderBy("_om_h", key).limit(k).drop("_om_h")
+    A plain top-k would ship ``k`` candidates from every partition into one merging task.
+    So one pass counts rows per class of the hash, ``oversample`` classes to a power of two
+    (about a thousand in all, whatever the table), and the sample's rows lie in the classes up to the one
+    in which the count reaches ``k``.  A class is ``2 ** (1 / oversample)`` times as wide as the one before, so
+    hardly more than ``k`` rows pass on to the top-k at any size of table, unless many rows share
+    one key.  No threshold is guessed, so there is no second try: with fewer than ``k`` rows all classes pass."""
+    h = sample_key(F.col(key), df.schema[key].dataType, seed)
+    cls = F.floor(F.log2(h.cast("double") + 1) * oversample).cast("int")
+    classes = df.groupBy(cls.alias("c")).agg(F.count(F.lit(1)).alias("n"))
+    # a null key has no hash: its rows come last, as they do in the order
+    upto = classes.select("c", F.sum("n").over(Window.orderBy(F.col("c").asc_nulls_last())).alias("n"))
+    last = upto.where(F.col("n") >= k).agg(F.min_by(F.coalesce("c", F.lit(1 << 16)), "n")).scalar()
+    hashed = df.select("*", h.alias("_om_h"), F.coalesce(cls, F.lit(1 << 16)).alias("_om_c"))
+    kept = hashed.where(F.col("_om_c") <= F.coalesce(last, F.lit(1 << 16)))
+    ties = [F.col(c).asc_nulls_last() for c in df.columns if c != key and _orderable(df.schema[c].dataType)]
+    return kept.orderBy(F.col("_om_h").asc_nulls_last(), F.col(key).asc_nulls_last(), *ties).limit(k).drop("_om_h", "_om_c")
+
+
+def _orderable(dtype: T.DataType) -> bool:
+    return not isinstance(dtype, (T.MapType, T.VariantType))
+
+
+def distinct_count(df: DataFrame, col: str) -> DataFrame:
+    """One row, ``n``: the exact number of different non-null values.
+
+    Integer ids are set bits: bitmaps of 32,768 ids each, combined per task before the shuffle,
+    so what travels is 4 KB per bitmap and not one row per id.  Other types take Spark's distinct
+    count, which needs no copies of the rows for one column."""
+    if isinstance(df.schema[col].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        ids = df.where(F.col(col).isNotNull())
+        maps = ids.groupBy(F.bitmap_bucket_number(col).alias("_om_b")).agg(
+            F.bitmap_construct_agg(F.bitmap_bit_position(col)).alias("_om_m"))
+        return maps.agg(F.coalesce(F.sum(F.bitmap_count("_om_m")), F.lit(0)).cast("bigint").alias("n"))
+    return df.agg(F.count_distinct(col).alias("n"))
 
 
 def linear_fit(df: DataFrame, x: str, y: str, points: int = 100, digits: int | None = None) -> DataFrame:
@@ -67,12 +87,12 @@ def box_stats(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
     """Per group: n, mean, q1, median, q3 (linear interpolation), the 1.5 IQR fences,
     whiskers (most extreme values inside the fences) and the outlier count.
 
-    The rows are aggregated, once for the quartiles and once for the rest, into counts per (group, value) with map-side partial
-    aggregation; quartiles, whiskers, outliers and the mean all come from that frame,
+    The rows are aggregated once into counts per (group, value) with map-side partial
+    aggregation, which are written; quartiles, whiskers, outliers and the mean all come from that frame,
     whose size is the number of distinct values, so no raw row is joined or re-read."""
     by = list(by)
-    counts = (df.where(F.col(value).isNotNull()).groupBy(*by, value)
-              .agg(F.count(F.lit(1)).alias("_om_c")))
+    counts = materialize(df.where(F.col(value).isNotNull()).groupBy(*by, value)
+                         .agg(F.count(F.lit(1)).alias("_om_c")), columnar=True)
     q = exact_quantiles(counts, value, [0.25, 0.5, 0.75], by, count_col="_om_c")
     q = q.select(*by, quantile_double(F.col("q0")).alias("q1"), quantile_double(F.col("q1")).alias("median"),
                  quantile_double(F.col("q2")).alias("q3"))

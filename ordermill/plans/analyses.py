@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 from ordermill.functions.labels import (SEGMENTS, SEVERITY_BANDS, SEVERITY_LABELS, TIER_CUTS,
                                         TIER_LABELS, WEEKDAYS)
 from ordermill.functions.time import floor_days, month_label, week_start
-from ordermill.operators.ranking import exact_quantiles, global_row_number, le_quantile
-from ordermill.operators.stats import (box_stats, hash_sample, histogram, linear_fit)
+from ordermill.operators.ranking import exact_quantiles, le_quantile, quantile_places, quantile_structs
+from ordermill.operators.selection import select_ranks, steps
+from ordermill.operators.stats import box_stats, distinct_count, hash_sample, histogram, linear_fit
 from ordermill.session import materialize
 
 
@@ -180,15 +181,22 @@ def _corr_data(master: DataFrame) -> DataFrame:
                  .dropna(subset=["delivery_days", "review_score", "is_late"])
 
 
-def delay_review_corr(master: DataFrame, digits: int | None = None) -> DataFrame:
-    """Pearson r of delivery_days and review_score, least-squares slope/intercept of
-    review on days (all rows), and n."""
+def delay_review_corr(master: DataFrame, digits: int | None = None, fit_on: str = "all", k: int = 3000,
+                      seed: int = 42) -> DataFrame:
+    """Pearson r of delivery_days and review_score over all rows, least-squares slope/intercept of
+    review on days, and n.  The line is fitted on all rows, or with ``fit_on="sample"`` on
+    those of :func:`delay_review_sample` (the reference's choice)."""
+    if fit_on not in ("all", "sample"):
+        raise ValueError(f"fit_on is 'all' or 'sample', not {fit_on!r}")
     d = _corr_data(master)
     x, y = F.col("delivery_days").cast("double"), F.col("review_score").cast("double")
-    return d.agg(_maybe_round(F.corr(x, y), digits).alias("r"),
-                 _maybe_round(F.regr_slope(y, x), digits).alias("slope"),
-                 _maybe_round(F.regr_intercept(y, x), digits).alias("intercept"),
-                 F.count(F.lit(1)).alias("n"))
+    line = F.struct(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"))
+    out = d.agg(F.corr(x, y).alias("r"), F.count(F.lit(1)).alias("n"), line.alias("line"))
+    if fit_on == "sample":
+        fit = hash_sample(d, "order_id", k, seed).agg(line.alias("line"))
+        out = out.withColumn("line", fit.scalar())
+    return out.select(_maybe_round(F.col("r"), digits).alias("r"), _maybe_round(F.col("line.slope"), digits).alias("slope"),
+                      _maybe_round(F.col("line.intercept"), digits).alias("intercept"), "n")
 
 
 def delay_review_sample(master: DataFrame, k: int = 3000, seed: int = 42) -> DataFrame:
@@ -236,9 +244,13 @@ def late_share_top_states(master: DataFrame, k: int = 3) -> DataFrame:
 
 
 def executive_kpis(master: DataFrame, approx_distinct: bool = False) -> DataFrame:
-    """Eight KPIs in one row (``approx_distinct`` counts sellers/states with HyperLogLog++)."""
-    distinct = F.approx_count_distinct if approx_distinct else F.count_distinct
-    return master.agg(
+    """Eight KPIs in one row (``approx_distinct`` counts sellers/states with HyperLogLog++).
+
+    The two exact distinct counts are scalar subqueries over one column each; counting both beside
+    the sums would copy every row per distinct column."""
+    def distinct(c: str) -> Column:
+        return F.approx_count_distinct(c) if approx_distinct else F.lit(0).cast("bigint")
+    out = master.agg(
         _zero_sum("total_price").cast("double").alias("total_revenue"),
         F.count(F.lit(1)).alias("total_orders"),
         _mean("total_price").alias("avg_order_value"),
@@ -247,25 +259,32 @@ def executive_kpis(master: DataFrame, approx_distinct: bool = False) -> DataFram
         _mean("delivery_days").alias("avg_delivery_days"),
         distinct("seller_id").alias("active_sellers"),
         distinct("customer_state").alias("states_covered"))
+    if approx_distinct:
+        return out
+    return out.withColumns({name: distinct_count(master, c).scalar()
+                            for name, c in (("active_sellers", "seller_id"), ("states_covered", "customer_state"))})
 
 
 # ---------------------------------------------------------------------------------------
 # seller health
 # ---------------------------------------------------------------------------------------
 
-def _tier(score: Column, cuts: Sequence[float]) -> Column:
+def _tier(score: Column, cuts: Sequence[float], labels: Sequence[str]) -> Column:
+    if len(labels) != len(cuts) + 1:
+        raise ValueError("a label for every cut and one for the rest")
     expr = None
-    for cut, label in zip(cuts, TIER_LABELS):
+    for cut, label in zip(cuts, labels):
         cond = score >= cut
         expr = F.when(cond, F.lit(label)) if expr is None else expr.when(cond, F.lit(label))
     # a null score (no reviews) falls through to the last tier, like NaN in the reference
-    return expr.otherwise(F.lit(TIER_LABELS[-1]))
+    return expr.otherwise(F.lit(labels[-1])) if expr is not None else F.lit(labels[-1])
 
 
 def seller_health(master: DataFrame, weights: Sequence[float] = (40, 40, 20),
-                  cuts: Sequence[float] = TIER_CUTS) -> DataFrame:
+                  cuts: Sequence[float] = TIER_CUTS, labels: Sequence[str] = TIER_LABELS) -> DataFrame:
     """Per primary seller: orders, revenue, avg_score, late_rate, avg_delivery, the three
-    part scores, health_score (0-100) and tier.  Volume is orders / max orders."""
+    part scores, health_score (0-100) and tier.  Volume is orders / max orders.  ``labels`` names
+    the tiers from the highest cut down, the last one being the rest."""
     w1, w2, w3 = (float(x) for x in weights)
     s = (master.where(F.col("seller_id").isNotNull())
          .groupBy("seller_id").agg(
@@ -283,7 +302,7 @@ def seller_health(master: DataFrame, weights: Sequence[float] = (40, 40, 20),
     total = F.col("score_review") + F.col("score_ontime") + F.col("score_volume")
     s = s.withColumn("health_score", F.when(total.isNull(), F.lit(None))
                      .otherwise(F.least(F.greatest(total, F.lit(0.0)), F.lit(100.0))))
-    return s.withColumn("tier", _tier(F.col("health_score"), cuts))
+    return s.withColumn("tier", _tier(F.col("health_score"), cuts, labels))
 
 
 def seller_health_histogram(master: DataFrame, bins: int = 30) -> DataFrame:
@@ -296,15 +315,16 @@ def health_histogram(health: DataFrame, bins: int = 30) -> DataFrame:
     return histogram(health, "health_score", bins)
 
 
-def seller_tiers(master: DataFrame, cuts: Sequence[float] = TIER_CUTS) -> DataFrame:
+def seller_tiers(master: DataFrame, cuts: Sequence[float] = TIER_CUTS,
+                 labels: Sequence[str] = TIER_LABELS) -> DataFrame:
     """tier, sellers in the fixed tier order; tiers without sellers are left out."""
-    return tier_counts(seller_health(master, cuts=cuts))
+    return tier_counts(seller_health(master, cuts=cuts, labels=labels), labels)
 
 
-def tier_counts(h: DataFrame) -> DataFrame:
+def tier_counts(h: DataFrame, labels: Sequence[str] = TIER_LABELS) -> DataFrame:
     """Tier counts from an already computed :func:`seller_health` frame."""
-    order = F.when(F.col("tier") == TIER_LABELS[0], 1)
-    for i, label in enumerate(TIER_LABELS[1:], start=2):
+    order = F.when(F.col("tier") == labels[0], 1)
+    for i, label in enumerate(labels[1:], start=2):
         order = order.when(F.col("tier") == label, i)
     return (h.groupBy("tier").agg(F.count(F.lit(1)).alias("sellers"))
             .select(order.alias("tier_order"), "tier", "sellers").orderBy("tier_order"))
@@ -341,25 +361,27 @@ def _edge_check(edges: Column, name: str, on_duplicate: str, q: int = 4) -> Colu
 
 
 def qcut(df: DataFrame, col: str, name: str, reverse: bool = False,
-         on_duplicate_edges: str = "error", q: int = 4, approx: bool = False) -> DataFrame:
+         on_duplicate_edges: str = "error", q: int = 4, approx: bool = False, edges: Column | None = None) -> DataFrame:
     """pandas ``qcut(col, q)`` with labels 1..q (q..1 with ``reverse``) and exact edges.
     ``on_duplicate_edges="error"`` fails like pandas when edges repeat; any other value
     bins anyway (a repeated edge leaves its bin empty).  ``approx=True`` takes the edges
-    from ``percentile_approx`` (one pass, bounded memory, edges are data values)."""
+    from ``percentile_approx`` (one pass, bounded memory, edges are data values); ``edges`` hands
+    in known ones (a struct of the structs ``q0`` to ``q<q>`` of ``exact_quantiles``)."""
     probs = [i / q for i in range(q + 1)]
-    if approx:
-        pa = F.percentile_approx(F.col(col), probs, 10000)
-        one = F.lit(1).cast("bigint")
-        edges = df.agg(*[F.struct(pa[i].alias("lo"), pa[i].alias("hi"), F.lit(0).cast("bigint").alias("rem"),
-                                  one.alias("den")).alias(f"q{i}") for i in range(q + 1)])
-    else:
-        edges = exact_quantiles(df, col, probs)
-    # one scalar subquery, attached once as a column and then referenced by name
-    scalar = edges.select(F.struct(*[F.col(f"q{i}").alias(f"q{i}") for i in range(q + 1)])).scalar()
+    if edges is None:
+        if approx:
+            pa = F.percentile_approx(F.col(col), probs, 10000)
+            one = F.lit(1).cast("bigint")
+            table = df.agg(*[F.struct(pa[i].alias("lo"), pa[i].alias("hi"), F.lit(0).cast("bigint").alias("rem"),
+                                      one.alias("den")).alias(f"q{i}") for i in range(q + 1)])
+        else:
+            table = exact_quantiles(df, col, probs)
+        # one scalar subquery, attached once as a column and then referenced by name
+        edges = table.select(F.struct(*[F.col(f"q{i}").alias(f"q{i}") for i in range(q + 1)])).scalar()
     labels = list(range(q, 0, -1)) if reverse else list(range(1, q + 1))
     e = F.col("_om_edges")
     ok = _edge_check(e, col, on_duplicate_edges, q)
-    return (df.withColumn("_om_edges", scalar)
+    return (df.withColumn("_om_edges", edges)
             .withColumn(name, F.when(ok, _qcut_bins(F.col(col), e, labels))).drop("_om_edges"))
 
 
@@ -378,20 +400,26 @@ def rfm_segments(master: DataFrame, customer: str = "customer_id", on_duplicate_
         F.max(ts).alias("_last"),
         F.count("order_id").alias("frequency"),
         _zero_sum("total_price").alias("monetary")))
-    # the customer-grain frame feeds two quantile passes, a ranking and a count: aggregate once
+    # written once; the quartile edges of both values and the borders of the frequency ranks are
+    # found by the same counting passes over it, and the scores are comparisons with them
     rfm = materialize(rfm.select(customer, floor_days(F.col("_last"), snap).alias("recency"), "frequency",
-                                 "monetary"))
-    rfm = qcut(rfm, "recency", "r_score", reverse=True, on_duplicate_edges=on_duplicate_edges, approx=approx)
-    rfm = qcut(rfm, "monetary", "m_score", on_duplicate_edges=on_duplicate_edges, approx=approx)
-    # F: qcut over rank(method="first") = 1..n, whose quartile edges are 1 + (n - 1) * i / 4
-    rfm = global_row_number(rfm, [("frequency", True), (customer, True)], "_f_rank")
-    rfm = rfm.withColumn("_om_n", rfm.agg(F.count(F.lit(1))).scalar())
-    n, r = F.col("_om_n"), F.col("_f_rank")
-    f_score = (F.when(r * 4 <= 4 + (n - 1) * 1, 1).when(r * 4 <= 4 + (n - 1) * 2, 2)
-               .when(r * 4 <= 4 + (n - 1) * 3, 3).otherwise(4))
-    if on_duplicate_edges == "error":
-        f_score = F.when(n < 4, F.raise_error(F.lit("qcut: duplicate bin edges for frequency"))).otherwise(f_score)
-    rfm = rfm.withColumn("f_score", f_score.cast("int")).drop("_f_rank", "_om_n")
+                                 "monetary"), columnar=True)
+    by_frequency = [("frequency", True), (customer, True)]
+    # F: qcut over rank(method="first") = 1..n, whose quartile edges are 1 + (n - 1) * i / 4; the
+    # border of a score is the last rank that is not above its edge
+    borders = lambda n: sorted({(n - 1) * i // 4 for i in (1, 2, 3)} - {n - 1})
+    valued = [] if approx else ["recency", "monetary"]
+    probs = [i / 4 for i in range(5)]
+    quartiles = lambda n: [at for q in quantile_places(probs, n) for at in q[:2]]
+    *edges, (n, ranks) = select_ranks(rfm, [[(c, True)] for c in valued] + [by_frequency],
+                                      [quartiles] * len(valued) + [borders], known=True)[()]
+    if on_duplicate_edges == "error" and 0 < n < 4:
+        raise ValueError("qcut: duplicate bin edges for frequency")
+    of = {c: quantile_structs(rfm, c, probs, *e) for c, e in zip(valued, edges)}
+    rfm = qcut(rfm, "recency", "r_score", reverse=True, on_duplicate_edges=on_duplicate_edges, approx=approx,
+               edges=of.get("recency"))
+    rfm = qcut(rfm, "monetary", "m_score", on_duplicate_edges=on_duplicate_edges, approx=approx, edges=of.get("monetary"))
+    rfm = rfm.withColumn("f_score", steps(rfm, by_frequency, ranks).cast("int"))
     total = F.col("r_score") + F.col("f_score") + F.col("m_score")
     fm = (F.col("f_score") + F.col("m_score")) / 2
     rfm = rfm.withColumn("rfm_score", total).withColumn("fm_avg", fm)

@@ -15,12 +15,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ordermill.operators.clean import clean_items, clean_orders, delivered_orders, delivery_summary
+from ordermill.operators.clean import clean_orders, delivered_orders, delivery_summary, winsorise
+from ordermill.operators.picks import dedup
 from ordermill.operators.quality import dedup_report, null_report, profile_tables
 from ordermill.plans import analyses as A
 from ordermill.plans.master import build_master
 from ordermill.session import materialize
-from ordermill.sources.readers import read_marketplace_csv
+from ordermill.sources.readers import read_marketplace_csv, rejected_marketplace_csv
 from ordermill.sources.roles import Tables
 from ordermill.sources.sinks import write_table
 
@@ -39,18 +40,25 @@ ANALYSIS_OUTPUTS = {
 }
 
 
-def run_cleaning(tables: Tables, out: str, fmt: str = "parquet") -> DataFrame:
+def run_cleaning(tables: Tables, out: str, fmt: str = "parquet", rejected: DataFrame | None = None) -> DataFrame:
     """Write the reports, ``delivered_orders``, ``items_clean`` and ``master``; return the
-    written master (read back)."""
+    written master (read back).
+
+    Orders and items are cleaned once: the reports, the outputs and the master read the stored
+    results.  ``rejected`` is a frame of values that could not be read, written as a report."""
+    orders = materialize(clean_orders(tables.orders), bucket_by=("order_id",))
+    items = materialize(dedup(tables.items, ["order_id", "order_item_id"]), columnar=True)
     write_table(profile_tables(tables), f"{out}/reports/row_counts", fmt)
-    write_table(null_report(tables.orders), f"{out}/reports/date_nulls", fmt)
-    write_table(dedup_report(tables.orders, tables.items), f"{out}/reports/duplicates", fmt)
-    items = materialize(clean_items(tables.items))
-    delivered = delivered_orders(clean_orders(tables.orders))
+    write_table(null_report(tables.orders, unparsable=True), f"{out}/reports/date_nulls", fmt)
+    write_table(dedup_report(tables.orders, tables.items, orders, items), f"{out}/reports/duplicates", fmt)
+    if rejected is not None:
+        write_table(rejected, f"{out}/reports/rejected_values", fmt)
+    items = winsorise(items, "price")
+    delivered = delivered_orders(orders)
     write_table(delivery_summary(delivered), f"{out}/reports/delivery_summary", fmt)
     write_table(delivered, f"{out}/delivered_orders", fmt)
     write_table(items, f"{out}/items_clean", fmt)
-    master = build_master(tables, items_clean=items)
+    master = build_master(tables, items_clean=items, orders_clean=orders)
     # parquet output is partitioned by purchase month so later readers prune by month
     write_table(master, f"{out}/master", fmt, partition_by=("month",) if fmt == "parquet" else ())
     if fmt == "csv":  # text has no types: they stand beside it
@@ -90,10 +98,10 @@ def main(argv: list[str] | None = None) -> None:
     if args.job == "clean":
         if args.fixture:
             from ordermill.sources.fixture import fixture_tables
-            tables = fixture_tables(spark, args.fixture)
+            run_cleaning(fixture_tables(spark, args.fixture), args.out, args.format)
         else:
-            tables = read_marketplace_csv(spark, args.raw)
-        run_cleaning(tables, args.out, args.format)
+            run_cleaning(read_marketplace_csv(spark, args.raw), args.out, args.format,
+                         rejected_marketplace_csv(spark, args.raw))
     else:
         run_analyses(read_master(spark, args.out, args.format), args.out, args.format)
 

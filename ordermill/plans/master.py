@@ -12,11 +12,10 @@ Plan shape (what keeps it cheap at scale):
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ordermill.functions.time import hours_between
-from ordermill.session import materialize  # noqa: F401  (re-exported)
 from ordermill.operators.clean import clean_items, clean_orders, delivered_orders
 from ordermill.operators.picks import (category_agg, order_payment, order_review, revenue_aggs,
                                        seller_agg, with_category)
@@ -33,12 +32,17 @@ def order_item_summary(items: DataFrame, products: DataFrame | None, default: st
                     "main_category", "seller_id")
 
 
-def title_case(col) -> "F.Column":
-    """Fallback label for untranslated categories: '_' -> ' ', then ``initcap``.
-
-    Deviation (documented): ``initcap`` capitalises after spaces only, while the
-    reference's ``str.title`` also capitalises after digits and apostrophes."""
-    return F.initcap(F.regexp_replace(col, "_", " "))
+def title_case(col: Column) -> Column:
+    """Fallback label for untranslated categories: '_' -> ' ', then every letter that does not
+    follow a letter large and all others small, so also after digits and apostrophes (``2nd_pc``
+    gives ``2Nd Pc``).  A letter is a character whose cases differ; characters are mapped one by one
+    (so ``ß`` stays as it is).  The lookup comes first: only names without a translation get here."""
+    text = F.lower(F.replace(col, F.lit("_"), F.lit(" ")))
+    char = lambda i: F.substring(text, i, F.lit(1))
+    letter = lambda c: F.lower(c) != F.upper(c)
+    titled = F.transform(F.sequence(F.lit(1), F.length(text)),
+                         lambda i: F.when((i > 1) & letter(char(i - 1)), char(i)).otherwise(F.initcap(char(i))))
+    return F.when(F.length(text) > 0, F.array_join(titled, "")).otherwise(text)
 
 
 def category_lookup(translation: DataFrame) -> DataFrame:
@@ -48,17 +52,20 @@ def category_lookup(translation: DataFrame) -> DataFrame:
 
 
 def build_master(t: Tables, *, items_clean: DataFrame | None = None, orders_clean: DataFrame | None = None,
+                 per_order: DataFrame | None = None, payment: DataFrame | None = None, review: DataFrame | None = None,
                  status: str = "delivered", lo: float = 0.01, hi: float = 0.99) -> DataFrame:
-    """The master table from the raw role tables (cleaning included; already cleaned
-    orders or items can be passed in)."""
+    """The master table from the raw role tables (cleaning included).
+
+    Already computed parts can be passed in: cleaned orders or items, :func:`order_item_summary`,
+    ``order_payment``, ``order_review``.  Parts stored in buckets of order_id join without a shuffle."""
     orders = orders_clean if orders_clean is not None else clean_orders(t.orders)
-    items = items_clean if items_clean is not None else clean_items(t.items, lo, hi)
     delivered = delivered_orders(orders, status)
-    per_order = order_item_summary(items, t.products)
+    if per_order is None:
+        per_order = order_item_summary(items_clean if items_clean is not None else clean_items(t.items, lo, hi), t.products)
     m = (delivered
          .join(per_order, "order_id", "left")
-         .join(order_payment(t.payments), "order_id", "left")
-         .join(order_review(t.reviews, t.review_order), "order_id", "left"))
+         .join(payment if payment is not None else order_payment(t.payments), "order_id", "left")
+         .join(review if review is not None else order_review(t.reviews, t.review_order), "order_id", "left"))
     customers = t.customers
     sellers = t.sellers
     m = m.join(customers, "customer_id", "left").join(sellers, "seller_id", "left")

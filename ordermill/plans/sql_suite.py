@@ -19,7 +19,7 @@ from ordermill.functions.exact import (WIDE, cents, cents_avg, cents_to_double,
 from ordermill.functions.labels import LATE_LABEL, ON_TIME_LABEL
 from ordermill.functions.time import month_label, weekday_name
 from ordermill.operators.picks import order_review
-from ordermill.operators.ranking import global_ntile, ranked
+from ordermill.operators.ranking import global_ntile, ntiles, ranked
 from ordermill.operators.reviews import fan_out_weight, latest_review_weights, review_weights
 from ordermill.session import materialize
 
@@ -55,7 +55,7 @@ def monthly_trend_sql(orders: DataFrame, items: DataFrame, status: str = DELIVER
     g = j.groupBy("month").agg(
         distinct("order_id").alias("total_orders"),
         F.sum("it_cents").alias("s"), F.sum("it_n").alias("n"), F.sum("it_freight_cents").alias("f"))
-    return g.select("month", "total_orders", cents_to_double(F.col("s")).alias("total_revenue"),
+    return g.select("month", "total_orders", cents_to_double(F.col("s") * F.col("times")).alias("total_revenue"),
                     cents_avg(F.col("s"), F.col("n")).alias("avg_order_value"),
                     cents_to_double(F.col("f")).alias("total_freight")).orderBy("month")
 
@@ -157,8 +157,10 @@ def seller_health_items(sellers: DataFrame, items: DataFrame, orders: DataFrame,
         F.sum(F.col("m") * F.col("o_n") * F.coalesce(F.col("rv_n"), F.lit(0))).alias("rn"),
         F.sum(F.col("m") * F.col("o_n") * w).alias("rows"),
         F.sum(F.col("m") * F.col("o_late") * w).alias("late"))
+    # a seller row that is there several times multiplies the joined rows: one row and its weight
+    # (means and rates do not change, sums do)
     g = (per_seller.where(F.col("total_orders") >= min_orders)
-         .join(sellers.select("seller_id", "seller_state"), "seller_id"))
+         .join(sellers.groupBy("seller_id", "seller_state").agg(F.count(F.lit(1)).alias("times")), "seller_id"))
     rs, rn, rows, late, d = (F.col(c).cast(WIDE) for c in ("rs", "rn", "rows", "late", "total_orders"))
     capped = F.least(d, F.lit(volume_cap).cast(WIDE))
     den = rn * rows * 5 * volume_cap
@@ -166,7 +168,7 @@ def seller_health_items(sellers: DataFrame, items: DataFrame, orders: DataFrame,
            + w3 * capped * rn * rows * 5)
     health = (half_up_div(num * 10, den).cast("double") / 10)
     return (g.select("seller_id", "seller_state", "total_orders",
-                     cents_to_double(F.col("s")).alias("total_revenue"),
+                     cents_to_double(F.col("s") * F.col("times")).alias("total_revenue"),
                      ratio_round(F.col("rs"), F.col("rn"), 2).alias("avg_review"),
                      ratio_round(F.col("late") * 100, F.col("rows"), 2).alias("late_rate_pct"),
                      health.alias("health_score"))
@@ -198,11 +200,14 @@ def peak_times(orders: DataFrame, k: int = 20, status: str = DELIVERED) -> DataF
 
 def seller_revenue(sellers: DataFrame, items: DataFrame, orders: DataFrame,
                    status: str = DELIVERED) -> DataFrame:
-    """Revenue of delivered orders per seller (aggregated before the sellers join)."""
+    """Revenue of delivered orders per seller (aggregated before the sellers join, whose side is
+    one row per seller with the number of its rows, by which the SQL's join multiplies)."""
     o = _delivered(orders, status).select("order_id")
     per_seller = (items.select("order_id", "seller_id", "price").join(o, "order_id")
-                  .groupBy("seller_id").agg(from_cents(F.sum(to_cents(F.col("price")))).alias("revenue")))
-    return per_seller.join(sellers, "seller_id", "left_semi")
+                  .groupBy("seller_id").agg(F.sum(to_cents(F.col("price"))).alias("cents")))
+    weights = sellers.groupBy("seller_id").agg(F.count(F.lit(1)).alias("times"))
+    return per_seller.join(weights, "seller_id").select(
+        "seller_id", from_cents(F.col("cents") * F.col("times")).alias("revenue"))
 
 
 def pareto(seller_rev: DataFrame, top_n: int | None = 20, entity: str = "seller_id",
@@ -290,12 +295,14 @@ def mom_growth(orders: DataFrame, items: DataFrame, window: int = 3, status: str
 
 def rfm_ntile(customers: DataFrame, orders: DataFrame, items: DataFrame,
               snapshot: str = "2018-12-01", n: int = 4, k: int = 50,
-              status: str = DELIVERED, method: str = "range") -> DataFrame:
+              status: str = DELIVERED, method: str = "select") -> DataFrame:
     """Q10: per unique customer: recency (calendar days to ``snapshot``), frequency,
     monetary, NTILE(n) scores and their total; the top ``k`` by total.
 
-    The three NTILEs are global orders over all customers, computed with the
-    distributed ranking (ties broken by customer_unique_id)."""
+    The three NTILEs are global orders over all customers (ties broken by customer_unique_id).
+    The customer aggregate is written once; its tile borders are found together by counting passes
+    and every customer is scored by comparison with them.  ``method`` is that of
+    :func:`ordermill.operators.ranking.global_ntile`."""
     o = _delivered(orders, status).select("order_id", "customer_id", "order_purchase_timestamp")
     j = (o.join(_items_per_order(items).select("order_id", "it_cents"), "order_id")
          .join(customers.select("customer_id", "customer_unique_id"), "customer_id"))
@@ -306,9 +313,14 @@ def rfm_ntile(customers: DataFrame, orders: DataFrame, items: DataFrame,
     # cents order exactly like the money amounts; converted back once per customer
     raw = raw.select("customer_unique_id", "recency_days", "frequency", from_cents(F.col("monetary_cents")).alias("monetary"))
     cid = ("customer_unique_id", True)
-    s = global_ntile(raw, n, [("recency_days", False), cid], "R_score", method=method)
-    s = global_ntile(s, n, [("frequency", True), cid], "F_score", method=method)
-    s = global_ntile(s, n, [("monetary", True), cid], "M_score", method=method)
+    orders = {"R_score": [("recency_days", False), cid], "F_score": [("frequency", True), cid],
+              "M_score": [("monetary", True), cid]}
+    if method == "select":
+        s = ntiles(materialize(raw, columnar=True), n, orders)
+    else:
+        s = raw
+        for name, order in orders.items():
+            s = global_ntile(s, n, order, name, method=method)
     total = F.col("R_score") + F.col("F_score") + F.col("M_score")
     return (s.select("customer_unique_id", F.col("recency_days").cast("bigint").alias("recency_days"),
                      "frequency", F.col("monetary").cast("double").alias("monetary"),

@@ -70,20 +70,31 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
-def materialize(df, columnar: bool = False):
+def materialize(df, columnar: bool = False, bucket_by: tuple[str, ...] = ()):
     """Write ``df`` once into the reliable checkpoint folder and return the re-read frame.
 
     Used for frames that several later passes read (an entity-grain aggregate feeding a
     top-k, a total and a tie count; the master table feeding every analysis): their
     lineage is cut, nothing is recomputed per pass, and a lost executor re-reads files.
     ``columnar=True`` writes parquet instead of a row checkpoint, so readers that need
-    a few columns (the analyses over the wide master) prune the rest at the scan."""
-    folder = ensure_checkpoint_dir(df.sparkSession)
-    if not columnar:
+    a few columns (the analyses over the wide master) prune the rest at the scan.
+    ``bucket_by`` writes parquet clustered by these columns, in as many buckets as shuffles have
+    partitions, so that joins and aggregations on them read what belongs together without a
+    shuffle.  It is for frames with one row per key: a bucket is read by one task."""
+    spark = df.sparkSession
+    folder = ensure_checkpoint_dir(spark)
+    if not columnar and not bucket_by:
         return df.checkpoint(eager=True)
-    path = f"{folder.rstrip('/')}/ordermill-tables/{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    name = uuid.uuid4().hex
+    path = f"{folder.rstrip('/')}/ordermill-tables/{name}"
+    if not bucket_by:
+        df.write.mode("overwrite").parquet(path)
+        return spark.read.parquet(path)
+    # the layout is known through the catalog; the files lie in the shared folder like all others
+    table = f"ordermill_{name}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.format("parquet").option("path", path).bucketBy(buckets, *bucket_by).sortBy(*bucket_by).saveAsTable(table)
+    return spark.table(table)
 
 
 def app_key(spark: SparkSession) -> str:

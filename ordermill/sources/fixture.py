@@ -60,6 +60,20 @@ def fixture_orders(orders: DataFrame) -> DataFrame:
     )
 
 
+# Texts that are no date, put in place of some dates (FIXTURES.md section 2).
+BAD_DATES = ["n/a", "2017-13-45 00:00:00", ""]
+
+
+def orders_as_text(orders: DataFrame) -> DataFrame:
+    """The orders as a text export would hold them: dates as text, some of them garbage.  Each date
+    column has its own rows, by the order's number."""
+    def text(name: str, every: int) -> Column:
+        bad = F.element_at(F.array(*[F.lit(b) for b in BAD_DATES]), (F.col("order_id") % len(BAD_DATES) + 1).cast("int"))
+        return F.when(F.col("order_id") % every == 0, bad).otherwise(F.col(name).cast("string")).alias(name)
+    every = {"order_purchase_timestamp": 41, "order_delivered_customer_date": 17, "order_estimated_delivery_date": 29}
+    return orders.select(*[text(c, every[c]) if c in every else F.col(c) for c in orders.columns])
+
+
 def _price(lineitem: DataFrame) -> Column:
     return F.col("l_extendedprice").cast(MONEY)
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ordermill.sources.roles import CSV_SCHEMAS, Tables
+from ordermill.sources.roles import CSV_SCHEMAS, DATE_TYPES, Tables
 
 # File names of the public marketplace CSV export, per role.
 CSV_FILES = {
@@ -31,9 +34,17 @@ def read_csv_table(spark: SparkSession, path: str, role: str) -> DataFrame:
     return raw.select(*known, *[F.col(f"`{c}`") for c in raw.columns if c not in fields])
 
 
-def _raw_csv(spark: SparkSession, path: str, role: str) -> DataFrame:
-    return (spark.read.option("header", True).option("multiLine", role == "reviews").option("escape", '"')
-            .option("mode", "PERMISSIVE").csv(path))
+def _raw_csv(spark: SparkSession, path: str, role: str, corrupt: str | None = None) -> DataFrame:
+    """All columns as text; ``corrupt`` names a column for the whole text of records that have
+    too few or too many fields (their other columns hold what could be read)."""
+    reader = (spark.read.option("header", True).option("multiLine", role == "reviews").option("escape", '"')
+              .option("mode", "PERMISSIVE"))
+    if corrupt is None:
+        return reader.csv(path)
+    columns = reader.csv(path).columns
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*columns, corrupt]])
+    # records are judged by their number of fields, so all fields are parsed
+    return reader.schema(schema).option("columnNameOfCorruptRecord", corrupt).option("columnPruning", False).csv(path)
 
 
 def unparsable_values(spark: SparkSession, path: str, role: str) -> DataFrame:
@@ -44,6 +55,31 @@ def unparsable_values(spark: SparkSession, path: str, role: str) -> DataFrame:
     return raw.agg(*bad)
 
 
+RECORD = "(record)"  # stands for the column where a whole record is out of shape
+
+
+def rejected_csv(spark: SparkSession, path: str, role: str) -> DataFrame:
+    """role, column, value, rows: what reading and cleaning the file turn into null.
+
+    Dates are checked as dates, other columns by their type; a record with too few or too many fields is listed
+    whole, under ``RECORD`` (it stays in the table with the fields that could be read)."""
+    corrupt = "_om_corrupt"
+    raw = _raw_csv(spark, path, role, corrupt)
+    kinds = {f.name: DATE_TYPES.get(f.name, f.dataType) for f in CSV_SCHEMAS[role].fields}
+    kinds = {c: t for c, t in kinds.items() if c in raw.columns and not isinstance(t, T.StringType)}
+    bad = [F.when(F.col(f"`{c}`").isNotNull() & F.col(f"`{c}`").try_cast(t).isNull(),
+                  F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").alias("value"))) for c, t in kinds.items()]
+    bad.append(F.when(F.col(corrupt).isNotNull(), F.struct(F.lit(RECORD).alias("column"), F.col(corrupt).alias("value"))))
+    return (raw.select(F.explode(F.array_compact(F.array(*bad))).alias("cell"))
+            .groupBy(F.lit(role).alias("role"), "cell.column", "cell.value").agg(F.count(F.lit(1)).alias("rows")))
+
+
+def rejected_marketplace_csv(spark: SparkSession, raw_dir: str, files: dict[str, str] | None = None) -> DataFrame:
+    """:func:`rejected_csv` of all eight files."""
+    names = {**CSV_FILES, **(files or {})}
+    return reduce(DataFrame.unionByName, [rejected_csv(spark, f"{raw_dir}/{name}", role) for role, name in names.items()])
+
+
 def read_marketplace_csv(spark: SparkSession, raw_dir: str, files: dict[str, str] | None = None) -> Tables:
     """The eight role tables from a directory of the CSV export (``files`` overrides the
     file name of any role)."""

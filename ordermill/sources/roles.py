@@ -27,6 +27,8 @@ TRANSLATION = ("product_category_name", "product_category_name_english")
 DATE_COLUMNS = ("order_purchase_timestamp", "order_delivered_customer_date",
                 "order_estimated_delivery_date")
 
+DATE_TYPES = {c: T.TimestampNTZType() for c in DATE_COLUMNS}
+
 MONEY = T.DecimalType(12, 2)
 
 # Explicit CSV schemas (no inference) for the public marketplace export layout.
