@@ -5,6 +5,8 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +40,18 @@ def free_name(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
+def slices(texts: pa.Array, rows: int, size: int):
+    """(first row, number of rows) of consecutive slices of a column of texts: at most ``rows`` rows and
+    ``size`` bytes, or one row."""
+    lengths = pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False)
+    ends, lo = np.cumsum(lengths, dtype=np.int64), 0
+    while lo < len(ends):
+        room = size + (int(ends[lo - 1]) if lo else 0)
+        hi = max(lo + 1, min(lo + rows, int(np.searchsorted(ends, room, side="right"))))
+        yield lo, hi - lo
+        lo = hi
+
+
 def row_hash(*cols: Column) -> Column:
     """63-bit non-negative hash of the columns' values; depends on nothing else."""
     return F.xxhash64(*cols).bitwiseAND(F.lit((1 << 63) - 1))

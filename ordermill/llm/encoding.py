@@ -2,7 +2,9 @@
 
 Texts of one corpus repeat most of their words, and the tokenizers used here never merge
 across white space.  So a text is cut where the tokenizer itself always cuts, each distinct
-piece is encoded by the library once, and its ids are kept in a bounded cache of the worker.
+piece is encoded by the library once, and its ids are kept in a cache of the worker that is bounded by
+its bytes.  Cutting, finding the distinct pieces of a slice of texts and putting the ids together
+work on arrays; Python objects are made for distinct pieces only.
 The ids are those of encoding the whole text; the tests compare both on random texts.
 A tokenizer whose file shows neither of the two known cutting rules gets whole texts.
 """
@@ -16,9 +18,12 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 
-CACHE = 600_000  # pieces per generation of a worker's cache; two generations are kept
-LONG = 100       # longer pieces are encoded each time
-DOCS = 128       # documents encoded at once
+from .common import slices
+
+CACHE = 80 << 20  # bytes of a generation of a worker's cache, as estimated; two generations are kept
+ENTRY = 180       # bytes of an entry besides text and ids
+LONG = 100        # longer pieces are encoded each time
+DOCS, BYTES = 4096, 2 << 20  # documents and bytes of text encoded at once, at most (or one document)
 
 # white space as the tokenizers' patterns take it: Unicode's, without the four separators
 # that Python adds to it
@@ -26,9 +31,17 @@ _WS, _NW = r"[^\S\x1c-\x1f]", r"[\S\x1c-\x1f]"
 _PIECE = re.compile(rf" ?{_NW}+|{_WS}+(?!{_NW})|{_WS}+")
 _WORD = re.compile(rf"{_NW}+")
 _ODD = re.compile(r"[\x1c-\x1f]")
+_RARE = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")  # blanks beyond the six of ASCII
+_BLANK = np.zeros(256, bool)
+_BLANK[[0x20, *range(0x09, 0x0E)]] = True
 _MARKS = ".,;:!?"  # after a letter, the tokenizers always cut before one of these; not after
 # the one letter whose lower case ends with a combining mark:
 _PLAIN = "\u0130"  # and below it, lower-casing a text changes no id of a tokenizer that lower-cases
+_HIGH = re.compile(f"[{_PLAIN}-\U0010ffff]")
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+_MARK = np.zeros(256, bool)
+_MARK[[ord(c) for c in _MARKS]] = True
 
 
 def _plain_words(text: str) -> list[str]:
@@ -43,7 +56,7 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.tokenizer = Tokenizer.from_file(path)
-        self.new, self.old = {}, {}
+        self.new, self.old, self.held = {}, {}, 0
         pre = spec.get("pre_tokenizer") or {}
         steps = pre.get("pretokenizers", [pre])
         normal = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])]
@@ -80,52 +93,117 @@ class Encoder:
         out.update(zip(rest, (x.tobytes() for x in self._ids(rest))))
         return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if self.cut is None:
-            return [x.tobytes() for x in self._ids(texts)]
-        odd = [i for i, t in enumerate(texts) if any(a in t for a in self.added)]
-        if odd:
-            out = self.encode(["" if i in odd else t for i, t in enumerate(texts)])
-            for i, ids in zip(odd, self._ids([texts[i] for i in odd])):
-                out[i] = ids.tobytes()
-            return out
-        if self.lower:
-            texts = [t.lower() if max(t, default="") < _PLAIN else t for t in texts]
-        cut = [self.cut(t) for t in texts]
-        wanted = set(chain.from_iterable(cut))
-        missing = []
-        if len(self.new) > CACHE:
-            self.old, self.new = self.new, {}
+    def _of(self, wanted: list[str]) -> list[bytes]:
+        """The ids of distinct pieces."""
+        if self.held > CACHE:
+            self.old, self.new, self.held = self.new, {}, 0
         known, old = self.new, self.old
-        for p in wanted.difference(known):
-            ids = old.get(p)
-            if ids is None:
-                missing.append(p)
-            else:
-                known[p] = ids
-        table = known
+        out = list(map(known.get, wanted))
+        gaps = [k for k, ids in enumerate(out) if ids is None]
+        if not gaps:
+            return out
+        missing = [wanted[k] for k in gaps]
+        found = dict(zip(missing, map(old.get, missing)))
+        missing = [p for p, ids in found.items() if ids is None]
         if missing:
+            # where the tokenizer cuts before a mark, the word and the mark are pieces of their own
             marked = [p for p in missing if p[-1] in _MARKS and p[-2:-1].isalpha() and p[-2] != _PLAIN]
-            first = set(missing).difference(marked)
-            first.update(q for p in marked for q in (p[:-1], p[-1]) if q not in known)
-            fresh = self._fresh(list(first))
+            heads = {}
+            if marked:
+                parts = dict.fromkeys(q for p in marked for q in (p[:-1], p[-1]))
+                heads = {q: known.get(q) or old.get(q) or found.get(q) for q in parts}
+                parted = set(marked)
+                missing = [p for p in missing if p not in parted]
+                missing += [q for q, ids in heads.items() if ids is None and q not in found]
+            found.update(self._fresh(missing))
             for p in marked:
                 a, b = p[:-1], p[-1]
-                fresh[p] = (fresh[a] if a in fresh else known[a]) + (fresh[b] if b in fresh else known[b])
-            long = {p: v for p, v in fresh.items() if len(p) > LONG}
-            known.update(fresh if not long else {p: v for p, v in fresh.items() if len(p) <= LONG})
-            if long:
-                get = lambda p: long[p] if p in long else known[p]
-                return [b"".join(map(get, c)) for c in cut]
-        return [b"".join(map(table.__getitem__, c)) for c in cut]
+                found[p] = (heads[a] or found[a]) + (heads[b] or found[b])
+        for p, ids in found.items():
+            if len(p) <= LONG:
+                known[p] = ids
+                self.held += ENTRY + len(p) + len(ids)
+        for k in gaps:
+            out[k] = found[wanted[k]]
+        return out
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        if self.cut is None:
+            return [x.tobytes() for x in self._ids(texts)]
+        whole = {i for i, t in enumerate(texts) if any(a in t for a in self.added)}
+        if self.lower:
+            plain = [t.lower() if t.isascii() or not _HIGH.search(t) else t for t in texts]
+        else:
+            plain = texts
+        rare = [i for i, t in enumerate(plain) if i not in whole and _RARE.search(t)]
+        skip = whole.union(rare)
+        out = self._arrays(["" if i in skip else t for i, t in enumerate(plain)] if skip else plain)
+        if whole:
+            for i, ids in zip(whole, self._ids([texts[i] for i in whole])):
+                out[i] = ids.tobytes()
+        if rare:
+            cut = [self.cut(plain[i]) for i in rare]
+            wanted = list(dict.fromkeys(chain.from_iterable(cut)))
+            table = dict(zip(wanted, self._of(wanted)))
+            for i, c in zip(rare, cut):
+                out[i] = b"".join(map(table.__getitem__, c))
+        return out
+
+    def _arrays(self, texts: list[str]) -> list[bytes]:
+        """The same for texts whose only blanks are the six of ASCII, on arrays."""
+        raw = [t.encode() for t in texts]
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+        data = np.frombuffer(b"".join(raw), np.uint8)
+        if not data.size:
+            return [b""] * len(texts)
+        at = np.cumsum(sizes) - sizes
+        head = np.zeros(data.size, bool)
+        head[at[sizes > 0]] = True
+        blank = _BLANK[data]
+        after_blank = np.empty_like(blank)  # is the byte before, in the same text, a blank?
+        after_blank[0], after_blank[1:] = False, blank[:-1]
+        after_blank &= ~head
+        words = ~blank & (head | after_blank)
+        # a mark after a plain letter at the end of a word is a piece of its own
+        tail = np.flatnonzero(_MARK[data[1:]] & _LETTER[data[:-1]]) + 1
+        ending = np.append(blank[1:] | head[1:], True)
+        tail = tail[ending[tail] & ~head[tail]]
+        words[tail] = True
+        if self.lower:  # pieces are the words
+            start = np.flatnonzero(words)
+            dense = np.cumsum(~blank)
+            offsets = np.append(dense[start] - 1, dense[-1])
+            body = data[~blank]
+        else:  # a word takes one space before it; other blanks are pieces up to the last one before a word
+            cut = head | (blank & ~after_blank) | words
+            inner = np.flatnonzero(words & after_blank)
+            cut[inner - 1] = True
+            cut[inner[data[inner - 1] == 0x20]] = False
+            start = np.flatnonzero(cut)
+            offsets = np.append(start, data.size)
+            body = data
+        if not start.size:
+            return [b""] * len(texts)
+        pieces = pa.StringArray.from_buffers(len(start), pa.py_buffer(offsets.astype(np.int32)),
+                                             pa.py_buffer(np.ascontiguousarray(body))).dictionary_encode()
+        ids = self._of(pieces.dictionary.to_numpy(zero_copy_only=False).tolist())
+        which = pieces.indices.to_numpy()
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        length = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        first = np.cumsum(length) - length
+        many = length[which]
+        ends = np.cumsum(many)
+        tokens = flat[np.repeat(first[which] - (ends - many), many) + np.arange(ends[-1])]
+        bounds = np.append(0, ends)[np.searchsorted(start, np.append(at, data.size))]
+        return [tokens[lo:hi].tobytes() for lo, hi in zip(bounds[:-1], bounds[1:])]
 
 
 def encoded(batches, path: str):
     """For Arrow batches of (id, text, ...): yields (ids column slice, [bytes]) per group of documents."""
     encoder = Encoder(path)
     for batch in batches:
-        for lo in range(0, batch.num_rows, DOCS):
-            part = batch.slice(lo, DOCS)
+        for lo, n in slices(batch.column(1), DOCS, BYTES):
+            part = batch.slice(lo, n)
             texts = [t or "" for t in part.column(1).to_pylist()]
             yield part, encoder.encode(texts)
 

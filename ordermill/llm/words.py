@@ -13,6 +13,7 @@ from .common import mix64
 
 _BASE = 0x9E3779B97F4A7C55 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
+KEPT = 1 << 21  # powers kept between calls
 _powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
@@ -22,7 +23,8 @@ def _power(kind: str, n: int) -> np.ndarray:
     base = _BASE if kind == "up" else _INVERSE
     while len(have) < n:
         have = np.concatenate([have, have * np.uint64(pow(base, len(have), 1 << 64))])
-    _powers[kind] = have
+    if len(have) <= KEPT:  # a longer text's table goes again
+        _powers[kind] = have
     return have[:n]
 
 
