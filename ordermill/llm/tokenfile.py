@@ -34,6 +34,7 @@ from .common import read_table, shared_folder
 from .encoding import binary, encoded
 
 END = 0
+TASK_BYTES = 4 << 20  # bytes that a reading task takes at least, where there are more
 
 
 def id_width(path: str) -> int:
@@ -99,13 +100,22 @@ def shards(spark: SparkSession, folder: str, width: int = 2) -> DataFrame:
                  .option("pathGlobFilter", "part-*").load(folder).select("path", "length")
     files = files.select(F.regexp_extract("path", r"/part-(\d+)-", 1).cast("int").alias("shard"),
                          F.regexp_extract("path", r"/kind=(\w+)/", 1).alias("kind"), "path", "length")
-    pick = lambda k, c: F.max(F.when(F.col("kind") == k, F.col(c)))
+    def pick(kind, column):
+        """The one file of a kind; a second one of the same number would be lost, so it is an error."""
+        mine = F.when(F.col("kind") == kind, F.col(column))
+        return F.when(F.count(mine) > 1, F.raise_error(F.lit("a shard has several files of a kind; "
+                      "write with spark.sql.files.maxRecordsPerFile at 0"))).otherwise(F.max(mine))
     rows = files.groupBy("shard").agg(*[pick(k, "path").alias(k) for k in ("ids", "off", "doc")],
                                       (pick("ids", "length") / width).cast("bigint").alias("n_ids"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row per shard
     return rows.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 
 
+def read_tasks(pieces: int, size: int) -> int:
+    """Tasks that read ``size`` bytes in that many pieces."""
+    return max(1, min(int(pieces), -(-int(size) // TASK_BYTES)))
+
+
 def read_tokens(spark: SparkSession, folder: str, width: int = 2) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, from the files alone."""
     def run(batches):
@@ -125,8 +135,11 @@ def read_tokens(spark: SparkSession, folder: str, width: int = 2) -> DataFrame:
                          pa.array(off[lo:hi] - starts[lo:hi], pa.int64()), pa.array(crc, pa.int64())],
                         ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    # many small rows, one per shard: spread them over the tasks
-    return shards(spark, folder, width).repartition("shard") \
+    # few small rows, one per shard, that stand for much work: a stated number of tasks, which is
+    # not merged for the rows' small size
+    table = shards(spark, folder, width)
+    files, size = table.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_ids"), F.lit(0)) * width).first()
+    return table.repartitionByRange(read_tasks(files, size), "shard") \
         .mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 

@@ -90,3 +90,45 @@ def test_packing_of_odd_rows(odd_docs):
         assert (g.offset.to_numpy() == np.concatenate([[0], g.length.cumsum()[:-1]])).all()
         assert g.length.sum() <= 4096
     assert packing.pack_documents(odd_docs.limit(0)).count() == 0
+
+
+def test_many_files_are_read_by_many_tasks(spark, make_docs, monkeypatch):
+    """A few small rows name the files; their tasks are stated, so AQE does not merge them into one."""
+    from ordermill.llm import warc
+    monkeypatch.setattr(tokenfile, "TASK_BYTES", 2000)
+    docs = make_docs([(i, f"word{i} and more text " * 30, "en", "s") for i in range(400)]).repartition(16)
+    pages = docs.select(F.col("doc_id").alias("page_id"), F.lit("http://x.org/").alias("url"), F.col("text").alias("html"))
+    merge = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(merge, "false")  # many files, as of large tables
+    try:
+        folder = tokenfile.write_tokens(docs, BYTE, common.shared_folder(spark, "tokens"))
+        archive = warc.write_archive(pages, common.shared_folder(spark, "warc"))
+    finally:
+        spark.conf.set(merge, "true")
+    assert spark.conf.get("spark.sql.adaptive.enabled") == "true" and tokenfile.shards(spark, folder).count() > 1
+    read = tokenfile.read_tokens(spark, folder).withColumn("task", F.spark_partition_id())
+    assert read.select("task").distinct().count() > 1 and read.count() == 400
+    index = warc.write_index(spark, archive)
+    assert index.select(F.input_file_name().alias("f")).distinct().count() > 1
+    got = warc.read_records(index).withColumn("task", F.spark_partition_id())
+    assert got.select("task").distinct().count() > 1 and got.count() == 400
+
+
+def test_two_files_of_a_shard_are_refused(spark, make_docs):
+    old = spark.conf.get("spark.sql.files.maxRecordsPerFile")
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", "3")
+    try:
+        docs = make_docs([(i, "a b c", "en", "s") for i in range(40)])
+        folder = tokenfile.write_tokens(docs, BYTE, common.shared_folder(spark, "tokens"))
+    finally:
+        spark.conf.set("spark.sql.files.maxRecordsPerFile", old)
+    with pytest.raises(Exception, match="several files"):
+        tokenfile.read_tokens(spark, folder).count()
+
+
+def test_slices_hold_bounded_bytes():
+    import pyarrow as pa
+    from ordermill.llm.common import slices
+    texts = pa.array(["x" * n for n in (5, 0, 3, 100, 1, 1, 1, 200)] + [None, "a", "b"])
+    got = list(slices(texts, 4, 10))
+    assert got == [(0, 3), (3, 1), (4, 3), (7, 1), (8, 3)] and list(slices(texts.slice(0, 0), 4, 10)) == []
