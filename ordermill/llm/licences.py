@@ -4,16 +4,20 @@ Texts are cut into lines, and into paragraphs at lines without words.  Both are
 windows of ``WINDOW`` words that overlap by half, paragraphs by those that cross a line end
 and, for short notices amid other words, once more by windows of half the width.
 A softmax regression over hashed word uni- and bigrams gives each window a probability per
-licence family and for "none".  It is trained here, on the notices below in many wordings and
-on a bounded sample of the corpus's own lines as negatives; its temperature is calibrated on
-a held-out part of the same set.  A window is taken for a licence if its probability of not
-being "none" reaches ``MIN_PROBABILITY``.  It is then compared with the notices of all
+licence family and for "none".  It is trained here, on the notices below in many wordings, one or
+two to a text, and on a bounded sample of the corpus's own lines as negatives.  A part of this set is
+held out and calibrates it: the temperature; ``named``, the probability that all but ``MISSED`` of the families
+of held-out texts reach in them; and ``doubt``, the probability of not being "none" that no more than
+``FALSE`` of the held-out negatives reach.
+
+*The regression names the families*: all that reach ``named`` in a window whose probability of not being "none"
+is at least ``MIN_PROBABILITY``.  *The templates confirm them*: the window is compared with the notices of the named
 families, together with ``WINDOW`` words of its paragraph on both sides, so that a notice cut
 by its ends is seen whole.  Each notice that touches the window, with at least
 ``MIN_CONTAINED`` of its word bigrams within ``WINDOW`` words, is reported, once however many
-windows show it.  The best contained notice takes its words; others need words of their
-own, so "CC BY-NC" does not count as "CC BY" too.  A full window taken for a licence that no
-notice touches is "unknown"; across line ends only if no other window there is reported.
+windows show it.  The best contained notice of all takes its words; others need words of their
+own, so "CC BY-NC" does not count as "CC BY" too (an unnamed family is not reported, but keeps its words).  *Unknown* is a full window that is no "none" by ``doubt``
+and in which no named family is confirmed; across line ends only if no other window there is reported.
 
 The sample is the only part of the corpus that fitting sees, at most ``SAMPLE`` different lines
 of at most ``SAMPLE_CHARS`` characters; scanning covers every word of every text.
@@ -38,6 +42,7 @@ WINDOW, BITS = 16, 14
 SAMPLE, SAMPLE_CHARS = 3000, 400
 STEPS = 100
 MIN_PROBABILITY, MIN_CONTAINED = 0.5, 0.6
+MISSED, FALSE = 0.005, 0.002  # shares of held-out families below ``named`` and of negatives above ``doubt``
 
 # fixed values: short notices by which works name their licence
 TEMPLATES = {
@@ -83,10 +88,11 @@ def _features(text: str) -> np.ndarray:
 
 
 class Model:
-    """Weights (slot x class, "none" last), bias, temperature, and the templates' bigrams."""
+    """Weights (slot x class, "none" last), bias, calibrated figures, and the templates' bigrams."""
 
-    def __init__(self, weights, bias, temperature):
+    def __init__(self, weights, bias, temperature, named=0.0, doubt=MIN_PROBABILITY):
         self.weights, self.bias, self.temperature = weights, bias, temperature
+        self.named, self.doubt = named, doubt
         self.templates = {f: [np.unique(combined(word_hashes([fold(t)])[0], 2)) for t in ts] for f, ts in TEMPLATES.items()}
         each = [(FAMILIES.index(f), t) for f, ts in self.templates.items() for t in ts]
         self.family = [k for k, _ in each]
@@ -109,8 +115,8 @@ class Model:
         return max(len(own & have) / len(own) for own in self.sets)
 
     def notices(self, ids: np.ndarray, p: np.ndarray) -> list[tuple[str, int, int, float]]:
-        """(family, first word, end, containment) of the notices in a run of bigrams, the best
-        contained first (then the longer, then the more probable).  A notice's bigrams speak
+        """(family, first word, end, containment) of the notices of the families that ``p`` names in a
+        run of bigrams, the best contained first (then the longer, then the more probable).  A notice's bigrams speak
         for it alone: its near relatives must be contained in what is left."""
         left, out = {j: x for j, x in enumerate(ids.tolist()) if x >= 0}, []
         while left:
@@ -136,7 +142,8 @@ class Model:
             rank, t, where = best
             for j in where:
                 del left[j]
-            out.append((FAMILIES[self.family[t]], where[0], where[-1] + 2, rank[0]))
+            if p[self.family[t]] >= self.named:  # else it only keeps its words from its relatives
+                out.append((FAMILIES[self.family[t]], where[0], where[-1] + 2, rank[0]))
         return out
 
 
@@ -167,6 +174,14 @@ def train(negatives: list[str], seed: int = 11) -> Model:
                     extra = list(rng.choice(filler, int(rng.integers(0, max(1, WINDOW - len(words))))))
                     texts.append(" ".join([*extra, *words] if rng.random() < 0.5 else [*words, *extra]))
                     labels.append(k)
+    second = [-1] * len(texts)
+    notices = [(k, t) for k, family in enumerate(FAMILIES) for t in TEMPLATES[family]]
+    for k, t in notices * 12:  # two licences in one text share its probability
+        j, u = notices[int(rng.integers(len(notices)))]
+        if j != k:
+            texts.append(f"{t} {rng.choice(['or', 'and', '', '/'])} {u}")
+            labels.append(k)
+            second.append(j)
     for text in clean:
         words = text.split()
         at = int(rng.integers(0, max(1, len(words) - 4)))
@@ -180,6 +195,7 @@ def train(negatives: list[str], seed: int = 11) -> Model:
         texts += [" ".join([w] * int(k)) for k in rng.integers(2, 30, 3)]
         labels += [none] * 3
     labels = np.array(labels)
+    second = np.array(second + [-1] * (len(labels) - len(second)))
     rows, cols, size = [], [], []
     for i, text in enumerate(texts):
         f = _features(text)
@@ -189,6 +205,8 @@ def train(negatives: list[str], seed: int = 11) -> Model:
     used, cols = np.unique(cols, return_inverse=True)  # only slots that occur get weights
     weights, bias = np.zeros((len(used), none + 1), np.float32), np.zeros(none + 1, np.float32)
     target = np.eye(none + 1, dtype=np.float32)[labels]
+    two = second >= 0
+    target[two] = (target[two] + np.eye(none + 1, dtype=np.float32)[second[two]]) / 2
     share = np.where(labels == none, 1.0, 3.0) * ~held
     share, scale = (share / share.sum()).astype(np.float32), scale.astype(np.float32)
     order = np.argsort(cols, kind="stable")
@@ -208,12 +226,18 @@ def train(negatives: list[str], seed: int = 11) -> Model:
         speed_b = 0.9 * speed_b + g.sum(axis=0)
         weights -= 8.0 * speed_w + 1e-5 * weights
         bias -= speed_b
-    s = scores()[held]
-    loss = lambda t: -np.log(_probabilities(s / t)[np.arange(len(s)), labels[held]] + 1e-12).mean()
+    s, goal, other = scores()[held], target[held], labels[held]
+    loss = lambda t: -(goal * np.log(_probabilities(s / t) + 1e-12)).sum(axis=1).mean()
     temperature = min(np.linspace(0.3, 3, 28), key=loss) if held.any() else 1.0
+    p = _probabilities(s / temperature)
+    own = [p[other != none, other[other != none]], p[second[held] >= 0, second[held][second[held] >= 0]]]
+    own = np.concatenate(own)
+    named = float(np.quantile(own, MISSED)) if len(own) else 0.0
+    wrong = 1 - p[other == none, none]
+    doubt = max(MIN_PROBABILITY, float(np.quantile(wrong, 1 - FALSE))) if len(wrong) else MIN_PROBABILITY
     table = np.zeros((1 << BITS, none + 1), np.float32)
     table[used] = weights
-    return Model(table, bias, float(temperature))
+    return Model(table, bias, float(temperature), named, doubt)
 
 
 def sample_paragraphs(docs: DataFrame, text_col: str = "text", n: int = SAMPLE) -> list[str]:
@@ -303,7 +327,7 @@ def _scan(texts: list[bytes], model: Model) -> list[list[dict]]:
             if not any(k in old for k in range(s + lo, e + lo)):
                 fresh.append((family, s + lo, e + lo, share))
                 old.update(dict.fromkeys(range(s + lo, e + lo)))
-        if not hits and (i < n_lines or i < n_wide and not seen[a[i]:b[i]].any()):
+        if not hits and sure[i] >= model.doubt and (i < n_lines or i < n_wide and not seen[a[i]:b[i]].any()):
             fresh.append(("unknown", a[i], b[i], model.best_share(known[a[i]:b[i] - 1])))
         seen[a[i]:b[i]] = True
         at = doc[a[i]]
