@@ -35,10 +35,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import components, free_name, read_table, row_hash, stored
+from .common import components, free_name, read_table, row_hash, slices, stored
 from .words import combined, starts_of, word_hashes
 
 FREQUENT = 1 << 18   # elements that are ordered by frequency
+SLICE = 1 << 20      # bytes of text handled at once, unless one text is longer
 RUN_ELEMENTS, RUN_LEAST = 2_000_000, 4  # an element counts once it comes so often among so many
 SMALL, BROADCAST_ROWS = 64, 200_000  # groups that may share an element and be paired; rows sent to all tasks at most
 REST_PAIRS, SETTLED = 4, 0.8         # pairs left per member, or share of members left, that end the pivot rounds
@@ -72,8 +73,8 @@ def frequent_elements(texts: DataFrame, n: int) -> np.ndarray:
     def run(batches):
         held, count = [], 0
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                sets = shingle_sets(batch.slice(lo, 256).column(0).to_pylist(), n)
+            for lo, some in slices(batch.column(0), 256, SLICE):
+                sets = shingle_sets(batch.slice(lo, some).column(0).to_pylist(), n)
                 held += sets
                 count += sum(map(len, sets))
                 if count >= RUN_ELEMENTS:
@@ -128,8 +129,8 @@ def signatures(docs: DataFrame, n: int, percent: int, order: Order) -> DataFrame
     """(id, text_hash, size, key, group, prefix) from (id, text, text_hash)."""
     def run(batches):
         for batch in batches:
-            for lo in range(0, batch.num_rows, 128):
-                part = batch.slice(lo, 128)
+            for lo, some in slices(batch.column(1), 128, SLICE):
+                part = batch.slice(lo, some)
                 sets = shingle_sets(part.column(1).to_pylist(), n)
                 keys = [hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest() if len(s) else None for s in sets]
                 heads = [order.first(s, prefix_size(len(s), percent)).view(np.int64) if len(s) else s.view(np.int64) for s in sets]
@@ -306,3 +307,26 @@ def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
 def _sent(keys: DataFrame) -> DataFrame:
     """A table of keys, marked to be sent to all tasks if it is small."""
     return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+
+
+ORACLE_SQL = r"""
+WITH RECURSIVE t AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS w FROM documents),
+d AS (
+  SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END)) AS s FROM t),
+k AS (SELECT doc_id, len(s) AS n, s, md5(array_to_string(s, chr(10))) AS key FROM d),
+m AS (SELECT key, any_value(n) AS n, any_value(s) AS s FROM k WHERE n > 0 GROUP BY key),
+e AS (SELECT key, n, unnest(s) AS e FROM m),
+links AS (
+  SELECT a.key AS x, b.key AS y FROM e a JOIN e b ON a.e = b.e AND a.key < b.key
+  GROUP BY a.key, b.key, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+two_way AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach(key, other) AS (SELECT key, key FROM m UNION SELECT r.key, b.y FROM reach r JOIN two_way b ON b.x = r.other),
+comp AS (SELECT key, min(other) AS c FROM reach GROUP BY key),
+size AS (SELECT c, count(*) AS n_members FROM comp GROUP BY c),
+low AS (SELECT c, min(doc_id) AS component_id FROM k JOIN comp USING (key) GROUP BY c)
+SELECT k.doc_id, CAST(k.n AS BIGINT) AS n_shingles, coalesce(low.component_id, k.doc_id) AS component_id, size.n_members
+FROM k LEFT JOIN comp ON comp.key = k.key AND k.n > 0 LEFT JOIN size USING (c) LEFT JOIN low USING (c)
+"""

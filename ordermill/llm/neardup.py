@@ -196,3 +196,20 @@ def _block_join(nodes: DataFrame, threshold: float, largest: int) -> DataFrame:
 
 def op4_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_vectors(read_table(spark, sf_dir, "embeddings"))
+
+
+ORACLE_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+good AS (
+  SELECT vec_id, label, v FROM v WHERE label IS NOT NULL AND v IS NOT NULL AND len(v) > 0
+    AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM good a JOIN good b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.98),
+n AS (SELECT x, count(*) AS n_links FROM links GROUP BY x),
+reach(x, y) AS (SELECT x, y FROM links UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y),
+comp AS (SELECT x, least(x, min(y)) AS c FROM reach GROUP BY x)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, coalesce(c, vec_id) AS component_id, coalesce(c, vec_id) = vec_id AS kept
+FROM v LEFT JOIN n ON n.x = vec_id LEFT JOIN comp ON comp.x = vec_id
+"""

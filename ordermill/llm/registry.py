@@ -26,5 +26,5 @@ def queries():
 
 
 def oracle_sql():
-    return {"op3_mixing": mixing.ORACLE_SQL, "op6_topk_search": topk.ORACLE_SQL,
-            "op12_chat_formatting": chat.ORACLE_SQL}
+    return {"op2_jaccard_join": jaccard.ORACLE_SQL, "op3_mixing": mixing.ORACLE_SQL, "op4_embedding_neardup": neardup.ORACLE_SQL,
+            "op6_topk_search": topk.ORACLE_SQL, "op7_warc": warc.ORACLE_SQL, "op12_chat_formatting": chat.ORACLE_SQL}
