@@ -17,7 +17,9 @@ two texts link when 100 * |A & B| >= percent * |A | B|.
 Nothing pairs up a crowd: in each round every member is verified against one pivot among
 those it shares an element with, links are contracted into components, and only pairs of
 members in different components are looked at again.  When few such pairs are left, or a
-round settles few members, all pairs left are verified, so no link between components is missed.
+round settles few members, the pairs left are met in the block of the first element that they
+share: all before it in either prefix is not shared, which rules out all but near pairs in the
+blocks of frequent elements.  Those are verified, so no link between components is missed.
 
 Defined results: null, empty and blank texts have an empty set, link with nothing and are
 their own component; a null id takes part, and ``component_id`` is the smallest known id
@@ -213,14 +215,15 @@ def join_documents(docs: DataFrame, n: int = 4, percent: int = 85, *, id_col: st
     live = stored(members.join(known, "group").select("key", "gid", "copies", "text_hash", "size", "members",
                                                       F.coalesce("own", F.lit(0)).alias("own")))
     # a block is a shared element, or a group of several members, which share their whole prefix
-    blocks = stored(posting.select(F.col("e").cast("string").alias("block"), "gid")
+    blocks = stored(posting.select(F.col("e").cast("string").alias("block"), "gid", "place")
                     .join(live.select("key", "gid", "copies", "size", "own"), "gid").drop("gid")
-                    .union(live.where("members > 1").select(F.concat(F.lit("g"), F.col("gid").cast("string")).alias("block"),
-                                                            "key", "copies", "size", F.lit(0).alias("own"))))
+                    .unionByName(live.where("members > 1").select(
+                        F.concat(F.lit("g"), F.col("gid").cast("string")).alias("block"), "key", "copies", "size",
+                        F.lit(0).alias("own"), F.lit(0).alias("place"))))
     wanted = _sent(live.select("text_hash", "key"))
     texts = stored(base.select("text", "text_hash").join(wanted, "text_hash").groupBy("key").agg(F.first("text").alias("text")))
     comp, tried, before = live.select("key", F.col("key").alias("comp")), None, None
-    names = ("key", "size", "own", "comp")
+    names = ("key", "size", "own", "place", "comp")
     while True:
         now = stored(blocks.join(comp, "key"))
         mixed = now.groupBy("block").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("block")
@@ -230,13 +233,15 @@ def join_documents(docs: DataFrame, n: int = 4, percent: int = 85, *, id_col: st
         if not left:
             break
         open_ = blocks.select("key").distinct().count()
-        # all pairs at last: when they are few, or pivots no longer settle many members
+        # the pairs left at last: when they are few, or pivots no longer settle many members
         rest = left <= REST_PAIRS * open_ or (before is not None and open_ > SETTLED * before)
         before = open_
         x = blocks.select("block", *[F.col(c).alias(f"{c}1") for c in names])
         if rest:
+            # the first element that a pair shares comes early in the smaller of its sets
+            small = x.where((100 + percent) * (F.col("size1") - F.col("place1")) >= 2 * percent * F.col("size1"))
             y = blocks.select("block", *[F.col(c).alias(f"{c}2") for c in names])
-            met = x.join(y, "block").where("key1 < key2 AND comp1 <> comp2")
+            met = small.join(y, "block").where("(size1 < size2 OR size1 = size2 AND key1 < key2) AND comp1 <> comp2")
         else:
             # the pivot of a block: most copies, least of its own, then by key; every round another
             rank = F.struct((-F.col("copies")).alias("c"), (F.col("own") / F.col("size")).alias("o"), *names)
@@ -244,7 +249,7 @@ def join_documents(docs: DataFrame, n: int = 4, percent: int = 85, *, id_col: st
             pivot = stored(fresh.groupBy("block").agg(F.min(rank).alias("p")).select("block", "p.*"))
             tried = pivot.select("block", "key") if tried is None else stored(tried.union(pivot.select("block", "key")))
             met = x.join(pivot.select("block", "c", "o", *[F.col(c).alias(f"{c}2") for c in names]), "block").where("comp1 <> comp2")
-        met = met.where(_possible(percent, F.col("size1"), F.col("own1"), F.col("size2"), F.col("own2")))
+        met = met.where(_possible(percent, *[F.col(f"{c}{i}") for i in (1, 2) for c in ("size", "place" if rest else "own")]))
         if not rest:  # a member meets the best of its blocks' pivots
             met = met.groupBy("key1").agg(F.min(F.struct("c", "o", "key2")).alias("p")).select("key1", F.col("p.key2").alias("key2"))
         pairs = met.select(F.least("key1", "key2").alias("a"), F.greatest("key1", "key2").alias("b")).distinct()

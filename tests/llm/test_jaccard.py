@@ -74,6 +74,26 @@ def test_frequent_elements_change_no_result(make_docs, monkeypatch):
     assert {r.id: r.component_id for r in jaccard._labelled(jaccard.join_documents(make_docs(rows), 4, 70)).collect()} == want
 
 
+def test_a_crowd_at_middle_distance_is_not_paired(make_docs, monkeypatch):
+    """Variants of one text, most of them too far apart to link: their frequent elements stand in
+    many prefixes, but behind elements of their own."""
+    rng = random.Random(3)
+    vocabulary, pairs = [f"w{i}" for i in range(5000)], []
+    base = rng.choices(vocabulary, k=150)
+    rows = []
+    for i in range(240):
+        copy = list(base)
+        for at in rng.sample(range(150), 1 if i % 40 == 0 else 5):
+            copy[at] = rng.choice(vocabulary)
+        rows.append((i, " ".join(copy), "en", "s"))
+    verify = jaccard._verified
+    monkeypatch.setattr(jaccard, "_verified", lambda p, *more: (pairs.append(p.count()), verify(p, *more))[1])
+    monkeypatch.setattr(jaccard, "RUN_LEAST", 2)
+    got = {r.id: r.component_id for r in jaccard._labelled(jaccard.join_documents(make_docs(rows))).collect()}
+    assert got == {i: c for i, _, c in brute(rows, 4, 85)}
+    assert sum(pairs) < 240 * 239 / 2 / 4
+
+
 def test_odd_rows(odd_docs):
     rows = [(r.doc_id, r.text) for r in odd_docs.collect()]
     docs = odd_docs.withColumn("key", F.lit(1)).withColumn("prefix", F.lit(2))
