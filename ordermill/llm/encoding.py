@@ -2,9 +2,10 @@
 
 Texts of one corpus repeat most of their words, and the tokenizers used here never merge
 across white space.  So a text is cut where the tokenizer itself always cuts, each distinct
-piece is encoded by the library once, and its ids are kept in a cache of the worker that is bounded by
-its bytes.  Cutting, finding the distinct pieces of a slice of texts and putting the ids together
-work on arrays; Python objects are made for distinct pieces only.
+piece is encoded by the library once, and its ids are kept in a table of the worker that is bounded by
+its bytes.  The table is arrays, not objects; cutting, finding the pieces
+of a slice of texts in it and putting the ids together work on arrays too; Python objects are made for
+pieces that are not in the table only.
 The ids are those of encoding the whole text; the tests compare both on random texts.
 A tokenizer whose file shows neither of the two known cutting rules gets whole texts.
 """
@@ -12,17 +13,19 @@ A tokenizer whose file shows neither of the two known cutting rules gets whole t
 from __future__ import annotations
 
 import json
+import os
 import re
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from .common import slices
 
-CACHE = 80 << 20  # bytes of a generation of a worker's cache, as estimated; two generations are kept
-ENTRY = 180       # bytes of an entry besides text and ids
-LONG = 100        # longer pieces are encoded each time
+CACHE = 12 << 20  # bytes of a worker's table of pieces and their ids
+ENTRY = 20        # bytes of an entry besides text and ids
+AT_ONCE = 2048    # new pieces encoded at once
 DOCS, BYTES = 4096, 2 << 20  # documents and bytes of text encoded at once, at most (or one document)
 
 # white space as the tokenizers' patterns take it: Unicode's, without the four separators
@@ -34,10 +37,15 @@ _ODD = re.compile(r"[\x1c-\x1f]")
 _RARE = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")  # blanks beyond the six of ASCII
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
+# the bytes that lead a rare blank
+_MAYBE = np.zeros(256, bool)
+_MAYBE[[0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3]] = True
+# where a tokenizer lower-cases, A to Z may be so before without changing an id, except before combining
+# marks (some compose with the small letter only), whose bytes begin with this one or a greater
+_COMBINING = 0xCC
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[0x41:0x5B] += 0x20
 _MARKS = ".,;:!?"  # after a letter, the tokenizers always cut before one of these; not after
-# the one letter whose lower case ends with a combining mark:
-_PLAIN = "\u0130"  # and below it, lower-casing a text changes no id of a tokenizer that lower-cases
-_HIGH = re.compile(f"[{_PLAIN}-\U0010ffff]")
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
 _MARK = np.zeros(256, bool)
@@ -52,11 +60,14 @@ class Encoder:
     """``encode(texts)`` gives the ids of each text as little-endian uint32 bytes."""
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.tokenizer = Tokenizer.from_file(path)
-        self.new, self.old, self.held = {}, {}, 0
+        # the table: distinct pieces, their ids one after the other, number of ids and uses of each
+        self.keys, self.flat = pa.array([], pa.string()), np.zeros(0, "<u4")
+        self.many, self.uses = np.zeros(0, np.int32), np.zeros(0, np.int64)
         pre = spec.get("pre_tokenizer") or {}
         steps = pre.get("pretokenizers", [pre])
         normal = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])]
@@ -77,86 +88,108 @@ class Encoder:
     def _ids(self, texts):
         return [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _fresh(self, pieces) -> dict[str, bytes]:
-        """Encode distinct pieces: joined by a separator of known id and split at that id."""
-        plain = [p for p in pieces if not p.isspace()]
-        out = {}
-        if plain and self.mark.size == 1:
-            ids = self._ids([self.separator.join(plain)])[0]
-            ends = np.flatnonzero(ids == self.mark[0])
-            if len(ends) == len(plain) - 1:
-                raw, lo = ids.tobytes(), 0
-                for p, hi in zip(plain, [*ends.tolist(), ids.size]):
-                    out[p] = raw[4 * lo:4 * hi]
-                    lo = hi + 1
-        rest = [p for p in pieces if p not in out]
-        out.update(zip(rest, (x.tobytes() for x in self._ids(rest))))
-        return out
-
-    def _of(self, wanted: list[str]) -> list[bytes]:
-        """The ids of distinct pieces."""
-        if self.held > CACHE:
-            self.old, self.new, self.held = self.new, {}, 0
-        known, old = self.new, self.old
-        out = list(map(known.get, wanted))
-        gaps = [k for k, ids in enumerate(out) if ids is None]
-        if not gaps:
-            return out
-        missing = [wanted[k] for k in gaps]
-        found = dict(zip(missing, map(old.get, missing)))
-        missing = [p for p, ids in found.items() if ids is None]
-        if missing:
-            # where the tokenizer cuts before a mark, the word and the mark are pieces of their own
-            marked = [p for p in missing if p[-1] in _MARKS and p[-2:-1].isalpha() and p[-2] != _PLAIN]
-            heads = {}
-            if marked:
-                parts = dict.fromkeys(q for p in marked for q in (p[:-1], p[-1]))
-                heads = {q: known.get(q) or old.get(q) or found.get(q) for q in parts}
-                parted = set(marked)
-                missing = [p for p in missing if p not in parted]
-                missing += [q for q, ids in heads.items() if ids is None and q not in found]
-            found.update(self._fresh(missing))
-            for p in marked:
-                a, b = p[:-1], p[-1]
-                found[p] = (heads[a] or found[a]) + (heads[b] or found[b])
-        for p, ids in found.items():
-            if len(p) <= LONG:
-                known[p] = ids
-                self.held += ENTRY + len(p) + len(ids)
-        for k in gaps:
-            out[k] = found[wanted[k]]
-        return out
+    def _fresh(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids one after the other, number of ids of each) of distinct pieces: encoded joined by a
+        separator of known id and split at that id."""
+        plain = np.fromiter((not p.isspace() for p in pieces), bool, len(pieces))
+        joined = [p for p, one in zip(pieces, plain) if one]
+        many, ids = np.zeros(len(pieces), np.int32), np.zeros(0, "<u4")
+        if joined and self.mark.size == 1:
+            ids = self._ids([self.separator.join(joined)])[0]
+            at = np.flatnonzero(ids == self.mark[0])
+            if len(at) == len(joined) - 1:
+                many[plain] = np.diff(np.concatenate([[-1], at, [ids.size]])) - 1
+                ids = np.delete(ids, at)
+            else:
+                plain[:], ids = False, ids[:0]
+        else:
+            plain[:] = False
+        rest = self._ids([p for p, one in zip(pieces, plain) if not one])
+        many[~plain] = [x.size for x in rest]
+        out, mine = np.zeros(int(many.sum()), "<u4"), np.repeat(plain, many)
+        out[mine] = ids
+        out[~mine] = np.concatenate([ids[:0], *rest])
+        return out, many
+
+    def _learn(self, keys: pa.Array) -> None:
+        """Take the pieces after the known ones into the table."""
+        flat, many = [self.flat], [self.many]
+        for lo in range(len(self.keys), len(keys), AT_ONCE):
+            ids, counts = self._fresh(keys.slice(lo, AT_ONCE).to_numpy(zero_copy_only=False).tolist())
+            flat.append(ids)
+            many.append(counts)
+        self.flat, self.many = np.concatenate(flat), np.concatenate(many)
+        self.uses = np.append(self.uses, np.zeros(len(keys) - len(self.keys), np.int64))
+        self.keys = keys
+
+    def _forget(self) -> None:
+        """Beyond the bound the most used half of the table stays; older uses count half."""
+        size = pc.binary_length(self.keys).to_numpy().astype(np.int64) + 4 * self.many + ENTRY
+        if size.sum() <= CACHE:
+            return
+        order = np.argsort(-self.uses, kind="stable")
+        keep = np.zeros(len(order), bool)
+        keep[order[np.cumsum(size[order]) <= CACHE // 2]] = True
+        self.flat, self.keys = self.flat[np.repeat(keep, self.many)], self.keys.filter(pa.array(keep))
+        self.many, self.uses = self.many[keep], self.uses[keep] // 2
+
+    def _gather(self, pieces: pa.Array, bounds: np.ndarray) -> list[bytes]:
+        """The ids of the pieces between each two bounds."""
+        known = len(self.keys)
+        every = pa.concat_arrays([self.keys, pieces]).dictionary_encode()
+        if len(every.dictionary) > known:
+            self._learn(every.dictionary)
+        which = every.indices.to_numpy()[known:]
+        first = np.cumsum(self.many, dtype=np.int32) - self.many
+        many = self.many[which]
+        ends = np.zeros(len(many) + 1, np.int32)
+        np.cumsum(many, out=ends[1:])
+        at = np.repeat(first[which] - ends[:-1], many)
+        at += np.arange(at.size, dtype=np.int32)
+        tokens = self.flat[at]
+        self.uses += np.bincount(which, minlength=self.uses.size)
+        self._forget()
+        at = ends[bounds].tolist()
+        return [tokens[lo:hi].tobytes() for lo, hi in zip(at[:-1], at[1:])]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if self.cut is None:
             return [x.tobytes() for x in self._ids(texts)]
-        whole = {i for i, t in enumerate(texts) if any(a in t for a in self.added)}
-        if self.lower:
-            plain = [t.lower() if t.isascii() or not _HIGH.search(t) else t for t in texts]
-        else:
-            plain = texts
-        rare = [i for i, t in enumerate(plain) if i not in whole and _RARE.search(t)]
-        skip = whole.union(rare)
-        out = self._arrays(["" if i in skip else t for i, t in enumerate(plain)] if skip else plain)
+        raw = [t.encode() for t in texts]
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+        data = np.frombuffer(b"".join(raw), np.uint8)
+        # in any case: lower-casing before must not make an added token
+        folded, whole = bytes(data).lower(), set()
+        if any(a.encode().lower() in folded for a in self.added):
+            whole = {i for i, t in enumerate(raw) if any(a.encode().lower() in t.lower() for a in self.added)}
+        # only texts with one of these bytes can hold a rare blank
+        odd = np.unique(np.searchsorted(np.cumsum(sizes), np.flatnonzero(_MAYBE[data]), side="right")).tolist()
+        rare = [i for i in odd if i not in whole and _RARE.search(texts[i])]
+        for i in whole.union(rare):
+            raw[i], sizes[i] = b"", 0
+        out = self._arrays(np.frombuffer(b"".join(raw), np.uint8) if whole or rare else data, sizes)
         if whole:
             for i, ids in zip(whole, self._ids([texts[i] for i in whole])):
                 out[i] = ids.tobytes()
         if rare:
-            cut = [self.cut(plain[i]) for i in rare]
-            wanted = list(dict.fromkeys(chain.from_iterable(cut)))
-            table = dict(zip(wanted, self._of(wanted)))
-            for i, c in zip(rare, cut):
-                out[i] = b"".join(map(table.__getitem__, c))
+            cut = [self.cut(texts[i]) for i in rare]
+            pieces = pa.array(list(chain.from_iterable(cut)), pa.string())
+            for i, ids in zip(rare, self._gather(pieces, np.cumsum([0, *map(len, cut)]))):
+                out[i] = ids
         return out
 
-    def _arrays(self, texts: list[str]) -> list[bytes]:
-        """The same for texts whose only blanks are the six of ASCII, on arrays."""
-        raw = [t.encode() for t in texts]
-        sizes = np.fromiter(map(len, raw), np.int64, len(raw))
-        data = np.frombuffer(b"".join(raw), np.uint8)
+    def _arrays(self, data: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+        """The same for the bytes of texts whose only blanks are the six of ASCII, on arrays."""
         if not data.size:
-            return [b""] * len(texts)
+            return [b""] * len(sizes)
         at = np.cumsum(sizes) - sizes
+        if self.lower:
+            keep, data = data, _LOWER[data]
+            marked = np.flatnonzero(keep >= _COMBINING)
+            if marked.size:
+                high = np.zeros(len(sizes), bool)
+                high[np.searchsorted(at + sizes, marked, side="right")] = True
+                data = np.where(np.repeat(high, sizes), keep, data)
         head = np.zeros(data.size, bool)
         head[at[sizes > 0]] = True
         blank = _BLANK[data]
@@ -171,7 +204,7 @@ class Encoder:
         words[tail] = True
         if self.lower:  # pieces are the words
             start = np.flatnonzero(words)
-            dense = np.cumsum(~blank)
+            dense = np.cumsum(~blank, dtype=np.int32)
             offsets = np.append(dense[start] - 1, dense[-1])
             body = data[~blank]
         else:  # a word takes one space before it; other blanks are pieces up to the last one before a word
@@ -183,19 +216,10 @@ class Encoder:
             offsets = np.append(start, data.size)
             body = data
         if not start.size:
-            return [b""] * len(texts)
+            return [b""] * len(sizes)
         pieces = pa.StringArray.from_buffers(len(start), pa.py_buffer(offsets.astype(np.int32)),
-                                             pa.py_buffer(np.ascontiguousarray(body))).dictionary_encode()
-        ids = self._of(pieces.dictionary.to_numpy(zero_copy_only=False).tolist())
-        which = pieces.indices.to_numpy()
-        flat = np.frombuffer(b"".join(ids), "<u4")
-        length = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        first = np.cumsum(length) - length
-        many = length[which]
-        ends = np.cumsum(many)
-        tokens = flat[np.repeat(first[which] - (ends - many), many) + np.arange(ends[-1])]
-        bounds = np.append(0, ends)[np.searchsorted(start, np.append(at, data.size))]
-        return [tokens[lo:hi].tobytes() for lo, hi in zip(bounds[:-1], bounds[1:])]
+                                             pa.py_buffer(np.ascontiguousarray(body)))
+        return self._gather(pieces, np.searchsorted(start, np.append(at, data.size)))
 
 
 def encoded(batches, path: str):

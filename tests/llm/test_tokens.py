@@ -31,6 +31,25 @@ def test_pieces_give_the_ids_of_whole_texts(path, monkeypatch):
             assert got == ids_of(tok, text, 0)[:-1].tobytes(), ascii(text)
 
 
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_the_table_of_pieces_is_arrays_of_bounded_bytes(path, monkeypatch):
+    monkeypatch.setattr(encoding, "CACHE", 20_000)
+    rng = random.Random(6)
+    tok, enc = Tokenizer.from_file(path), encoding.Encoder(path)
+    for _ in range(5):
+        texts = [" ".join("".join(rng.choices("abcdefgh", k=9)) for _ in range(400)) for _ in range(4)]
+        assert enc.encode(texts) == [ids_of(tok, t, 0)[:-1].tobytes() for t in texts]
+        assert enc.keys.nbytes + enc.flat.nbytes + enc.many.nbytes + enc.uses.nbytes < 20_000
+        assert len(enc.keys) == len(enc.many) == len(enc.uses) and enc.flat.size == enc.many.sum()
+
+
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_added_tokens_in_other_case_and_composing_marks(path):
+    tok, enc = Tokenizer.from_file(path), encoding.Encoder(path)
+    texts = [f"a {t.upper()} b" for t in enc.added] + ["a H\u0331J\u030c T\u0308x W\u030a", "Plain WORDS, Here. ÀÉ Ł", "", " "]
+    assert enc.encode(texts) == [ids_of(tok, t, 0)[:-1].tobytes() for t in texts]
+
+
 def test_token_files_hold_every_document_in_order(spark, odd_docs):
     folder = tokenfile.write_tokens(odd_docs.withColumn("kind", F.lit(1)), BYTE, common.shared_folder(spark, "tokens"))
     rows = sorted(tokenfile.read_tokens(spark, folder).collect(), key=lambda r: r.start)
