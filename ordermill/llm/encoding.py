@@ -3,7 +3,7 @@
 Texts of one corpus repeat most of their words, and the tokenizers used here never merge
 across white space.  So a text is cut where the tokenizer itself always cuts, each distinct
 piece is encoded by the library once, and its ids are kept in a table of the worker that is bounded by
-its bytes.  The table is arrays, not objects; cutting, finding the pieces
+its bytes and serves all tasks of the worker.  The table is arrays, not objects; cutting, finding the pieces
 of a slice of texts in it and putting the ids together work on arrays too; Python objects are made for
 pieces that are not in the table only.
 The ids are those of encoding the whole text; the tests compare both on random texts.
@@ -222,9 +222,22 @@ class Encoder:
         return self._gather(pieces, np.searchsorted(start, np.append(at, data.size)))
 
 
+_KEPT: dict[tuple, Encoder] = {}  # the last encoder of this worker, for its next tasks
+
+
+def kept_encoder(path: str) -> Encoder:
+    """The worker's encoder of a tokenizer file; tasks that a worker runs one after the other share its table."""
+    state = os.stat(path)
+    key = path, state.st_mtime_ns, state.st_size
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = Encoder(path)
+    return _KEPT[key]
+
+
 def encoded(batches, path: str):
     """For Arrow batches of (id, text, ...): yields (ids column slice, [bytes]) per group of documents."""
-    encoder = Encoder(path)
+    encoder = kept_encoder(path)
     for batch in batches:
         for lo, n in slices(batch.column(1), DOCS, BYTES):
             part = batch.slice(lo, n)

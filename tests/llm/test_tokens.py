@@ -43,6 +43,20 @@ def test_the_table_of_pieces_is_arrays_of_bounded_bytes(path, monkeypatch):
         assert len(enc.keys) == len(enc.many) == len(enc.uses) and enc.flat.size == enc.many.sum()
 
 
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_one_table_serves_all_tasks_of_a_worker(path, monkeypatch):
+    """The next task of a worker finds the pieces of the one before in the table."""
+    import pyarrow as pa
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefgh", k=9)) for _ in range(2000)]
+    batch = pa.RecordBatch.from_pydict({"id": list(range(40)), "text": [" ".join(words[i::40]) for i in range(40)]})
+    first = [ids for _, rows in encoding.encoded([batch], path) for ids in rows]
+    met = []
+    fresh = encoding.Encoder._fresh
+    monkeypatch.setattr(encoding.Encoder, "_fresh", lambda self, pieces: met.extend(pieces) or fresh(self, pieces))
+    assert [ids for _, rows in encoding.encoded([batch], path) for ids in rows] == first and not met
+
+
 @pytest.mark.parametrize("path", [BYTE, WORD])
 def test_added_tokens_in_other_case_and_composing_marks(path):
     tok, enc = Tokenizer.from_file(path), encoding.Encoder(path)
