@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,7 @@ from ordermill.session import ensure_checkpoint_dir, materialize
 # the bytes that separate words in every word count and shingle of this package
 SPACES = " \\t\\n\\x0B\\f\\r"
 WORD_RE = r"[^\x20\x09-\x0D]+"
+BATCH = 4 << 20  # bytes of an Arrow batch of texts, at most (or one row)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +29,27 @@ def stored(df: DataFrame) -> DataFrame:
     return materialize(df, columnar=True)
 
 
+def small_batches(step):
+    """Jobs that run inside ``step``, a function of a DataFrame first, send rows to Python in Arrow batches of
+    ``BATCH`` bytes: a batch of texts lies in the memory of the executor and of its worker at once."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+    @wraps(step)
+    def run(df: DataFrame, *args, **kwargs):
+        conf = df.sparkSession.conf
+        before = conf.get(name, None)
+        conf.set(name, str(BATCH))
+        try:
+            return step(df, *args, **kwargs)
+        finally:
+            if before is None:
+                conf.unset(name)
+            else:
+                conf.set(name, before)
+
+    return run
+
+
 def shared_folder(spark: SparkSession, kind: str) -> str:
     """A new folder (not yet created) below the shared checkpoint folder."""
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/ordermill-{kind}/{uuid.uuid4().hex}"

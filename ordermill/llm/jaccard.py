@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import components, free_name, read_table, row_hash, slices, stored
+from .common import components, free_name, read_table, row_hash, slices, small_batches, stored
 from .words import combined, starts_of, word_hashes
 
 FREQUENT = 1 << 18   # elements that are ordered by frequency
@@ -177,6 +177,7 @@ def _possible(percent: int, s1, o1, s2, o2) -> Column:
     return (100 * small >= percent * large) & ((100 + percent) * overlap >= percent * (s1 + s2))
 
 
+@small_batches
 def join_documents(docs: DataFrame, n: int = 4, percent: int = 85, *, id_col: str = "doc_id",
                    text_col: str = "text") -> DataFrame:
     """(id, text_hash, size, key, component, n_members): per row its set's size and key, the

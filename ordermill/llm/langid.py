@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import free_name, read_table, row_hash, stored
+from .common import free_name, read_table, row_hash, small_batches, stored
 
 BITS, PIECE = 16, 4096  # trigram slots; trigrams of a text that are summed at once
 TRAIN_DOCS, TRAIN_CHARS, MIN_TEXTS = 400, 3000, 3
@@ -181,6 +181,7 @@ def training_sample(rows: DataFrame) -> list[tuple[str, str]]:
     return sorted((r[0], r[1]) for r in part.select("declared", "t").collect())
 
 
+@small_batches
 def identify(rows: DataFrame) -> DataFrame:
     """``rows`` as :func:`evidence` gives them, without the text, plus text_lang, lang_id,
     posterior and kept."""

@@ -2,7 +2,8 @@
 
 Texts are joined into one byte buffer; a word's hash is the difference of a polynomial
 prefix sum (modulo 2**64) at its two ends, finalised by a bijective mix.  No Python object
-is made per word.
+is made per word.  The hash does not depend on where the sum begins, so it is taken over one
+window of words after the other: 64-bit arrays are as long as a window, not as the buffer.
 """
 
 from __future__ import annotations
@@ -13,7 +14,8 @@ from .common import mix64
 
 _BASE = 0x9E3779B97F4A7C55 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
-KEPT = 1 << 21  # powers kept between calls
+KEPT = 1 << 18  # powers kept between calls
+WINDOW = 1 << 17  # bytes hashed at once, unless a word is longer
 _powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
@@ -43,10 +45,17 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     blank = _SPACE[raw]
     edge = np.flatnonzero(np.diff(blank, prepend=True, append=True))
     start, end = edge[0::2], edge[1::2]
-    sums = np.zeros(raw.size + 1, np.uint64)
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _power("up", raw.size), out=sums[1:])
-    h = (sums[end] - sums[start]) * _power("down", raw.size + 1)[start]
-    return mix64(h + (end - start).astype(np.uint64)), start, end, buf
+    h, lo = np.empty(len(start), np.uint64), 0
+    while lo < len(start):
+        first = int(start[lo])
+        hi = max(lo + 1, int(np.searchsorted(end, first + WINDOW, side="right")))
+        part = raw[first:int(end[hi - 1])]
+        sums = np.zeros(part.size + 1, np.uint64)
+        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * _power("up", part.size), out=sums[1:])
+        at, to = start[lo:hi] - first, end[lo:hi] - first
+        h[lo:hi] = mix64((sums[to] - sums[at]) * _power("down", part.size + 1)[at] + (to - at).astype(np.uint64))
+        lo = hi
+    return h, start, end, buf
 
 
 def starts_of(texts: list[bytes]) -> np.ndarray:

@@ -1,10 +1,13 @@
 import random
 import re
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from ordermill.llm import jaccard
+from ordermill.llm import common, jaccard, words
 
 
 def shingles(text, n):
@@ -111,3 +114,39 @@ def test_one_of_each_group_stays(make_docs, odd_docs):
     odd = jaccard.keep_one(odd_docs)
     assert odd.columns == odd_docs.columns and odd.count() == 10
     assert jaccard.keep_one(odd_docs.limit(0)).count() == 0
+
+
+def test_word_hashes_need_the_memory_of_a_window():
+    rng = random.Random(3)
+    texts = [" ".join(f"w{rng.randrange(9999)}" for _ in range(300)).encode() for _ in range(640)]
+    some = sum(map(len, texts))
+    assert some > 1_000_000
+    tracemalloc.start()
+    h, start, end, buf = words.word_hashes(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 24 * some
+    # the same hash wherever a word stands, in a window of its own too
+    one = {buf[a:b]: x for a, b, x in zip(start.tolist(), end.tolist(), h.tolist())}
+    assert all(words.word_hashes([w])[0].tolist() == [one[w]] for w in list(one)[:200])
+    long = b"x" * (2 * words.WINDOW)
+    assert words.word_hashes([b"a " + long + b" b"])[0].tolist() == [words.word_hashes([w])[0][0] for w in (b"a", long, b"b")]
+
+
+def test_texts_go_to_python_in_batches_of_bounded_size(spark, monkeypatch):
+    name, seen = "spark.sql.execution.arrow.maxBytesPerBatch", []
+    docs = spark.range(2000, numPartitions=1).select(
+        F.col("id").alias("doc_id"), F.concat(F.col("id").cast("string"), F.lit(" "), F.repeat(F.lit("y"), 10_000)).alias("text"))
+
+    def look(texts, n):
+        def sizes(batches):
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([b.nbytes], pa.int64()), pa.array([b.num_rows], pa.int64())], ["bytes", "rows"])
+        seen.extend(texts.mapInArrow(sizes, "bytes bigint, rows bigint").collect())
+        return np.zeros(0, np.uint64)
+
+    monkeypatch.setattr(jaccard, "frequent_elements", look)
+    before = spark.conf.get(name)
+    assert jaccard.join_documents(docs).count() == 2000
+    assert sum(r["rows"] for r in seen) == 2000 and max(r["bytes"] for r in seen) <= common.BATCH + 20_000
+    assert spark.conf.get(name) == before
