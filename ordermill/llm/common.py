@@ -23,31 +23,51 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _within(settings: dict[str, str]):
+    """A decorator: jobs that run inside a function of a DataFrame first have these session settings."""
+    def held(step):
+        @wraps(step)
+        def run(df: DataFrame, *args, **kwargs):
+            conf = df.sparkSession.conf
+            before = {name: conf.get(name, None) for name in settings}
+            for name, value in settings.items():
+                conf.set(name, value)
+            try:
+                return step(df, *args, **kwargs)
+            finally:
+                for name, value in before.items():
+                    if value is None:
+                        conf.unset(name)
+                    else:
+                        conf.set(name, value)
+
+        return run
+
+    return held
+
+
+# rows go to Python in Arrow batches of so many bytes: a batch of texts lies in the memory of the executor and of
+# its worker at once
+small_batches = _within({"spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH)})
+# shuffle files go when the query that wrote them ends, not when the driver happens to collect its garbage, which it
+# does the more seldom, for its input, the larger that is
+short_shuffles = _within({"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"})
+
+
+@short_shuffles
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written once as parquet in the shared checkpoint folder and read back: the
     lineage is cut, later passes prune columns, a lost executor re-reads files."""
     return materialize(df, columnar=True)
 
 
-def small_batches(step):
-    """Jobs that run inside ``step``, a function of a DataFrame first, send rows to Python in Arrow batches of
-    ``BATCH`` bytes: a batch of texts lies in the memory of the executor and of its worker at once."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-
-    @wraps(step)
-    def run(df: DataFrame, *args, **kwargs):
-        conf = df.sparkSession.conf
-        before = conf.get(name, None)
-        conf.set(name, str(BATCH))
-        try:
-            return step(df, *args, **kwargs)
-        finally:
-            if before is None:
-                conf.unset(name)
-            else:
-                conf.set(name, before)
-
-    return run
+def discard(*frames: DataFrame) -> None:
+    """Deletes the files of frames from :func:`stored` that nothing reads any more; a frame that still reads one
+    of them fails."""
+    for df in frames:
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
+        path = jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(conf).delete(path, True)
 
 
 def shared_folder(spark: SparkSession, kind: str) -> str:

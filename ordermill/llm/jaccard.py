@@ -12,7 +12,9 @@ two texts link when 100 * |A & B| >= percent * |A | B|.
 2. Texts with equal sets are one member; members with equal prefix and size are one *group*.
    Groups meet where they share a prefix element.  A pair of groups is dropped if sizes, or
    the elements that either shares with nobody, rule the threshold out.
-3. Remaining pairs are expanded to members and verified exactly on their sets.
+3. Remaining pairs are expanded to members.  A mark of a set, the parities of its elements' counts by place in a
+   bitmap, bounds from below in how many elements two sets differ: it rules most far pairs out before their texts
+   are fetched, the others are verified exactly on their sets.
 
 Nothing pairs up a crowd: in each round every member is verified against one pivot among
 those it shares an element with, links are contracted into components, and only pairs of
@@ -30,6 +32,8 @@ columns play no part.
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -37,13 +41,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import components, free_name, read_table, row_hash, slices, small_batches, stored
+from .common import components, discard, free_name, read_table, row_hash, short_shuffles, slices, small_batches, stored
 from .words import combined, starts_of, word_hashes
 
 FREQUENT = 1 << 18   # elements that are ordered by frequency
 SLICE = 1 << 20      # bytes of text handled at once, unless one text is longer
 RUN_ELEMENTS, RUN_LEAST = 2_000_000, 4  # an element counts once it comes so often among so many
 SMALL, BROADCAST_ROWS = 64, 200_000  # groups that may share an element and be paired; rows sent to all tasks at most
+MARK = 1024          # bits of a member's mark, a multiple of 128
 REST_PAIRS, SETTLED = 4, 0.8         # pairs left per member, or share of members left, that end the pivot rounds
 
 
@@ -148,9 +153,39 @@ def signatures(docs: DataFrame, n: int, percent: int, order: Order) -> DataFrame
         run, "id bigint, text_hash string, size bigint, key string, group string, prefix array<bigint>")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of members that link; their texts travel, as they are smaller than
-    their sets."""
+def _marked(texts: DataFrame, n: int) -> DataFrame:
+    """(m, f0, f1, b0, b1, ...) from (m, text): bit i of the b tells whether an odd number of the set's elements is i
+    modulo ``MARK``; f0 and f1 hold the same modulo 128.  Two sets differ in as many elements as marks in bits, at least."""
+    words_ = MARK // 64
+    names = ["m", "f0", "f1", *(f"b{k}" for k in range(words_))]
+
+    def run(batches):
+        for batch in batches:
+            for lo, some in slices(batch.column(1), 256, SLICE):
+                part = batch.slice(lo, some)
+                sets = shingle_sets(part.column(1).to_pylist(), n)
+                odd = np.stack([np.bincount((x % np.uint64(MARK)).astype(np.int64), minlength=MARK) & 1 for x in sets])
+                bits = np.packbits(odd.astype(np.uint8), axis=1, bitorder="little").view("<i8")
+                folds = [np.bitwise_xor.reduce(bits[:, k::2], axis=1) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), *map(pa.array, folds), *(pa.array(np.ascontiguousarray(x)) for x in bits.T)], names)
+
+    return texts.select("m", "text").mapInArrow(run, ", ".join(f"{c} bigint" for c in names))
+
+
+def _differ(names: list[str]) -> Column:
+    """In how many bits marks 1 and 2 differ."""
+    return reduce(add, [F.bit_count(F.col(f"{c}1").bitwiseXOR(F.col(f"{c}2"))) for c in names])
+
+
+def _near(percent: int, names: list[str]) -> Column:
+    """Whether sets of these sizes and marks can link."""
+    return (100 + percent) * _differ(names) <= (100 - percent) * (F.col("size1") + F.col("size2"))
+
+
+def _verified(pairs: DataFrame, live: DataFrame, texts: DataFrame, marks: DataFrame, n: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of members that link.  Marks rule most others out; the texts of the rest travel, as they are
+    smaller than their sets."""
     def run(frames):
         for pdf in frames:
             keep = []
@@ -165,10 +200,17 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataF
                     keep.append(100 * both >= percent * (len(p) + len(q) - both))
             yield pdf.loc[keep, ["a", "b"]]
 
-    left = texts.select(F.col("key").alias("a"), F.col("text").alias("x"))
-    right = texts.select(F.col("key").alias("b"), F.col("text").alias("y"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y") \
-                .mapInPandas(run, "a string, b string")
+    bits = [f"b{k}" for k in range(MARK // 64)]
+    of = live.select("m", "size").join(marks.select("m", *bits), "m")
+    left, right = (of.select(F.col("m").alias(side), *[F.col(c).alias(f"{c}{i}") for c in ("size", *bits)])
+                   for i, side in ((1, "a"), (2, "b")))
+    close = stored(pairs.select("a", "b").join(left, "a").join(right, "b").where(_near(percent, bits)).select("a", "b"))
+    sent = _sent(close)
+    x = texts.select(F.col("m").alias("a"), F.col("text").alias("x")).join(sent, "a")
+    y = texts.select(F.col("m").alias("b"), F.col("text").alias("y")).join(sent, "b")
+    out = stored(x.join(y, ["a", "b"]).select("a", "b", "x", "y").mapInPandas(run, "a bigint, b bigint"))
+    discard(close)
+    return out
 
 
 def _possible(percent: int, s1, o1, s2, o2) -> Column:
@@ -177,6 +219,7 @@ def _possible(percent: int, s1, o1, s2, o2) -> Column:
     return (100 * small >= percent * large) & ((100 + percent) * overlap >= percent * (s1 + s2))
 
 
+@short_shuffles
 @small_batches
 def join_documents(docs: DataFrame, n: int = 4, percent: int = 85, *, id_col: str = "doc_id",
                    text_col: str = "text") -> DataFrame:
@@ -185,17 +228,22 @@ def join_documents(docs: DataFrame, n: int = 4, percent: int = 85, *, id_col: st
     base = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"),
                        F.md5(text_col).alias("text_hash"))
     order = Order(frequent_elements(base.select("text"), n))
-    rows = stored(signatures(base, n, percent, order))
+    signed = stored(signatures(base, n, percent, order))
     # equal sets are one member; a crowd of them is pre-aggregated to a row
-    members = stored(rows.where("key IS NOT NULL").groupBy("key").agg(
+    members = stored(signed.where("key IS NOT NULL").groupBy("key").agg(
         F.count(F.lit(1)).alias("copies"), F.min("text_hash").alias("text_hash"), F.min("size").alias("size"), F.min("group").alias("group")))
     many = members.groupBy("group").agg(F.count(F.lit(1)).alias("members"))
-    heads = rows.where("key IS NOT NULL").groupBy("group").agg(F.first("size").alias("size"), F.first("prefix").alias("prefix"))
+    heads = signed.where("key IS NOT NULL").groupBy("group").agg(F.first("size").alias("size"), F.first("prefix").alias("prefix"))
     # groups get short numbers, which the many postings carry
     crowd = stored(heads.join(many, "group").withColumn("gid", F.monotonically_increasing_id()))
+    # prefixes are the largest table: what is used later is kept without them
+    rows = stored(signed.select("id", "text_hash", "size", "key"))
+    discard(signed)
     posting = crowd.select("gid", "size", F.posexplode("prefix").alias("place", "e"))
     crowds = posting.groupBy("e").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     posting = stored(posting.join(crowds, "e"))
+    groups = stored(crowd.select("gid", "group", "members"))
+    discard(crowd)
     # groups that can have a partner: by the places of what a pair shares first, where few share
     # an element; all groups that share an element with many, or that have several members
     few = posting.where(F.col("n") <= SMALL)
@@ -209,68 +257,85 @@ def join_documents(docs: DataFrame, n: int = 4, percent: int = 85, *, id_col: st
     met = met.where((100 + percent) * (F.col("common") + rest) >= percent * (F.col("size1") + F.col("size2")))
     met = met.where(_possible(percent, F.col("size1"), F.col("place1"), F.col("size2"), F.col("place2")))
     hopeful = met.select(F.explode(F.array("gid1", "gid2")).alias("gid")) \
-                 .union(posting.where(F.col("n") > SMALL).select("gid")).union(crowd.where("members > 1").select("gid")).distinct()
+                 .union(posting.where(F.col("n") > SMALL).select("gid")).union(groups.where("members > 1").select("gid")).distinct()
     # what a group shares with others starts at its first shared place: everything before is its own
     reach = posting.groupBy("gid").agg(F.min("place").alias("own"))
-    known = crowd.select("gid", "group", "members").join(hopeful, "gid").join(reach, "gid", "left")
+    known = groups.join(hopeful, "gid").join(reach, "gid", "left")
+    # members that are left get short numbers too
     live = stored(members.join(known, "group").select("key", "gid", "copies", "text_hash", "size", "members",
-                                                      F.coalesce("own", F.lit(0)).alias("own")))
+                                                      F.coalesce("own", F.lit(0)).alias("own"))
+                  .withColumn("m", F.monotonically_increasing_id()))
+    wanted = _sent(live.select("text_hash", "m"))
+    texts = stored(base.select("text", "text_hash").join(wanted, "text_hash").groupBy("m").agg(F.first("text").alias("text")))
+    marks = stored(_marked(texts, n))
     # a block is a shared element, or a group of several members, which share their whole prefix
-    blocks = stored(posting.select(F.col("e").cast("string").alias("block"), "gid", "place")
-                    .join(live.select("key", "gid", "copies", "size", "own"), "gid").drop("gid")
-                    .unionByName(live.where("members > 1").select(
-                        F.concat(F.lit("g"), F.col("gid").cast("string")).alias("block"), "key", "copies", "size",
+    each = live.select("m", "gid", "copies", "size", "own", "members").join(marks.select("m", "f0", "f1"), "m")
+    blocks = stored(posting.select("e", F.lit(False).alias("own_group"), "gid", "place").join(each.drop("members"), "gid").drop("gid")
+                    .unionByName(each.where("members > 1").select(
+                        F.col("gid").alias("e"), F.lit(True).alias("own_group"), "m", "copies", "size", "f0", "f1",
                         F.lit(0).alias("own"), F.lit(0).alias("place"))))
-    wanted = _sent(live.select("text_hash", "key"))
-    texts = stored(base.select("text", "text_hash").join(wanted, "text_hash").groupBy("key").agg(F.first("text").alias("text")))
-    comp, tried, before = live.select("key", F.col("key").alias("comp")), None, None
-    names = ("key", "size", "own", "place", "comp")
+    discard(posting, groups)
+    comp, tried, before = stored(live.select("m", F.col("m").alias("comp"))), None, None
+    block, names = ["e", "own_group"], ("m", "size", "own", "place", "comp", "f0", "f1")
     while True:
-        now = stored(blocks.join(comp, "key"))
-        mixed = now.groupBy("block").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("block")
-        blocks = stored(now.join(mixed, "block"))
-        per = blocks.groupBy("block", "comp").agg(F.count(F.lit(1)).cast("double").alias("c"))
-        left = per.groupBy("block").agg(((F.pow(F.sum("c"), 2) - F.sum(F.pow("c", 2))) / 2).alias("p")).agg(F.sum("p")).first()[0]
+        now = stored(blocks.join(comp, "m"))
+        discard(blocks)
+        mixed = now.groupBy(block).agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select(block)
+        blocks = stored(now.join(mixed, block))
+        discard(now)
+        per = blocks.groupBy(*block, "comp").agg(F.count(F.lit(1)).cast("double").alias("c"))
+        left = per.groupBy(block).agg(((F.pow(F.sum("c"), 2) - F.sum(F.pow("c", 2))) / 2).alias("p")).agg(F.sum("p")).first()[0]
         if not left:
             break
-        open_ = blocks.select("key").distinct().count()
+        open_ = blocks.select("m").distinct().count()
         # the pairs left at last: when they are few, or pivots no longer settle many members
         rest = left <= REST_PAIRS * open_ or (before is not None and open_ > SETTLED * before)
         before = open_
-        x = blocks.select("block", *[F.col(c).alias(f"{c}1") for c in names])
+        x = blocks.select(*block, *[F.col(c).alias(f"{c}1") for c in names])
         if rest:
             # the first element that a pair shares comes early in the smaller of its sets
             small = x.where((100 + percent) * (F.col("size1") - F.col("place1")) >= 2 * percent * F.col("size1"))
-            y = blocks.select("block", *[F.col(c).alias(f"{c}2") for c in names])
-            met = small.join(y, "block").where("(size1 < size2 OR size1 = size2 AND key1 < key2) AND comp1 <> comp2")
+            y = blocks.select(*block, *[F.col(c).alias(f"{c}2") for c in names])
+            met = small.join(y, block).where("(size1 < size2 OR size1 = size2 AND m1 < m2) AND comp1 <> comp2")
         else:
-            # the pivot of a block: most copies, least of its own, then by key; every round another
+            # the pivot of a block: most copies, least of its own, then by number; every round another
             rank = F.struct((-F.col("copies")).alias("c"), (F.col("own") / F.col("size")).alias("o"), *names)
-            fresh = blocks if tried is None else blocks.join(tried, ["block", "key"], "left_anti")
-            pivot = stored(fresh.groupBy("block").agg(F.min(rank).alias("p")).select("block", "p.*"))
-            tried = pivot.select("block", "key") if tried is None else stored(tried.union(pivot.select("block", "key")))
-            met = x.join(pivot.select("block", "c", "o", *[F.col(c).alias(f"{c}2") for c in names]), "block").where("comp1 <> comp2")
+            fresh = blocks if tried is None else blocks.join(tried, [*block, "m"], "left_anti")
+            pivot = stored(fresh.groupBy(block).agg(F.min(rank).alias("p")).select(*block, "p.*"))
+            tried = pivot.select(*block, "m") if tried is None else stored(tried.union(pivot.select(*block, "m")))
+            met = x.join(pivot.select(*block, "c", "o", *[F.col(c).alias(f"{c}2") for c in names]), block).where("comp1 <> comp2")
         met = met.where(_possible(percent, *[F.col(f"{c}{i}") for i in (1, 2) for c in ("size", "place" if rest else "own")]))
+        met = met.where(_near(percent, ["f0", "f1"]))
         if not rest:  # a member meets the best of its blocks' pivots
-            met = met.groupBy("key1").agg(F.min(F.struct("c", "o", "key2")).alias("p")).select("key1", F.col("p.key2").alias("key2"))
-        pairs = met.select(F.least("key1", "key2").alias("a"), F.greatest("key1", "key2").alias("b")).distinct()
-        comp = _contracted(comp, stored(_verified(pairs, texts, n, percent)))
+            met = met.groupBy("m1").agg(F.min(F.struct("c", "o", "m2")).alias("p")).select("m1", F.col("p.m2").alias("m2"))
+        pairs = met.select(F.least("m1", "m2").alias("a"), F.greatest("m1", "m2").alias("b")).distinct()
+        links, was = _verified(pairs, live, texts, marks, n, percent), comp
+        comp = _contracted(was, links)
+        discard(was, links)
         if rest:
             break
-        blocks = blocks.drop("comp")
-    label = members.select("key").join(comp, "key", "left").select("key", F.coalesce("comp", "key").alias("component"))
+        blocks, whole = stored(blocks.drop("comp")), blocks
+        discard(whole)
+    discard(blocks, texts, marks)
+    # of a component the smallest key is its name
+    named = live.select("m", "key").join(comp, "m")
+    named = named.join(named.groupBy("comp").agg(F.min("key").alias("component")), "comp").select("key", "component")
+    label = members.select("key").join(named, "key", "left").select("key", F.coalesce("component", "key").alias("component"))
     size = label.groupBy("component").agg(F.count(F.lit(1)).alias("n_members"))
     label = stored(label.join(size, "component"))
-    return rows.select("id", "text_hash", "size", "key").join(label, "key", "left")
+    discard(members, live, comp)
+    out = stored(rows.join(label, "key", "left").select("id", "text_hash", "size", "key", "component", "n_members"))
+    discard(rows, label)
+    return out
 
 
 def _contracted(comp: DataFrame, links: DataFrame) -> DataFrame:
-    """``comp`` (key, comp) after joining the components that ``links`` connect."""
-    left = comp.select(F.col("key").alias("a"), F.col("comp").alias("ca"))
-    right = comp.select(F.col("key").alias("b"), F.col("comp").alias("cb"))
+    """``comp`` (m, comp) after joining the components that ``links`` connect."""
+    left = comp.select(F.col("m").alias("a"), F.col("comp").alias("ca"))
+    right = comp.select(F.col("m").alias("b"), F.col("comp").alias("cb"))
     merged = components(links.join(left, "a").join(right, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
     return stored(comp.join(merged.withColumnRenamed("node", "comp"), "comp", "left")
-                  .select("key", F.coalesce("root", "comp").alias("comp")))
+                  .select("m", F.coalesce("root", "comp").alias("comp")))
 
 
 def _labelled(joined: DataFrame) -> DataFrame:
@@ -281,14 +346,14 @@ def _labelled(joined: DataFrame) -> DataFrame:
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    joined = stored(join_documents(read_table(spark, sf_dir, "documents")))
+    joined = join_documents(read_table(spark, sf_dir, "documents"))
     return _labelled(joined).select(F.col("id").alias("doc_id"), F.col("size").alias("n_shingles"), "component_id", "n_members")
 
 
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one row of each component: the smallest id, then the smallest text hash.
     Rows with an empty set stay, one for each id and text."""
-    rows = stored(join_documents(docs, n, percent))
+    rows = join_documents(docs, n, percent)
     key, value = free_name(docs, "_kept_id"), free_name(docs, "_kept_hash")
     one, mark = free_name(docs, "_one"), free_name(docs, "_hash_of_text")
     low = rows.where("component IS NOT NULL").groupBy("component").agg(
@@ -303,6 +368,7 @@ def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     # rows that repeat an id and a text: one of them stays
     again = stored(rows.groupBy("id", "text_hash").count().where("count > 1")
                    .select(F.col("id").alias(key), F.col("text_hash").alias(value)))
+    discard(rows)
     if again.isEmpty():
         return left.select(*docs.columns)
     w = Window.partitionBy("doc_id", mark).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))

@@ -1,5 +1,7 @@
+import os
 import random
 import re
+import time
 import tracemalloc
 
 import numpy as np
@@ -150,3 +152,59 @@ def test_texts_go_to_python_in_batches_of_bounded_size(spark, monkeypatch):
     assert jaccard.join_documents(docs).count() == 2000
     assert sum(r["rows"] for r in seen) == 2000 and max(r["bytes"] for r in seen) <= common.BATCH + 20_000
     assert spark.conf.get(name) == before
+
+
+def kept_bytes(spark):
+    """Bytes of Spark's shuffle files and of tables in the checkpoint folder."""
+    out = []
+    for top, names in ((spark.conf.get("spark.local.dir"), "shuffle_"), (spark.conf.get("spark.checkpoint.dir"), "part-")):
+        files = [os.path.join(d, f) for d, _, fs in os.walk(top) for f in fs if f.startswith(names)]
+        out.append(sum(os.path.getsize(f) for f in files if os.path.exists(f)))
+    return out
+
+
+@pytest.mark.parametrize("join", [jaccard.join_documents, jaccard.keep_one])
+def test_tables_and_shuffles_go_when_they_are_not_needed(spark, make_docs, join):
+    rng = random.Random(8)
+    texts = [" ".join(str(rng.randrange(10 ** 9)) for _ in range(300)) for _ in range(600)]
+    docs = make_docs([(i, f"{t} {i}", "en", "s") for i, t in enumerate(texts * 2)]).cache()
+    size = docs.select(F.sum(F.length("text"))).first()[0]
+    before = kept_bytes(spark)
+    joined = join(docs)
+    time.sleep(1)
+    shuffles, tables = (now - then for now, then in zip(kept_bytes(spark), before))
+    assert shuffles < 0.1 * size and tables < 0.1 * size
+    assert joined.count() == (1200 if join is jaccard.join_documents else 600)
+
+
+def test_texts_of_far_pairs_stay_where_they_are(make_docs, monkeypatch):
+    """Texts with half of their words in common share elements of their prefixes, and none is near another."""
+    rng, rows = random.Random(4), []
+    shared = [str(rng.randrange(10 ** 9)) for _ in range(100)]
+    for i in range(120):
+        rows.append((i, " ".join([*shared, *(str(rng.randrange(10 ** 9)) for _ in range(rng.choice([40, 60])))]), "en", "s"))
+    rows += [(500 + i, rows[i][1] + " more", "en", "s") for i in range(10)]
+    fetched, near = [], jaccard._sent
+
+    def sent(keys):
+        if keys.columns == ["a", "b"]:
+            fetched.append(keys.count())
+        return near(keys)
+
+    monkeypatch.setattr(jaccard, "_sent", sent)
+    monkeypatch.setattr(jaccard, "RUN_LEAST", 10 ** 9)
+    got = {r.id: r.component_id for r in jaccard._labelled(jaccard.join_documents(make_docs(rows))).collect()}
+    assert got == {i: c for i, _, c in brute(rows, 4, 85)}
+    assert 10 <= sum(fetched) <= 200
+
+
+def test_marks_bound_the_difference(spark, make_docs):
+    rows = corpus(6)
+    texts = make_docs([r for r in rows if shingles(r[1], 4)]).select(F.col("doc_id").alias("m"), "text")
+    marks = {r.m: r for r in jaccard._marked(texts, 4).collect()}
+    sets = {r.m: shingles(r.text, 4) for r in texts.collect()}
+    for i in list(sets)[::3]:
+        for j in sets:
+            apart = [sum(((marks[i][c] ^ marks[j][c]) & (2 ** 64 - 1)).bit_count() for c in names)
+                     for names in (("f0", "f1"), [f"b{k}" for k in range(jaccard.MARK // 64)])]
+            assert apart[0] <= apart[1] <= len(sets[i] ^ sets[j])
