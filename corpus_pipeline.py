@@ -2,7 +2,7 @@
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes each stage's
 rows as parquet into the shared checkpoint folder and reads them back as the next one's
-``docs``.  All stages but the last return the columns of ``documents``; each works on
+``docs``; they go when that one has ended.  All stages but the last return the columns of ``documents``; each works on
 all rows that its predecessor kept.
 """
 
@@ -51,7 +51,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.read_table(spark, sf_dir, "documents")
+    docs, before = common.read_table(spark, sf_dir, "documents"), []
     for _, stage in STAGES:
         docs = common.stored(stage(spark, docs, sf_dir))
+        common.discard(*before)  # what the stage has read
+        before = [docs]
     return docs
