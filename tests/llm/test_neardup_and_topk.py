@@ -59,6 +59,36 @@ def test_links_equal_brute_force(spark, monkeypatch, chunk):
     assert all(r.kept == (r.vec_id is not None and r.vec_id == r.component_id) for r in got)
 
 
+@pytest.mark.parametrize("chunk,grid", [(4, 0), (25, 0), (25, 1), (4, 3)])
+def test_any_grid_gives_the_same_links(spark, monkeypatch, chunk, grid):
+    monkeypatch.setattr(neardup, "CHUNK", chunk)
+    monkeypatch.setattr(neardup, "_grid", lambda *_: grid)
+    rows = vectors(n=90)
+    got = neardup.link_vectors(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted((str(r.vec_id), r.n_links, str(r.component_id)) for r in got) == brute(rows, 0.98)
+
+
+@pytest.mark.parametrize("grid", [0, 2])
+def test_cells_are_kept_without_vectors(spark, monkeypatch, grid):
+    """A vector has many cells: it is looked up once they are dealt, not written with each."""
+    seen, stored = [], neardup.stored
+    monkeypatch.setattr(neardup, "stored", lambda df: (seen.append(set(df.columns)), stored(df))[1])
+    monkeypatch.setattr(neardup, "_grid", lambda *_: grid, raising=False)
+    assert neardup.link_vectors(spark.createDataFrame(vectors(n=40), SCHEMA)).count() > 0
+    assert not any({"cell", "v"} <= c for c in seen) and any("cell" in c for c in seen) == (grid > 0)
+
+
+def test_clusters_are_gridded(spark):
+    """Tight clusters lie in cells of their own, so that few pairs are compared."""
+    rng = np.random.default_rng(2)
+    centres = rng.standard_normal((300, 64))
+    rows = [(f"{i:05d}", (centres[i % 300] + 0.01 * rng.standard_normal(64)).tolist(), 0) for i in range(1500)]
+    nodes = spark.createDataFrame(rows, "key string, v array<float>, label int")
+    top = {"n": 10 ** 6, "dim": 64, "label": 0}
+    assert neardup._grid(nodes, 0.9999, top) > 0
+    assert neardup._grid(nodes, 0.9999, top | {"n": neardup.CHUNK}) == 0
+
+
 def test_no_vectors(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert neardup.link_vectors(df).count() == 0
